@@ -17,16 +17,19 @@ NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 MONTH_START = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 
-CLOCK = r"(?:[T\s]\s*(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d*)?\s*([AaPp][Mm])?(?:Z|\+00:?00)?)?"
+CLOCK = r"(?:[T\s]\s*(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\d*\s*(?:[AaPp][Mm])?(?:Z|\+00:?00)?)?$"
 MONTH_WORD = (
     r"(?i:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
     r"(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?)\.?"
 )
-DIGIT_DATE = r"^(\d{1,4})([-/.])(\d{1,2})\2(\d{1,4})" + CLOCK + "$"
-COMPACT_DATE = r"^(\d{4})(?:(\d{2})(\d{2}))?$"
-DAY_WORD_DATE = r"^(\d{1,2})(?:st|nd|rd|th)?[\s\-/.,]*" + MONTH_WORD + r"[\s\-/.,]+(\d{4})" + CLOCK + "$"
-WORD_DAY_DATE = r"^" + MONTH_WORD + r"[\s\-/.]*(\d{1,2})(?:st|nd|rd|th)?[\s\-/.,]+(\d{4})" + CLOCK + "$"
-YEAR_WORD_DATE = r"^(\d{4})[\s\-/.]+" + MONTH_WORD + r"[\s\-/.]+(\d{1,2})" + CLOCK + "$"
+MONTH_DIGITS = r"(0?[1-9]|1[0-2])"
+ANY_YEAR = r"(?:(\d{4})|([0-6]\d)|([7-9]\d))"
+YEAR_FIRST = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + CLOCK
+MONTH_LEADS = r"^" + MONTH_DIGITS + r"([-/.])(\d{1,2})\2" + ANY_YEAR + CLOCK
+DAY_LEADS = r"^(\d{1,2})([-/.])" + MONTH_DIGITS + r"\2" + ANY_YEAR + CLOCK
+DAY_WORD = r"^(\d{1,2})(?:st|nd|rd|th)?[\s\-/.,]*" + MONTH_WORD + r"[\s\-/.,]+(\d{4})" + CLOCK
+WORD_DAY = r"^" + MONTH_WORD + r"[\s\-/.]*(\d{1,2})(?:st|nd|rd|th)?[\s\-/.,]+(\d{4})" + CLOCK
+YEAR_WORD = r"^(\d{4})[\s\-/.]+" + MONTH_WORD + r"[\s\-/.]+(\d{1,2})" + CLOCK
 
 
 def named(name):
@@ -68,50 +71,33 @@ def looks_like_date(cell):
 def parsed_date(cell, dayfirst=False):
     """Each value read on its own; month first unless `dayfirst`, swapped when the month is impossible.
 
-    Every layout is first rewritten to `year|month|day|hour|minute|second|half` (or, for day/month/year
-    digits, `a|b|year|...` with the third piece four wide), so one split and one constructor serve all.
+    A chain of replacements turns every known layout into `=year-month-day clock`, which is cast once.
+    The chain names each step a single time, so the generated code stays small enough to be compiled.
     """
     text = stripped(cell)
-    parts = F.split(
-        F.when(text.rlike(DIGIT_DATE), F.regexp_replace(text, DIGIT_DATE, "$1|$3|$4|$5|$6|$7|$8"))
-        .when(text.rlike(COMPACT_DATE), F.regexp_replace(text, COMPACT_DATE, "$1|$2|$3||||"))
-        .when(text.rlike(DAY_WORD_DATE), F.regexp_replace(text, DAY_WORD_DATE, "$3|$2|$1|$4|$5|$6|$7"))
-        .when(text.rlike(WORD_DAY_DATE), F.regexp_replace(text, WORD_DAY_DATE, "$3|$1|$2|$4|$5|$6|$7"))
-        .when(text.rlike(YEAR_WORD_DATE), F.regexp_replace(text, YEAR_WORD_DATE, "$1|$2|$3|$4|$5|$6|$7")),
-        r"\|",
-        -1,
-    )
-    piece = [F.get(parts, F.lit(i)) for i in range(7)]
-    whole = [piece[i].try_cast("int") for i in range(5)]
-    year_first = F.length(piece[0]) == 4
-    day_leads = (whole[1] <= 12) if dayfirst else (whole[0] > 12)
-    month = F.when(
-        year_first,
-        F.when(
-            F.length(piece[1]) == 3, (F.instr(F.lit(MONTHS), F.lower(piece[1])) + 3).cast("int") / 4
-        ).otherwise(F.coalesce(whole[1], F.lit(1))),
-    ).when(F.length(piece[0]) <= 2, F.when(day_leads, whole[1]).otherwise(whole[0]))
-    day = F.when(year_first, F.coalesce(whole[2], F.lit(1))).when(day_leads, whole[0]).otherwise(whole[1])
-    short_year = F.when(whole[2] < 70, whole[2] + 2000).otherwise(whole[2] + 1900)
-    year = (
-        F.when(year_first, whole[0])
-        .when(F.length(piece[2]) == 4, whole[2])
-        .when(F.length(piece[2]) == 2, short_year)
-    )
-    half = F.lower(piece[6])
-    hour = (
-        F.when((half == "pm") & (whole[3] < 12), whole[3] + 12)
-        .when((half == "am") & (whole[3] == 12), F.lit(0))
-        .otherwise(F.coalesce(whole[3], F.lit(0)))
-    )
-    return F.try_make_timestamp_ntz(
-        year,
-        month.cast("int"),
-        day,
-        hour,
-        F.coalesce(whole[4], F.lit(0)),
-        F.coalesce(piece[5].try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)")),
-    )
+    month_leads = (MONTH_LEADS, "=$4#$5#$6-$1-$3 $7")
+    day_leads = (DAY_LEADS, "=$4#$5#$6-$3-$1 $7")
+    iso = text
+    for layout, order in [
+        (YEAR_FIRST, "=$1-$3-$4 $5"),
+        *([day_leads, month_leads] if dayfirst else [month_leads, day_leads]),
+        (r"^=(\d{4})##", "=$1"),
+        (r"^=#(\d\d)#", "=20$1"),
+        (r"^=##", "=19"),
+        (r"^(\d{4})(\d{2})(\d{2})$", "=$1-$2-$3"),
+        (r"^(\d{4})$", "=$1-1-1"),
+        (DAY_WORD, "=$3-@-$1 $4"),
+        (WORD_DAY, "=$3-@-$2 $4"),
+        (YEAR_WORD, "=$1-@-$3 $4"),
+    ]:
+        iso = F.regexp_replace(iso, layout, order)
+    month = F.lower(F.regexp_extract(text, "(?i)" + MONTH_WORD, 1))
+    month_digits = ((F.instr(F.lit(MONTHS), month) + 3) / 4).cast("int").cast("string")
+    moment = F.regexp_extract(F.replace(iso, F.lit("@"), month_digits), r"^=(.*?)\s*$", 1).try_cast("timestamp_ntz")
+    half = F.lower(F.right(text, F.lit(2)))
+    twelve = text.rlike(r"\s12:")
+    shift = F.when((half == "pm") & ~twelve, F.lit(12)).when((half == "am") & twelve, F.lit(-12)).otherwise(F.lit(0))
+    return moment + F.make_dt_interval(F.lit(0), shift)
 
 
 def hash_prefix(cell):

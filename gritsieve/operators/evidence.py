@@ -47,11 +47,11 @@ def plausible_range(name: str) -> tuple[str, float, float] | None:
     return None
 
 
-def is_code(text: Column) -> Column:
-    """True where a cell's text is one of the missing-data codes, in words or digits."""
-    words = [code for confidence, codes in K.TEXT_CODES.items() for code in codes]
+def known_code(normal: Column, value: Column) -> Column:
+    """True for a missing-data code, given the normalised text and the number it reads as."""
+    words = [code for codes in K.TEXT_CODES.values() for code in codes]
     digits = [float(code) for code in K.NUMERIC_CODES]
-    return F.coalesce(norm(text).isin(words) | number(norm(text)).isin(digits), F.lit(False))
+    return F.coalesce(normal.isin(words), F.lit(False)) | F.coalesce(value.isin(digits), F.lit(False))
 
 
 def _kind(df: DataFrame, name: str) -> str:
@@ -105,10 +105,12 @@ class Evidence:
         ).select("c.*").filter(F.col("key").isNotNull())
         text = F.col("text")
         read = cells.select(
-            "pos", "key", "beyond", norm(text).alias("norm"), number(text).alias("number"),
+            "pos", "key", "text", "beyond", "code", norm(text).alias("norm"), number(text).alias("number"),
             looks_like_date(text).alias("shaped"),
-            F.when(looks_like_date(text) & parsed_date(text).isNotNull(), date_shape(text)).alias("dated"),
-            (F.col("code") | F.coalesce(is_code(text), F.lit(False))).alias("code"),
+        ).select(
+            "pos", "key", "beyond", "norm", "number", "shaped",
+            F.when(F.col("shaped") & parsed_date(text).isNotNull(), date_shape(text)).alias("dated"),
+            (F.col("code") | known_code(F.col("norm"), F.col("number"))).alias("code"),
         )
         got = read.groupBy("pos").agg(
             F.count(F.lit(1)).alias("present"),
@@ -160,7 +162,7 @@ class Evidence:
                 )
             cells = long_cells(self.df, names, first_row=first_row_order(self.df))
             if coded - whole:
-                cells = cells.filter(F.col("column").isin(sorted(whole)) | is_code(F.col("value")))
+                cells = cells.filter(F.col("column").isin(sorted(whole)) | known_code(norm(F.col("value")), number(F.col("value"))))
             self._counts = (
                 cells.groupBy("column", "value")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("first_row").alias("first_row"))
