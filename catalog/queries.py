@@ -805,8 +805,9 @@ def rank_candidate_tables(spark, sf):
 
 
 def _streamed(spark, sf, name):
-    path = f"{sf}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """The table as a stream of files; the pattern matches a single file and a folder alike."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _drained(spark, stream: DataFrame, label: str) -> DataFrame:
