@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from catalog.dirty import dirty_cte
 from catalog.queries import EMPTY_SQL, HEADERS_SQL, QUESTION_TEXT_SQL
 from gritsieve.constants import NUMERIC_CODES, TEXT_CODES
@@ -198,16 +200,16 @@ BREAKDOWN = f"""
   FROM dirty)"""
 
 
-def coded_values(source: str = "dirty") -> str:
+def coded_values(source: str = "dirty", columns: list[str] = COLUMNS, texts: list[str] = TEXTS) -> str:
     """Every (column, value) that is a missing-data code, with its confidence after the majority rule."""
     words = ", ".join(
         "('" + code.replace("'", "''") + f"', {conf})" for conf, codes in TEXT_CODES.items() for code in codes
     )
     digits = ", ".join(f"(CAST('{code}' AS DOUBLE), {conf})" for code, conf in NUMERIC_CODES.items())
     counts = " UNION ALL ".join(
-        f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v, {'true' if c in TEXTS else 'false'} AS is_text, count(*) AS n "
+        f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v, {'true' if c in texts else 'false'} AS is_text, count(*) AS n "
         f"FROM {source} WHERE {c} IS NOT NULL GROUP BY 2"
-        for c in COLUMNS
+        for c in columns
     )
     return f"""
 , words(w, wc) AS (VALUES {words}), digits(d, dc) AS (VALUES {digits}), vc AS ({counts}),
@@ -227,24 +229,25 @@ FORMULA = (
 )
 dirty("quality_score", BREAKDOWN + coded_values() + SCORE + f" SELECT {FORMULA} AS score FROM counted, coded_columns")
 AFTER_BLANKS = " + ".join(f"count(*) - count({c})" for c in CLEAN_COLUMNS)
-ORACLES["scorecard"] = f"""WITH {CLEAN} {BREAKDOWN} {coded_values()} {SCORE},
+CODED_AFTER = coded_values("clean", CLEAN_COLUMNS, [c for c in CLEAN_COLUMNS if c not in ("age", "monthly_income", "survey_date", "Q1", "Q7_count")])
+for word in ("words", "digits", "vc", "coded", "hits"):
+    CODED_AFTER = re.sub(rf"\b{word}\b", word + "2", CODED_AFTER)
+ORACLES["scorecard"] = f"""WITH {CLEAN} {BREAKDOWN} {coded_values()} {SCORE} {CODED_AFTER},
 later AS (
   SELECT count(*) AS n_rows, CAST({len(CLEAN_COLUMNS)} AS BIGINT) AS n_cols, CAST({AFTER_BLANKS} AS BIGINT) AS missing_cells,
-    CAST(0 AS BIGINT) AS duplicate_rows, CAST(0 AS BIGINT) AS constant_columns, CAST(0 AS BIGINT) AS sentinel_columns FROM clean),
+    CAST(0 AS BIGINT) AS duplicate_rows, CAST(0 AS BIGINT) AS constant_columns,
+    (SELECT count(DISTINCT col) FROM hits2) AS sentinel_columns FROM clean),
 before_score AS (SELECT {FORMULA} AS score, * FROM counted, coded_columns),
 after_score AS (SELECT {FORMULA} AS score, * FROM later)
 {' UNION ALL '.join(
     f"SELECT '{m}' AS measure, b.{m} AS before, a.{m} AS after, a.{m} - b.{m} AS change FROM before_score b, after_score a"
     for m in ("score", "n_rows", "n_cols", "duplicate_rows"))}"""
 SMALL_TEXTS = [c for c in CLEAN_COLUMNS if c not in ("age", "monthly_income", "survey_date", "Q7_count", "Q1")]
+LISTED = "CASE WHEN count(DISTINCT {0}) BETWEEN 1 AND 12 THEN string_agg(DISTINCT {0}, '|' ORDER BY {0}) END"
 clean("schema_summary", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", {'true' if c == 'Q1' else 'false'} AS is_ordered, """
-    + (
-        f"array_to_string({LEVELS}, '|')" if c == "Q1"
-        else f"CASE WHEN count(DISTINCT {c}) BETWEEN 1 AND 12 THEN string_agg(DISTINCT {c}, '|' ORDER BY {c}) END" if c in SMALL_TEXTS
-        else "CAST(NULL AS VARCHAR)"
-    )
-    + " AS levels FROM clean"
+    + (f"array_to_string({LEVELS}, '|')" if c == "Q1" else LISTED.format(c) if c in SMALL_TEXTS else "CAST(NULL AS VARCHAR)")
+    + " AS levels FROM clean HAVING count(*) > 0"
     for c in CLEAN_COLUMNS
 ))
 
@@ -386,6 +389,10 @@ found AS ({SENTINEL} FROM hits GROUP BY col
   UNION ALL SELECT * FROM ({STRUCTURAL}))"""
 
 
+CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+ORACLES["scan_customers"] = f"""WITH {coded_values('customer', CUSTOMER, ['c_name', 'c_mktsegment']).lstrip().lstrip(',')}
+{SENTINEL} FROM hits GROUP BY col
+UNION ALL SELECT 'pii', 'c_name', 0.80, count(c_name), 'deidentify' FROM customer"""
 ORACLES["scan"] = f"WITH {scan_cte()} SELECT * FROM found"
 
 # Plan and recipe
@@ -524,11 +531,11 @@ def box_sql(source: str, group: str, c: str) -> str:
     return f"""
 q AS (SELECT {group} AS g, count({c}) AS n, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q3
   FROM {source} WHERE {group} IS NOT NULL AND {c} IS NOT NULL GROUP BY 1)
-SELECT g AS "group", n, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
-  round(least(min({c}) FILTER (WHERE {c} >= q1 - 1.5 * (q3 - q1) AND {c} <= q3 + 1.5 * (q3 - q1)), q1), 4) AS whisker_low,
-  round(greatest(max({c}) FILTER (WHERE {c} >= q1 - 1.5 * (q3 - q1) AND {c} <= q3 + 1.5 * (q3 - q1)), q3), 4) AS whisker_high,
-  count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS n_beyond
-FROM {source} JOIN q ON {group} = g WHERE {c} IS NOT NULL GROUP BY g, n, q1, median, q3"""
+SELECT g AS "group", n, round(q.q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
+  round(least(min({c}) FILTER (WHERE {c} >= q.q1 - 1.5 * (q3 - q.q1) AND {c} <= q3 + 1.5 * (q3 - q.q1)), q.q1), 4) AS whisker_low,
+  round(greatest(max({c}) FILTER (WHERE {c} >= q.q1 - 1.5 * (q3 - q.q1) AND {c} <= q3 + 1.5 * (q3 - q.q1)), q3), 4) AS whisker_high,
+  count(*) FILTER (WHERE {c} < q.q1 - 1.5 * (q3 - q.q1) OR {c} > q3 + 1.5 * (q3 - q.q1)) AS n_beyond
+FROM {source} JOIN q ON {group} = g WHERE {c} IS NOT NULL GROUP BY g, n, q.q1, median, q3"""
 
 
 clean("chart_box_by_group", box_sql("clean", "state", "monthly_income"), ",")

@@ -65,6 +65,13 @@ def clean_view(spark: SparkSession, sf: str) -> DataFrame:
     return CLEANING.apply(dirty_view(spark, sf))
 
 
+def cleaned_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned view written once to the shared folder: work of several passes reads only its columns."""
+    path = fresh_path(spark, "cleaned")
+    clean_view(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def learned(spark: SparkSession, sf: str) -> tuple[DataFrame, Recipe]:
     """Scan, plan, keep the safe steps, resolve them: the whole path from raw table to recipe."""
     df = dirty_view(spark, sf)
@@ -334,12 +341,12 @@ def quality_score(spark, sf):
 
 @query
 def scorecard(spark, sf):
-    return prof.scorecard(dirty_view(spark, sf), clean_view(spark, sf))
+    return prof.scorecard(dirty_view(spark, sf), cleaned_table(spark, sf))
 
 
 @query
 def schema_summary(spark, sf):
-    out = prof.schema_summary(clean_view(spark, sf))
+    out = prof.schema_summary(cleaned_table(spark, sf))
     return out.select("column", "is_ordered", F.array_join("levels", "|").alias("levels"))
 
 
@@ -450,9 +457,9 @@ def scan(spark, sf):
 
 
 @query
-def scan_events(spark, sf):
-    """The scan on a table of another kind: machine events."""
-    return _found(find.scan(table(spark, sf, "events").withColumnRenamed("event_id", ROW_ID)))
+def scan_customers(spark, sf):
+    """The scan on a table of another kind, without a row order."""
+    return _found(find.scan(table(spark, sf, "customer")))
 
 
 # Plan and recipe
@@ -542,12 +549,12 @@ def ledger_for_reading(spark, sf):
 
 @query
 def roles(spark, sf):
-    return classify(clean_view(spark, sf)).select(F.col("pos").cast("bigint").alias("pos"), "column", "role")
+    return classify(cleaned_table(spark, sf)).select(F.col("pos").cast("bigint").alias("pos"), "column", "role")
 
 
 @query
 def chart_suggestions(spark, sf):
-    out = charts.suggest_charts(clean_view(spark, sf))
+    out = charts.suggest_charts(cleaned_table(spark, sf))
     return out.select(F.col("place").cast("bigint").alias("place"), "kind", "title", "score")
 
 
@@ -557,7 +564,7 @@ def _bins(df: DataFrame) -> DataFrame:
 
 @query
 def chart_histogram(spark, sf):
-    return _bins(charts.histogram(clean_view(spark, sf), "monthly_income"))
+    return _bins(charts.histogram(cleaned_table(spark, sf), "monthly_income"))
 
 
 @query
@@ -592,7 +599,7 @@ def chart_timeseries_events(spark, sf):
 
 @query
 def chart_grouped_bar(spark, sf):
-    return charts.grouped_bar(clean_view(spark, sf), "gender", "Q1").withColumn("pct", F.round("pct", 6))
+    return charts.grouped_bar(cleaned_table(spark, sf), "gender", "Q1").withColumn("pct", F.round("pct", 6))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -604,7 +611,7 @@ BOX = ["q1", "median", "q3", "whisker_low", "whisker_high"]
 
 @query
 def chart_box_by_group(spark, sf):
-    return _rounded(charts.box_by_group(clean_view(spark, sf), "state", "monthly_income"), *BOX)
+    return _rounded(charts.box_by_group(cleaned_table(spark, sf), "state", "monthly_income"), *BOX)
 
 
 @query
@@ -638,7 +645,7 @@ def finding_thin_fields(spark, sf):
 
 @query
 def finding_outcome_split(spark, sf):
-    return says.outcome_split(clean_view(spark, sf), "outcome")
+    return says.outcome_split(cleaned_table(spark, sf), "outcome")
 
 
 @query
@@ -648,22 +655,22 @@ def finding_bad_value(spark, sf):
 
 @query
 def finding_group_rates(spark, sf):
-    return says.group_rates(clean_view(spark, sf), "outcome", "treatment_arm")
+    return says.group_rates(cleaned_table(spark, sf), "outcome", "treatment_arm")
 
 
 @query
 def finding_group_gap(spark, sf):
-    return says.group_gap(clean_view(spark, sf), "outcome", "treatment_arm")
+    return says.group_gap(cleaned_table(spark, sf), "outcome", "treatment_arm")
 
 
 @query
 def finding_concentration(spark, sf):
-    return says.concentration(clean_view(spark, sf), "state").withColumn("share", F.round("share", 9))
+    return says.concentration(cleaned_table(spark, sf), "state").withColumn("share", F.round("share", 9))
 
 
 @query
 def finding_numeric_summary(spark, sf):
-    return _rounded(says.numeric_summary(clean_view(spark, sf), "monthly_income"), "median", "q1", "q3", "mean")
+    return _rounded(says.numeric_summary(cleaned_table(spark, sf), "monthly_income"), "median", "q1", "q3", "mean")
 
 
 @query
@@ -673,14 +680,14 @@ def finding_numeric_summary_lineitem(spark, sf):
 
 @query
 def findings(spark, sf):
-    out = says.analyse(clean_view(spark, sf))
+    out = says.analyse(cleaned_table(spark, sf))
     names = F.array_join(F.from_json("columns", "array<string>"), "|")
     return out.select("kind", names.alias("columns"), F.round("importance", 6).alias("importance"))
 
 
 @query
 def recommendations(spark, sf):
-    df = clean_view(spark, sf)
+    df = cleaned_table(spark, sf)
     ev = Evidence(df)
     out = says.recommendations(df, says.analyse(df, ev=ev), ev)
     subject = F.when(F.col("kind") == "investigate_gap", F.array_join(F.from_json("subject", "array<string>"), "|"))
@@ -692,18 +699,18 @@ def recommendations(spark, sf):
 
 @query
 def questions(spark, sf):
-    out = asks.suggest_questions(clean_view(spark, sf))
+    out = asks.suggest_questions(cleaned_table(spark, sf))
     return out.select(F.col("place").cast("bigint").alias("place"), "question", "score", "category")
 
 
 @query
 def question_outcome_by_exposure(spark, sf):
-    return asks.shares_by_group(clean_view(spark, sf), "treatment_arm", "outcome").withColumn("pct", F.round("pct", 6))
+    return asks.shares_by_group(cleaned_table(spark, sf), "treatment_arm", "outcome").withColumn("pct", F.round("pct", 6))
 
 
 @query
 def question_outcome_by_group(spark, sf):
-    return asks.shares_by_group(clean_view(spark, sf), "gender", "outcome").withColumn("pct", F.round("pct", 6))
+    return asks.shares_by_group(cleaned_table(spark, sf), "gender", "outcome").withColumn("pct", F.round("pct", 6))
 
 
 @query
@@ -713,7 +720,7 @@ def question_records_per_outcome(spark, sf):
 
 @query
 def question_median_by_group(spark, sf):
-    return _rounded(asks.median_by_group(clean_view(spark, sf), "monthly_income", "treatment_arm"), "median")
+    return _rounded(asks.median_by_group(cleaned_table(spark, sf), "monthly_income", "treatment_arm"), "median")
 
 
 @query
@@ -723,12 +730,12 @@ def question_median_level(spark, sf):
 
 @query
 def question_mean_and_median(spark, sf):
-    return _rounded(asks.mean_median_by_group(clean_view(spark, sf), "age", "gender"), "mean", "median")
+    return _rounded(asks.mean_median_by_group(cleaned_table(spark, sf), "age", "gender"), "mean", "median")
 
 
 @query
 def question_spread(spark, sf):
-    return _rounded(asks.spread(clean_view(spark, sf), "monthly_income"), "minimum", "q1", "median", "q3", "maximum")
+    return _rounded(asks.spread(cleaned_table(spark, sf), "monthly_income"), "minimum", "q1", "median", "q3", "maximum")
 
 
 @query
@@ -760,7 +767,9 @@ def sql_readonly(spark, sf):
 @query
 def load_delimited(spark, sf):
     path = fresh_path(spark, "dirty") + ".csv"
-    dirty_view(spark, sf).drop(ROW_ID).write.options(header=True, escape='"', sep=";", emptyValue="").csv(path)
+    dirty_view(spark, sf).drop(ROW_ID).write.options(
+        header=True, escape='"', sep=";", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
     return load(spark, path).df.drop(ROW_ID).drop("monthly_income")
 
 
@@ -857,4 +866,4 @@ def stream_scan(spark, sf):
     dirty = spark.sql(DIRTY_SQL, orders=_streamed(spark, sf, "orders")).withColumnRenamed("row_id", ROW_ID)
     path, checkpoint = fresh_path(spark, "stream-scan"), fresh_path(spark, "stream-scan-checkpoint")
     scan_batches(dirty, path, checkpoint).awaitTermination()
-    return spark.read.parquet(path).select("batch_id", "kind", "column", "confidence", "n_affected")
+    return spark.read.parquet(path).select(F.col("batch_id").cast("bigint").alias("batch_id"), "kind", "column", "confidence", "n_affected")

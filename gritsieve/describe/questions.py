@@ -34,13 +34,17 @@ def known_records_by_value(df: DataFrame, column: str) -> DataFrame:
     return records_by_value(df, column).filter("value is not null")
 
 
-def median_by_group(df: DataFrame, value: str, group: str) -> DataFrame:
+def mean_median_by_group(df: DataFrame, value: str, group: str) -> DataFrame:
     known = df.filter(named(group).isNotNull())
     return exact_quantiles(known, as_number(df, value), [0.5], by=[group]).select(
-        as_text(df, group).alias("group"), "n", F.col("q")[0].alias("median")
+        as_text(df, group).alias("group"), "n", "mean", F.col("q")[0].alias("median")
     )
 
 
+def median_by_group(df: DataFrame, value: str, group: str) -> DataFrame:
+    return mean_median_by_group(df, value, group).drop("mean")
+
+
 def median_level(df: DataFrame, scale: str, group: str | None = None) -> DataFrame:
     """Median answer on an ordered scale, overall (group NULL) and per group: the lower middle level.
 
@@ -71,14 +75,6 @@ def median_level(df: DataFrame, scale: str, group: str | None = None) -> DataFra
     )
 
 
-def mean_median_by_group(df: DataFrame, value: str, group: str) -> DataFrame:
-    means = (
-        df.filter(named(group).isNotNull()).select(as_text(df, group).alias("group"), as_number(df, value).alias("v"))
-        .groupBy("group").agg(F.avg("v").alias("mean"))
-    )
-    return median_by_group(df, value, group).join(means, "group").select("group", "n", "mean", "median")
-
-
 def spread(df: DataFrame, value: str) -> DataFrame:
     """Minimum, quartiles and maximum."""
     q = exact_quantiles(df, as_number(df, value), [0.0, 0.25, 0.5, 0.75, 1.0])

@@ -17,16 +17,12 @@ NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 MONTH_START = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 
-CLOCK = r"(?:[T\s]\s*(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\d*\s*(?:[AaPp][Mm])?(?:Z|\+00:?00)?)?$"
+CLOCK = r"(?:[T\s]\s*(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\d*\s*([AaPp][Mm])?(?:Z|\+00:?00)?)?$"
 MONTH_WORD = (
     r"(?i:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
     r"(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?)\.?"
 )
-MONTH_DIGITS = r"(0?[1-9]|1[0-2])"
-ANY_YEAR = r"(?:(\d{4})|([0-6]\d)|([7-9]\d))"
-YEAR_FIRST = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + CLOCK
-MONTH_LEADS = r"^" + MONTH_DIGITS + r"([-/.])(\d{1,2})\2" + ANY_YEAR + CLOCK
-DAY_LEADS = r"^(\d{1,2})([-/.])" + MONTH_DIGITS + r"\2" + ANY_YEAR + CLOCK
+DIGIT_DATE = r"^(\d{1,4})([-/.])(\d{1,2})\2(\d{1,4})" + CLOCK
 DAY_WORD = r"^(\d{1,2})(?:st|nd|rd|th)?[\s\-/.,]*" + MONTH_WORD + r"[\s\-/.,]+(\d{4})" + CLOCK
 WORD_DAY = r"^" + MONTH_WORD + r"[\s\-/.]*(\d{1,2})(?:st|nd|rd|th)?[\s\-/.,]+(\d{4})" + CLOCK
 YEAR_WORD = r"^(\d{4})[\s\-/.]+" + MONTH_WORD + r"[\s\-/.]+(\d{1,2})" + CLOCK
@@ -68,36 +64,46 @@ def looks_like_date(cell):
     return text.rlike(r"\d") & ((separators >= 2) | text.rlike(MONTH_START))
 
 
+def _moment(parts, dayfirst):
+    """TIMESTAMP_NTZ from the pieces of one date: year, month, day or a, b, year; then clock and am/pm."""
+    first, second, third, clock, half = (F.get(parts, F.lit(i)) for i in range(5))
+    a, b, c = (piece.try_cast("int") for piece in (first, second, third))
+    compact = F.regexp_replace(first, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    day_leads = (b <= 12) if dayfirst else (a > 12)
+    year = F.when(F.length(third) == 4, c).when(
+        F.length(third) == 2, c + F.when(c < 70, F.lit(2000)).otherwise(F.lit(1900))
+    )
+    month_word = ((F.instr(F.lit(MONTHS), F.lower(second)) + 3) / 4).cast("int")
+    date = (
+        F.when(second.isNull() & first.rlike(r"^\d{4}(\d{4})?$"), F.rpad(compact, 10, "-01"))
+        .when(F.length(first) == 4, F.concat_ws("-", first, F.when(F.length(second) == 3, month_word).otherwise(b), c))
+        .when(F.length(first) <= 2, F.concat_ws(
+            "-", F.lpad(year.cast("string"), 4, "0"), F.when(day_leads, b).otherwise(a), F.when(day_leads, a).otherwise(b)
+        ))
+    )
+    moment = F.concat_ws(" ", date, F.nullif(clock, F.lit(""))).try_cast("timestamp_ntz")
+    noon = clock.startswith("12:")
+    shift = (
+        F.when((F.lower(half) == "pm") & ~noon, F.lit(12)).when((F.lower(half) == "am") & noon, F.lit(-12))
+        .otherwise(F.lit(0))
+    )
+    return moment + F.make_dt_interval(F.lit(0), shift)
+
+
 def parsed_date(cell, dayfirst=False):
     """Each value read on its own; month first unless `dayfirst`, swapped when the month is impossible.
 
-    A chain of replacements turns every known layout into `=year-month-day clock`, which is cast once.
-    The chain names each step a single time, so the generated code stays small enough to be compiled.
+    The pieces are cut out by one replacement and held as a lambda's argument, so they are found once
+    per cell however often the rules below look at them.
     """
     text = stripped(cell)
-    month_leads = (MONTH_LEADS, "=$4#$5#$6-$1-$3 $7")
-    day_leads = (DAY_LEADS, "=$4#$5#$6-$3-$1 $7")
-    iso = text
-    for layout, order in [
-        (YEAR_FIRST, "=$1-$3-$4 $5"),
-        *([day_leads, month_leads] if dayfirst else [month_leads, day_leads]),
-        (r"^=(\d{4})##", "=$1"),
-        (r"^=#(\d\d)#", "=20$1"),
-        (r"^=##", "=19"),
-        (r"^(\d{4})(\d{2})(\d{2})$", "=$1-$2-$3"),
-        (r"^(\d{4})$", "=$1-1-1"),
-        (DAY_WORD, "=$3-@-$1 $4"),
-        (WORD_DAY, "=$3-@-$2 $4"),
-        (YEAR_WORD, "=$1-@-$3 $4"),
-    ]:
-        iso = F.regexp_replace(iso, layout, order)
-    month = F.lower(F.regexp_extract(text, "(?i)" + MONTH_WORD, 1))
-    month_digits = ((F.instr(F.lit(MONTHS), month) + 3) / 4).cast("int").cast("string")
-    moment = F.regexp_extract(F.replace(iso, F.lit("@"), month_digits), r"^=(.*?)\s*$", 1).try_cast("timestamp_ntz")
-    half = F.lower(F.right(text, F.lit(2)))
-    twelve = text.rlike(r"\s12:")
-    shift = F.when((half == "pm") & ~twelve, F.lit(12)).when((half == "am") & twelve, F.lit(-12)).otherwise(F.lit(0))
-    return moment + F.make_dt_interval(F.lit(0), shift)
+    cut = lambda *groups: "\x1f".join(f"${g}" for g in groups)
+    worded = F.regexp_replace(text, DAY_WORD, cut(3, 2, 1, 4, 5))
+    worded = F.regexp_replace(worded, WORD_DAY, cut(3, 1, 2, 4, 5))
+    worded = F.regexp_replace(worded, YEAR_WORD, cut(1, 2, 3, 4, 5))
+    digits = F.regexp_replace(text, DIGIT_DATE, cut(1, 3, 4, 5, 6))
+    pieces = F.split(F.when(text.rlike("[A-Za-z]{3}"), worded).otherwise(digits), "\x1f")
+    return F.transform(F.array(pieces), lambda parts: _moment(parts, dayfirst))[0]
 
 
 def hash_prefix(cell):

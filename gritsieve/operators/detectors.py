@@ -88,17 +88,19 @@ def likert_scale(ev: Evidence) -> DataFrame:
         ],
         "scale_no int, scale string, place int, norm string",
     )
-    answers = _whole(ev, "text").groupBy("column", "norm").agg(F.sum("n").alias("n"))
-    sizes = answers.groupBy("column").agg(F.count(F.lit(1)).alias("d")).filter("d between 2 and 8")
-    best = W.partitionBy("column").orderBy(F.desc("overlap"), "scale_no")
+    everything, best = W.partitionBy("column"), W.partitionBy("column").orderBy(F.desc("overlap"), "scale_no")
+    answers = (
+        _whole(ev, "text").groupBy("column", "norm").agg(F.sum("n").alias("n"))
+        .withColumn("d", F.count(F.lit(1)).over(everything))
+        .filter("d between 2 and 8")
+    )
     matched = (
         answers.join(F.broadcast(levels), "norm")
-        .groupBy("column", "scale_no", "scale")
+        .groupBy("column", "scale_no", "scale", "d")
         .agg(
             F.count(F.lit(1)).alias("hits"), F.sum("n").alias("n_affected"),
             F.array_sort(F.collect_list(F.struct("place", "norm"))).alias("found"),
         )
-        .join(sizes, "column")
         .withColumn("overlap", F.col("hits") / F.col("d"))
         .withColumn("place", F.row_number().over(best))
         .filter((F.col("place") == 1) & (F.col("overlap") >= 0.75))
@@ -123,28 +125,23 @@ def value_synonyms(ev: Evidence) -> DataFrame:
         ],
         "vocab_no int, vocab string, hint string, answer string, norm string",
     )
-    values = _whole(ev, "text")
-    sizes = (
-        values.groupBy("column").agg(F.count_distinct("norm").alias("d")).filter("d between 3 and 14")
-    )
-    covered = values.join(F.broadcast(aliases), "norm").join(sizes, "column")
-    best = W.partitionBy("column").orderBy(F.desc("score"), "vocab_no")
-    chosen = (
-        covered.groupBy("column", "vocab_no", "hint", "d")
-        .agg(F.count_distinct("norm").alias("known"), F.count_distinct("answer").alias("answers"))
+    per_column, per_vocab = W.partitionBy("column"), W.partitionBy("column", "vocab_no")
+    best = per_column.orderBy(F.desc("score"), "vocab_no")
+    hinted = F.rlike(name_tokens(F.col("column")), F.col("hint"))
+    covered = (
+        _whole(ev, "text")
+        .withColumn("d", F.size(F.collect_set("norm").over(per_column)))
+        .filter("d between 3 and 14")
+        .join(F.broadcast(aliases), "norm")
+        .withColumn("known", F.size(F.collect_set("norm").over(per_vocab)))
+        .withColumn("answers", F.size(F.collect_set("answer").over(per_vocab)))
         .filter((F.col("known") / F.col("d") >= 0.6) & (F.col("answers") == 2))
-        .withColumn(
-            "score",
-            F.col("known") / F.col("d")
-            + F.when(F.rlike(name_tokens(F.col("column")), F.col("hint")), 0.3).otherwise(0.0),
-        )
-        .withColumn("place", F.row_number().over(best))
-        .filter("place = 1")
-        .select("column", "vocab_no", "known")
+        .withColumn("score", F.col("known") / F.col("d") + F.when(hinted, 0.3).otherwise(0.0))
+        .withColumn("chosen", F.first("vocab_no").over(best))
+        .filter("vocab_no = chosen")
     )
     return (
-        covered.join(chosen, ["column", "vocab_no"])
-        .filter(F.col("value") != F.col("answer"))
+        covered.filter(F.col("value") != F.col("answer"))
         .groupBy("column", "vocab", "d", "known")
         .agg(
             F.sum("n").alias("n_affected"),
@@ -164,12 +161,11 @@ def value_synonyms(ev: Evidence) -> DataFrame:
 
 
 def case_variants(ev: Evidence) -> DataFrame:
-    values = _whole(ev, "text")
-    sizes = values.groupBy("column").agg(F.count(F.lit(1)).alias("d")).filter("d between 2 and 60")
-    # At most 60 spellings a column from here on.
     bucket = W.partitionBy("column", "norm").orderBy(F.desc("n"), F.col("first_row").asc_nulls_last(), "value")
     spelled = (
-        values.join(sizes, "column")
+        _whole(ev, "text")
+        .withColumn("d", F.count(F.lit(1)).over(W.partitionBy("column")))
+        .filter("d between 2 and 60")
         .withColumn("place", F.row_number().over(bucket))
         .withColumn("main", F.first("value").over(bucket))
         .filter("place > 1")

@@ -167,6 +167,8 @@ class Evidence:
                 cells.groupBy("column", "value")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("first_row").alias("first_row"))
                 .select("column", "value", norm(F.col("value")).alias("norm"), "n", "first_row")
+                # A few hundred rows a column: laid out by column once, no detector shuffles them again.
+                .repartition("column")
                 .persist(StorageLevel.MEMORY_AND_DISK)
             )
         return self._counts

@@ -20,7 +20,7 @@ MARGIN = 4.0 / ACCURACY
 def exact_quantiles(
     df: DataFrame, value: Column, probs: list[float], by: list[str] = (), interpolate: bool = True
 ) -> DataFrame:
-    """One row per group: the group columns, `n` (non-blank values) and `q` (one entry per probability).
+    """One row per group: the group columns, `n` and `mean` of the values, and `q`, one entry per probability.
 
     `interpolate=True` is the linear rule between neighbours; False takes the lower of the two.
     """
@@ -33,13 +33,14 @@ def exact_quantiles(
     edges = [max(p - MARGIN, 0.0) for p in probs] + [min(p + MARGIN, 1.0) for p in probs]
     sketch = cells.groupBy(*keys).agg(
         F.count("_v").alias("n"),
+        F.avg("_v").alias("mean"),
         F.percentile_approx("_v", edges, ACCURACY).alias("_edges"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
     )
     if keys:
         # Null-safe join on the groups; AQE broadcasts the sketch side only when its measured size allows.
-        side = sketch.select(*[F.col(k).alias("_s" + k) for k in keys], "n", "_edges", "_min", "_max")
+        side = sketch.select(*[F.col(k).alias("_s" + k) for k in keys], "n", "mean", "_edges", "_min", "_max")
         matched = [F.col(k).eqNullSafe(F.col("_s" + k)) for k in keys]
         condition = matched[0]
         for more in matched[1:]:
@@ -49,7 +50,8 @@ def exact_quantiles(
         got = sketch.first()
         bracketed = cells.select(
             "*",
-            F.lit(got["n"]).alias("n"),
+            F.lit(got["n"]).cast("bigint").alias("n"),
+            F.lit(got["mean"]).cast("double").alias("mean"),
             F.array(*[F.lit(e) for e in (got["_edges"] or [0.0] * len(edges))]).cast("array<double>").alias("_edges"),
             F.lit(got["_min"]).cast("double").alias("_min"),
             F.lit(got["_max"]).cast("double").alias("_max"),
@@ -67,31 +69,31 @@ def exact_quantiles(
         for i, p in enumerate(probs)
     ])
     placed = (
-        bracketed.select(*keys, "_v", "n", F.explode(slots).alias("_s"))
+        bracketed.select(*keys, "_v", "n", "mean", F.explode(slots).alias("_s"))
         .filter(F.col("_v") <= F.col("_s.high"))
         .select(
-            *keys, "n", F.col("_s.slot").alias("slot"), F.col("_s.rank").alias("rank"),
+            *keys, "n", "mean", F.col("_s.slot").alias("slot"), F.col("_s.rank").alias("rank"),
             F.when(F.col("_v") >= F.col("_s.low"), F.col("_v")).alias("_v"),
         )
     )
     # A blank value stands for everything below the bracket and sorts first.
-    counts = placed.groupBy(*keys, "slot", "rank", "n", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = placed.groupBy(*keys, "slot", "rank", "n", "mean", "_v").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(
         W.partitionBy(*keys, "slot").orderBy(F.col("_v").asc_nulls_first())
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     ranked = counts.select("*", upto.alias("_upto"), (upto - F.col("_n")).alias("_from"))
     at = lambda r: F.max(F.when((F.col("_from") <= r) & (r < F.col("_upto")), F.col("_v")))
-    per_slot = ranked.groupBy(*keys, "slot", "rank", "n").agg(
+    per_slot = ranked.groupBy(*keys, "slot", "rank", "n", "mean").agg(
         at(F.floor("rank")).alias("_lo"), at(F.ceil("rank")).alias("_hi")
     )
     share = F.col("rank") - F.floor("rank")
     quantile = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share if interpolate else F.col("_lo")
-    return per_slot.groupBy(*keys, "n").agg(
+    return per_slot.groupBy(*keys, "n", "mean").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("slot", quantile.alias("q")))), lambda s: s["q"]
         ).alias("q")
-    ).select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], "n", "q")
+    ).select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], "n", "mean", "q")
 
 
 def most_frequent(df: DataFrame, value: Column) -> DataFrame:

@@ -16,13 +16,15 @@ def without_helpers(df: DataFrame) -> DataFrame:
 def write_clean(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists", keep_helpers: bool = False) -> None:
     """CSV for exchange; Parquet keeps types, ordinals and levels."""
     out = df.drop(ROW_ID) if keep_helpers else without_helpers(df)
-    writer = out.write.mode(mode)
-    if fmt == "csv":
-        nested = [f.name for f in out.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
-        out = out.withColumns({c: F.to_json(named(c)) for c in nested})
-        out.write.mode(mode).options(header=True, escape='"').csv(path)
-    else:
-        writer.format(fmt).save(path)
+    if fmt != "csv":
+        out.write.mode(mode).format(fmt).save(path)
+        return
+    nested = [f.name for f in out.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
+    out = out.withColumns({c: F.to_json(named(c)) for c in nested}) if nested else out
+    # Outer blanks are data here; by default the writer would trim them.
+    out.write.mode(mode).options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def write_ledger(ledger: DataFrame, path: str, mode: str = "errorifexists") -> None:
