@@ -11,7 +11,7 @@ BLANKS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 
 # Month names by their first three letters.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
@@ -43,8 +43,8 @@ def norm(cell):
 
 def number(cell):
     """Text to DOUBLE; NULL where the text is not wholly a number."""
-    text = F.btrim(cell.cast("string"), F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    text = cell.cast("string")
+    return F.when(text.rlike(NUMBER), F.btrim(text, F.lit(" \t\n\x0b\x0c\r")).try_cast("double"))
 
 
 def name_tokens(cell):
@@ -59,7 +59,7 @@ def date_shape(cell):
 
 def looks_like_date(cell):
     """A digit, and either a month in words or two date separators."""
-    text = stripped(cell)
+    text = cell.cast("string")
     separators = F.length(text) - F.length(F.translate(text, "/-.", ""))
     return text.rlike(r"\d") & ((separators >= 2) | text.rlike(MONTH_START))
 

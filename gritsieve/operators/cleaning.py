@@ -40,12 +40,20 @@ def is_one_of(df, column, values):
     return F.coalesce(tidy(df, column).isin([literal_like(df, column, v) for v in values]), F.lit(False))
 
 
+def repeats_name(df, column):
+    """True for a cell that is its own column's name; a cheap test spares most cells the full comparison."""
+    name = column.strip().lower()
+    text = named(column).cast("string")
+    if df.schema[column].dataType.typeName() in ("string", "varchar", "char"):
+        return F.coalesce(F.lower(text).contains(F.lit(name)) & (norm(text) == F.lit(name)), F.lit(False))
+    # Numbers and dates never spell a name that starts with a letter.
+    return F.lit(False) if name[:1].isalpha() and name not in ("true", "false") else F.coalesce(norm(text) == name, F.lit(False))
+
+
 def header_copy(df):
     """True for a row in which at least two cells and half of all cells repeat their column's name."""
     names = value_columns(df)
-    hits = sum(
-        (F.coalesce(norm(named(c)) == norm(F.lit(c)), F.lit(False)).cast("int") for c in names), F.lit(0)
-    )
+    hits = sum((repeats_name(df, c).cast("int") for c in names), F.lit(0))
     return hits >= max(2, len(names) * 0.5)
 
 
