@@ -12,7 +12,7 @@ from gritsieve.functions.cells import ORDINAL, named
 from gritsieve.operators.evidence import Evidence
 from gritsieve.operators.profile import missing_counts
 from gritsieve.operators.quantiles import exact_quantiles
-from gritsieve.relations import as_text, cell, data_columns, local_relation
+from gritsieve.relations import as_text, cell, data_columns, held, local_relation
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -84,7 +84,7 @@ def timeseries(df: DataFrame, column: str) -> DataFrame:
 
 def grouped_bar(df: DataFrame, group: str, scale: str) -> DataFrame:
     """Row percentages of a cross table in long form; every group lists every level."""
-    counts = (
+    counts = held(
         df.select(as_text(df, group).alias("g"), as_text(df, scale).alias("s")).dropna()
         .groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"))
     )
@@ -104,14 +104,13 @@ def box_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whiskers at the last value within 1.5 IQR, and the number of points beyond."""
     known = df.filter(named(group).isNotNull())
     number_ = cell(df, value).cast("double")
-    quartiles = exact_quantiles(known, number_, [0.25, 0.5, 0.75], by=[group]).select(
+    quartiles = held(exact_quantiles(known, number_, [0.25, 0.5, 0.75], by=[group]).select(
         as_text(df, group).alias("group"), "n",
         F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
-    )
+    ))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
     cells = known.select(as_text(df, group).alias("group"), number_.alias("v")).filter("v is not null")
-    # The quartiles hold a row per group; AQE broadcasts them if that is measured to be small.
     spread = cells.join(quartiles.select("group", "q1", "q3"), "group").groupBy("group").agg(
         F.min(F.when(inside, F.col("v"))).alias("low"), F.max(F.when(inside, F.col("v"))).alias("high"),
         F.count_if(~inside).alias("n_beyond"),

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gritsieve.functions.cells import named
+from gritsieve.relations import held
 
 ACCURACY = 100_000
 MARGIN = 4.0 / ACCURACY
@@ -39,8 +40,9 @@ def exact_quantiles(
         F.max("_v").alias("_max"),
     )
     if keys:
-        # Null-safe join on the groups; AQE broadcasts the sketch side only when its measured size allows.
-        side = sketch.select(*[F.col(k).alias("_s" + k) for k in keys], "n", "mean", "_edges", "_min", "_max")
+        # Null-safe join on the groups. Up to HELD_ROWS groups the sketch is small and known to be, so the
+        # table is not shuffled; beyond that it is a shuffle join, where AQE splits a group that is too big.
+        side = held(sketch).select(*[F.col(k).alias("_s" + k) for k in keys], "n", "mean", "_edges", "_min", "_max")
         matched = [F.col(k).eqNullSafe(F.col("_s" + k)) for k in keys]
         condition = matched[0]
         for more in matched[1:]:

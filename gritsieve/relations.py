@@ -21,9 +21,24 @@ LEDGER = (
 )
 
 
-def local_relation(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
+HELD_ROWS = 10_000
+
+
+def held(df: DataFrame, limit: int = HELD_ROWS) -> DataFrame:
+    """An aggregate's result, computed once and kept if it has no more than `limit` rows; else left as it is.
+
+    What is kept has an exact size, so Spark joins it by broadcast and never shuffles the table for it.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return local_relation(df.sparkSession, [r.asDict(recursive=True) for r in rows], df.schema)
+
+
+def local_relation(spark: SparkSession, rows: list[dict], schema: str | T.StructType) -> DataFrame:
     """A relation about tables (never table data): at most a few rows per column."""
-    schema = T._parse_datatype_string(ddl)
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)), schema=schema)
 
 
