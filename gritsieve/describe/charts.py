@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from gritsieve.constants import MAX_CATEGORIES, MIN_CHART_ROWS
 from gritsieve.describe.roles import Roles, collapsed_members
 from gritsieve.functions.cells import ORDINAL, named
-from gritsieve.operators.evidence import Evidence
+from gritsieve.operators.evidence import Evidence, with_evidence
 from gritsieve.operators.profile import missing_counts
 from gritsieve.operators.quantiles import exact_quantiles
 from gritsieve.relations import as_text, cell, data_columns, held, local_relation
@@ -161,6 +161,7 @@ def chart_data(df: DataFrame, kind: str, columns: list[str]) -> DataFrame:
 SUGGESTIONS = "place int, kind string, title string, columns string, score double, rationale string"
 
 
+@with_evidence
 def suggest_charts(df: DataFrame, limit: int = 12, ev: Evidence | None = None) -> DataFrame:
     """Charts worth drawing for these columns, best first; `columns` is a JSON list."""
     roles = Roles(df, ev)

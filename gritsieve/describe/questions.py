@@ -11,7 +11,7 @@ from gritsieve.describe.charts import grouped_bar
 from gritsieve.describe.findings import as_number
 from gritsieve.describe.roles import Roles, pick
 from gritsieve.functions.cells import ORDINAL, named
-from gritsieve.operators.evidence import Evidence
+from gritsieve.operators.evidence import Evidence, with_evidence
 from gritsieve.operators.quantiles import exact_quantiles
 from gritsieve.relations import as_text, local_relation
 
@@ -106,9 +106,9 @@ def answer(df: DataFrame, template: str, columns: list[str]) -> DataFrame:
 # The questions
 
 
+@with_evidence
 def suggest_questions(df: DataFrame, limit: int = 10, ev: Evidence | None = None) -> DataFrame:
     """Best first, no text twice; nothing below ten rows."""
-    ev = ev or Evidence(df)
     asked: list[tuple[float, str, str, list[str], str, str]] = []
     if ev.n_rows >= K.MIN_QUESTION_ROWS:
         roles = Roles(df, ev)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from gritsieve.constants import MAX_CATEGORIES
 from gritsieve.operators.detectors import identifying_class, multiselect_stem
-from gritsieve.operators.evidence import Evidence, exact_distinct
+from gritsieve.operators.evidence import Evidence, exact_distinct, with_evidence
 from gritsieve.relations import local_relation
 
 FLAG_ENDINGS = ("_out_of_range", "_invalid", "_flag")
@@ -73,6 +73,7 @@ class Roles:
         return [c for c in names if low <= self.distinct.get(c, 10**9) <= high]
 
 
+@with_evidence
 def classify(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
     """One row per column that has a role."""
     roles = Roles(df, ev)

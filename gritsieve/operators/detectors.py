@@ -8,10 +8,11 @@ import re
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gritsieve import constants as K
-from gritsieve.functions.cells import name_tokens, number
-from gritsieve.operators.evidence import Evidence, duplicate_rows, first_row, plausible_range, words_of
+from gritsieve.functions.cells import name_tokens, named, number
+from gritsieve.operators.evidence import (
+    Evidence, duplicate_rows, first_row, plausible_range, with_evidence, words_of,
+)
 from gritsieve.relations import FINDINGS, data_columns, is_text, local_relation
-from gritsieve.functions.cells import named
 
 TABLE = "<table>"
 
@@ -384,13 +385,18 @@ def scan(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
     header = two_row_header(df)
     if not header.isEmpty():
         return header
-    ev = ev or Evidence(df)
+    return _findings(df, ev=ev)
+
+
+@with_evidence
+def _findings(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
     members = {m for group in multiselect_groups(ev.columns).values() for m in group}
     parts = [
         repeated_header_row(ev), multiselect_group(ev), pii(ev), duplicates(ev), constant_columns(ev),
         structural_missing(ev, skip=members),
     ]
-    parts += [detect(ev).filter(~F.col("column").isin(list(members))) if members else detect(ev) for detect in PER_COLUMN]
+    free = ~F.col("column").isin(sorted(members)) if members else F.lit(True)
+    parts += [detect(ev).filter(free) for detect in PER_COLUMN]
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)

@@ -8,6 +8,8 @@ for cells that are missing-data codes; every other column is pruned from its sca
 
 from __future__ import annotations
 
+import functools
+import inspect
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -191,6 +193,26 @@ class Evidence:
         return found | {r["column"]: 0 for r in self.rows if r["present"] == 0}
 
 
+def with_evidence(fn):
+    """Give `fn(df, ..., ev=None)` evidence of its own when the caller has none, and release it afterwards.
+
+    For functions whose result no longer depends on the cached counts.
+    """
+
+    @functools.wraps(fn)
+    def run(*args, **kwargs):
+        call = inspect.signature(fn).bind(*args, **kwargs)
+        if call.arguments.get("ev") is not None:
+            return fn(*args, **kwargs)
+        ev = call.arguments["ev"] = Evidence(call.arguments["df"])
+        try:
+            return fn(*call.args, **call.kwargs)
+        finally:
+            ev.close()
+
+    return run
+
+
 def exact_distinct(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, n_unique): two-level count; long texts travel as digests, the hot value collapses map-side."""
     cells = long_cells(df, names)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gritsieve.functions.cells import ROW_ID, named
 from gritsieve.operators.detectors import constant_names, sentinel_missing
-from gritsieve.operators.evidence import Evidence, duplicate_rows, exact_distinct
+from gritsieve.operators.evidence import Evidence, duplicate_rows, exact_distinct, with_evidence
 from gritsieve.relations import as_text, cell, data_columns, is_text, local_relation, long_cells
 
 SAMPLE = 5
@@ -93,9 +93,9 @@ BREAKDOWN = (
 )
 
 
+@with_evidence
 def score_breakdown(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
     """The score's inputs: blank cells, repeated rows, constant columns, columns with missing-data codes."""
-    ev = ev or Evidence(df)
     coded = sentinel_missing(ev).select("column").collect()
     return local_relation(df.sparkSession, [{
         "n_rows": ev.n_rows,
