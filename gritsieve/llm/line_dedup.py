@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gritsieve.llm.shared import SPACES, WORD, free_name, stored
+from gritsieve.llm.shared import SPACES, WORD, free_name, stored, with_computed
 
 #: Production parameters, in words: the shortest run that is evidence at all, and the length from which a repeated run of
 #: whole lines is sure to be found.
@@ -113,7 +113,9 @@ def line_dedup(
     A null text stays null and has no lines. Rows that agree in id and text are one document, and get equal results.
     An empty table gives an empty one. If `docs` has columns n_lines or n_cut, the added ones get an underscore.
     """
-    n_lines, n_cut, key, cut = (free_name(docs, n) for n in ("n_lines", "n_cut", "_d_hash", "_d_cut"))
+    n_lines, n_cut, key, cut, shorter = (
+        free_name(docs, n) for n in ("n_lines", "n_cut", "_d_hash", "_d_cut", "_d_text")
+    )
     found = repeated_lines(docs, id_col, text_col, gram_words, guarantee_words)
     found = found.select(
         F.col("_doc").alias("_f_doc"), F.col("_text_hash").alias("_f_hash"), F.col("cut").alias(cut)
@@ -126,8 +128,10 @@ def line_dedup(
     lines = F.split(text, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut))
     rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    out = out.withColumns({
+    out = with_computed(out, {
+        shorter: F.when(F.col(cut).isNull(), text).otherwise(rest),
         n_lines: F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"),
         n_cut: F.coalesce(F.size(cut), F.lit(0)).cast("long"),
     })
-    return out.withColumn(text_col, F.when(F.col(cut).isNull(), text).otherwise(rest)).drop(cut)
+    columns = [F.col(shorter).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns, n_lines, n_cut)

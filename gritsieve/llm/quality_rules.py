@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gritsieve.llm.shared import WORD, free_name, stored, words
+from gritsieve.llm.shared import WORD, free_name, stored, with_computed, words
 
 #: Production parameters.
 BUCKETS = 10_000
@@ -82,31 +82,29 @@ def quality_rules(
     name = {n: free_name(docs, n) for n in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept",
     )}
-    text, ws, lines = (free_name(docs, n) for n in ("_q_text", "_q_words", "_q_lines"))
-    seen, grams, vec = (free_name(docs, n) for n in ("_q_seen", "_q_grams", "_q_weights"))
+    ws, lines, seen, grams, vec = (
+        free_name(docs, n) for n in ("_q_words", "_q_lines", "_q_seen", "_q_grams", "_q_weights")
+    )
     col = lambda n: F.col(f"`{n}`")
 
-    out = docs.withColumn(text, F.coalesce(col(text_col), F.lit("")))
-    out = out.withColumn(ws, words(col(text)))
-    out = out.withColumns({
-        lines: F.filter(F.split(col(text), "\n"), lambda x: x.rlike(WORD)),
+    out = with_computed(docs.withColumn(vec, vector), {ws: words(col(text_col))})
+    out = with_computed(out, {
+        lines: F.filter(F.split(F.coalesce(col(text_col), F.lit("")), "\n"), lambda x: x.rlike(WORD)),
         seen: _window_hashes(col(ws)),
         grams: _buckets(col(ws), buckets),
     })
-    out = out.withColumns({
+    out = with_computed(out, {
         name["n_words"]: F.size(ws).cast("long"),
         name["word_chars"]: F.length(F.array_join(ws, "")).cast("long"),
-        name["n_symbols"]: F.length(F.regexp_replace(col(text), r"[^#*$%&|<>]+", "")).cast("long"),
+        name["n_symbols"]: F.length(F.regexp_replace(F.coalesce(col(text_col), F.lit("")), r"[^#*$%&|<>]+", "")).cast("long"),
         name["n_dup_lines"]: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         name["n_repeat_words"]: F.when(
             F.size(F.array_distinct(seen)) < F.size(seen), _repeated_words(col(seen))
         ).otherwise(0).cast("long"),
-    })
-    # The weights join the row last, and leave it at once.
-    out = out.drop(text, ws, lines, seen).withColumn(vec, vector)
-    out = out.withColumn(name["score"], F.when(
-        F.size(grams) > 0, F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(col(vec), b)) / F.size(grams)
-    ).otherwise(0.0)).drop(grams, vec)
+        name["score"]: F.when(
+            F.size(grams) > 0, F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(col(vec), b)) / F.size(grams)
+        ).otherwise(0.0),
+    }).drop(ws, lines, seen, grams, vec)
     n, repeated = col(name["n_words"]), col(name["n_repeat_words"])
     out = out.withColumn(
         name["base_failed"], (n < MIN_WORDS) | (100 * repeated > MOST_REPEATED_PERCENT * n)

@@ -54,6 +54,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+def with_computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`df` with columns computed once per row. A filter on them stays above: it cannot be rewritten over their sources,
+    as the optimizer does with a projection, which would compute costly expressions once per mention."""
+    values = F.struct(*(value.alias(name) for name, value in columns.items()))
+    return df.select("*", F.inline(F.array(values)))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores added until no column of `df` bears it in any case."""
     taken = {c.lower() for c in df.columns}
