@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gritsieve.llm.line_dedup import line_dedup
+from gritsieve.llm.mixing import mix_counts
+from gritsieve.llm.oracles import ORACLES
 from gritsieve.llm.quality_rules import quality_rules
 from gritsieve.llm.shared import table
 from gritsieve.llm.simhash import simhash_groups
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_counts(table(spark, folder, "documents")).drop("text_hash")
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"))
 
@@ -25,5 +31,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op9_line_dedup, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_simhash, op9_line_dedup, op10_quality_rules)}
+__all__ = ["ORACLES", "QUERIES"]
