@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gritsieve.llm.line_dedup import line_dedup
 from gritsieve.llm.mixing import mix_counts
 from gritsieve.llm.oracles import ORACLES
+from gritsieve.llm.packing import TOKENIZER, pack
 from gritsieve.llm.quality_rules import quality_rules
 from gritsieve.llm.shared import table
 from gritsieve.llm.simhash import simhash_groups
 
 
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_counts(table(spark, folder, "documents")).drop("text_hash")
 
@@ -31,5 +37,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_simhash, op9_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_simhash, op9_line_dedup, op10_quality_rules)}
 __all__ = ["ORACLES", "QUERIES"]
