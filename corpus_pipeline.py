@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritsieve.llm.line_dedup import line_dedup
+from gritsieve.llm.mixing import mixed_documents
+from gritsieve.llm.packing import TOKENIZER, pack
 from gritsieve.llm.quality_rules import quality_rules
 from gritsieve.llm.shared import WORD, new_path, table
-from gritsieve.llm.simhash import simhash_groups
+from gritsieve.llm.simhash import one_of_each_group
 
 
 def keep_by_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -23,15 +26,27 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> Dat
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group."""
-    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each SimHash group."""
+    return one_of_each_group(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Each document as often as the mix takes it; n_chars follows the text."""
+    out = mixed_documents(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return pack(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [
     ("quality_rules", keep_by_quality),
     ("line_dedup", cut_repeated_lines),
     ("simhash", keep_one_of_group),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 #: Hashes of n-grams, fingerprints and tokens have no counterpart in SQL; the tests hold the stages against brute force.

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gritsieve.llm.components import components
@@ -49,18 +50,19 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text hash, fingerprint as a signed long) for every row."""
+    """(doc_id, text_hash, fp: the fingerprint as a signed long) for every row."""
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = [fingerprint(t, shingle) for t in batch["t"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "fp": np.array(values, dtype="<u8").view("<i8"),
+                "doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": np.array(values, dtype="<u8").view("<i8"),
             })
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
-    return rows.mapInPandas(prints, f"doc_id {kind}, fp bigint")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("t"))
+    return rows.mapInPandas(prints, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
 def _forest(fps: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -146,6 +148,15 @@ def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return met.mapInPandas(_links_of, "a bigint, b bigint").distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's fingerprint, and for each distinct fingerprint its component (a fingerprint)."""
+    prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    classes = stored(prints.select("fp").distinct(), "classes")
+    groups = components(fingerprint_links(classes)).withColumnRenamed("node", "fp")
+    known = classes.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    return prints, stored(known, "groups")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; documents whose fingerprints differ in three bits or fewer link.
 
@@ -154,14 +165,32 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their group's smallest id; if all ids of a group are null, so is its component_id. Repeated rows stay. An empty
     table gives an empty one.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    groups = components(fingerprint_links(classes.select("fp"))).withColumnRenamed("node", "fp")
-    labelled = classes.join(groups, "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = labelled.join(least, "component").select("fp", "component_id")
+    prints, groups = _grouped(docs, id_col, text_col, shingle)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups, "fp")
+    least = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = groups.join(least, "component").select("fp", "component_id")
     return prints.join(known, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """`docs` with one row of each group of `simhash_groups`: the smallest id, null last, then the smallest hash of text.
+
+    Of rows that agree in both, one stays.
+    """
+    prints, groups = _grouped(docs, id_col, text_col, shingle)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = prints.groupBy("fp").agg(F.min(rank).alias("first")).join(groups, "fp")
+    first = first.groupBy("component").agg(F.min("first").alias("first"))
+    zero = F.lit(0).cast(docs.schema[id_col].dataType)
+    keys = [free_name(docs, c) for c in ("_s_none", "_s_id", "_s_hash")]
+    chosen = first.select(
+        F.col("first.none").alias(keys[0]), F.coalesce("first.doc_id", zero).alias(keys[1]), F.col("first.text_hash").alias(keys[2])
+    )
+    own, nth = F.col(f"`{id_col}`"), free_name(docs, "_s_nth")
+    keyed = docs.withColumns(dict(zip(keys, (own.isNull(), F.coalesce(own, zero), F.xxhash64(F.col(f"`{text_col}`"))))))
+    kept = keyed.join(chosen, keys, "left_semi")
+    # The join has dealt and sorted the rows by these keys already.
+    kept = kept.withColumn(nth, F.row_number().over(W.partitionBy(*keys).orderBy(*keys))).where(F.col(nth) == 1)
+    return kept.select(*(f"`{c}`" for c in docs.columns))
