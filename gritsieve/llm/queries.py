@@ -12,6 +12,7 @@ from gritsieve.llm.packing import TOKENIZER, pack
 from gritsieve.llm.quality_rules import quality_rules
 from gritsieve.llm.shared import table
 from gritsieve.llm.simhash import simhash_groups
+from gritsieve.llm.warc import pages_through_warc
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"))
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return pages_through_warc(table(spark, folder, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_cut")
 
@@ -37,5 +42,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_simhash, op9_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_simhash, op7_warc, op9_line_dedup, op10_quality_rules)}
 __all__ = ["ORACLES", "QUERIES"]
