@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from gritsieve.llm.embeddings import similar_vectors
 from gritsieve.llm.line_dedup import line_dedup
 from gritsieve.llm.mixing import mix_counts
 from gritsieve.llm.oracles import ORACLES
@@ -23,6 +24,10 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_counts(table(spark, folder, "documents")).drop("text_hash")
 
 
+def op3_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_vectors(table(spark, folder, "embeddings"))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"))
 
@@ -42,5 +47,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_simhash, op7_warc, op9_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_embeddings, op4_simhash, op7_warc, op9_line_dedup, op10_quality_rules)}
 __all__ = ["ORACLES", "QUERIES"]
