@@ -10,6 +10,7 @@ from gritsieve.llm.line_dedup import line_dedup
 from gritsieve.llm.mixing import mix_counts
 from gritsieve.llm.oracles import ORACLES
 from gritsieve.llm.packing import TOKENIZER, pack
+from gritsieve.llm.pii import personal_data_digest
 from gritsieve.llm.quality_rules import quality_rules
 from gritsieve.llm.shared import table
 from gritsieve.llm.simhash import simhash_groups
@@ -36,6 +37,10 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return pages_through_warc(table(spark, folder, "pages"))
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data_digest(table(spark, folder, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_cut")
 
@@ -47,5 +52,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_embeddings, op4_simhash, op7_warc, op9_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_embeddings, op4_simhash, op7_warc, op8_pii, op9_line_dedup, op10_quality_rules)}
 __all__ = ["ORACLES", "QUERIES"]

@@ -85,3 +85,25 @@ def repeated_runs(docs, least_words):
             seen[line].append((k, i))
         out[k] = cut
     return out
+
+
+def _luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        n = int(d) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+_PII = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(re.sub("[^0-9]", "", m)) <= 19 and _luhn(re.sub("[^0-9]", "", m))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+}
+
+
+def pii(text):
+    """Base spans as (start, rank, end)."""
+    return sorted((m.start(), rank, m.end()) for rank, (pattern, fits) in enumerate(_PII.values())
+                  for m in re.finditer(pattern, text or "", re.ASCII) if fits(m.group()))
