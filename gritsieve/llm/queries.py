@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gritsieve.llm.embeddings import similar_vectors
+from gritsieve.llm.licenses import license_scan
 from gritsieve.llm.line_dedup import line_dedup
 from gritsieve.llm.mixing import mix_counts
 from gritsieve.llm.oracles import ORACLES
 from gritsieve.llm.packing import TOKENIZER, pack
 from gritsieve.llm.pii import personal_data_digest
+from gritsieve.llm.quality_classifier import classify
 from gritsieve.llm.quality_rules import quality_rules
 from gritsieve.llm.shared import table
 from gritsieve.llm.simhash import simhash_groups
@@ -33,6 +35,15 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources stand for hosts, their languages for paths."""
+    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(table(spark, folder, "documents"))
+
+
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return pages_through_warc(table(spark, folder, "pages"))
 
@@ -52,5 +63,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_embeddings, op4_simhash, op7_warc, op8_pii, op9_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_embeddings, op4_simhash, op5_quality, op6_licenses, op7_warc, op8_pii, op9_line_dedup, op10_quality_rules)}
 __all__ = ["ORACLES", "QUERIES"]
