@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -52,13 +53,14 @@ class WordIds:
         return self.stop.sub(rb" \g<0>", data.lower()).split()
 
     def look_up(self, words: list[bytes]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         found = list(map(self.known.get, words))
         if None in found:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                found = [None] * len(words)
-            self.learn({w for w, ids in zip(words, found) if ids is None})
-            found = list(map(self.known.get, words))
+            new = [i for i, ids in enumerate(found) if ids is None]
+            self.learn({words[i] for i in new})
+            for i in new:
+                found[i] = self.known[words[i]]
         return found
 
     def learn(self, words: set[bytes]) -> None:
@@ -78,7 +80,8 @@ class WordIds:
                 self.known[word.encode()] = ids[start:end].tobytes()
                 start = end
         for text, encoding in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            self.known[text.encode()] = np.array(encoding.ids, dtype="<u4").tobytes()
+            ids = encoding.ids
+            self.known[text.encode()] = struct.pack(f"<{len(ids)}I", *ids)
 
 
 _LOADED: dict[str, WordIds] = {}
