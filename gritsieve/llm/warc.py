@@ -195,13 +195,16 @@ def resolved(found: DataFrame) -> DataFrame:
     targets = centre.groupBy(F.col("response.record_id").alias("_id")).agg(
         F.max(F.struct("response.payload_bytes", "response.payload_digest",
                        F.col("metadata.fields").getItem("page").alias("page"))).alias("target"))
-    out = found.join(targets, F.when(F.col("response.record_type") == "revisit", F.col("response.refers_to")) == F.col("_id"), "left")
-    again = F.col("response.record_type") == "revisit"
-    return out.drop("_id").withColumns({
-        "payload_bytes": F.when(again, F.col("target.payload_bytes")).otherwise(F.col("response.payload_bytes")),
-        "payload_digest": F.when(again, F.coalesce("target.payload_digest", F.regexp_replace("response.stated_digest", "^sha1:", "")))
-        .otherwise(F.col("response.payload_digest")),
-    })
+    # Only revisits are joined: rows without a target would all have the null key, and so one task.
+    revisits = found.where("response.record_type = 'revisit'")
+    known = revisits.join(targets, F.col("response.refers_to") == F.col("_id"), "left").drop("_id")
+    stated = F.regexp_replace("response.stated_digest", "^sha1:", "")
+    known = known.withColumns({
+        "payload_bytes": F.col("target.payload_bytes"), "payload_digest": F.coalesce("target.payload_digest", stated)})
+    others = found.where("response.record_type <> 'revisit' or response is null").withColumns({
+        "target": F.lit(None).cast(known.schema["target"].dataType),
+        "payload_bytes": F.col("response.payload_bytes"), "payload_digest": F.col("response.payload_digest")})
+    return others.unionByName(known)
 
 
 def pages_through_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
