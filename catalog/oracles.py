@@ -203,7 +203,7 @@ BREAKDOWN = f"""
 def coded_values(source: str = "dirty", columns: list[str] = COLUMNS, texts: list[str] = TEXTS) -> str:
     """Every (column, value) that is a missing-data code, with its confidence after the majority rule."""
     words = ", ".join(
-        "('" + code.replace("'", "''") + f"', {conf})" for conf, codes in TEXT_CODES.items() for code in codes
+        "('" + code.replace("'", "''") + f"', {conf})" for code, conf in TEXT_CODES.items()
     )
     digits = ", ".join(f"(CAST('{code}' AS DOUBLE), {conf})" for code, conf in NUMERIC_CODES.items())
     counts = " UNION ALL ".join(
@@ -243,7 +243,7 @@ after_score AS (SELECT {FORMULA} AS score, * FROM later)
     f"SELECT '{m}' AS measure, b.{m} AS before, a.{m} AS after, a.{m} - b.{m} AS change FROM before_score b, after_score a"
     for m in ("score", "n_rows", "n_cols", "duplicate_rows"))}"""
 SMALL_TEXTS = [c for c in CLEAN_COLUMNS if c not in ("age", "monthly_income", "survey_date", "Q7_count", "Q1")]
-LISTED = "CASE WHEN count(DISTINCT {0}) BETWEEN 1 AND 12 THEN string_agg(DISTINCT {0}, '|' ORDER BY {0}) END"
+LISTED = "CASE WHEN count(DISTINCT {0}) BETWEEN 1 AND 60 THEN string_agg(DISTINCT {0}, '|' ORDER BY {0}) END"
 clean("schema_summary", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", {'true' if c == 'Q1' else 'false'} AS is_ordered, """
     + (f"array_to_string({LEVELS}, '|')" if c == "Q1" else LISTED.format(c) if c in SMALL_TEXTS else "CAST(NULL AS VARCHAR)")
@@ -264,7 +264,7 @@ SELECT 'two_row_header' AS kind, '<table>' AS "column", round(least(0.60 + k / 2
 SENTINEL = """
 SELECT 'sentinel_missing' AS kind, col AS "column", CAST(max(conf) AS DOUBLE) AS confidence, CAST(sum(n) AS BIGINT) AS n_affected,
   'recode_sentinel_missing' AS op"""
-dirty("detect_sentinel_missing", coded_values() + SENTINEL + """, string_agg(v, '|' ORDER BY v) AS "values" FROM hits GROUP BY col""")
+dirty("detect_sentinel_missing", coded_values() + SENTINEL + """, string_agg(v, '|' ORDER BY v) AS "values" FROM hits GROUP BY col, conf""")
 
 SCALES_SQL = """
 , scales(scale_no, place, lvl) AS (
@@ -382,7 +382,7 @@ def scan_cte() -> str:
     )
     wanted = 'kind, "column", confidence, n_affected, op'
     return f"""{DIRTY} {coded_values()} {LIKERT} {synonyms} {variants},
-found AS ({SENTINEL} FROM hits GROUP BY col
+found AS ({SENTINEL} FROM hits GROUP BY col, conf
   UNION ALL SELECT {wanted} FROM likert UNION ALL SELECT {wanted} FROM synonyms UNION ALL SELECT {wanted} FROM variants
   UNION ALL SELECT * FROM ({DUPLICATE_ROW}) UNION ALL SELECT * FROM ({CONSTANT}) UNION ALL SELECT * FROM ({DATES})
   UNION ALL SELECT * FROM ({NUMERICS}) UNION ALL SELECT * FROM ({MULTI} FROM dirty) UNION ALL SELECT * FROM ({PII})
@@ -391,7 +391,7 @@ found AS ({SENTINEL} FROM hits GROUP BY col
 
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 ORACLES["scan_customers"] = f"""WITH {coded_values('customer', CUSTOMER, ['c_name', 'c_mktsegment']).lstrip().lstrip(',')}
-{SENTINEL} FROM hits GROUP BY col
+{SENTINEL} FROM hits GROUP BY col, conf
 UNION ALL SELECT 'pii', 'c_name', 0.80, count(c_name), 'deidentify' FROM customer"""
 ORACLES["scan"] = f"WITH {scan_cte()} SELECT * FROM found"
 
@@ -472,15 +472,15 @@ roles AS (SELECT CAST(pos AS BIGINT) AS pos, "column", d, CASE
     WHEN d <= 14 THEN 'categorical' WHEN d > 0.9 * n THEN 'identifier' ELSE 'free_text' END AS role FROM dc)"""
 clean("roles", 'SELECT pos, "column", role FROM roles WHERE role IS NOT NULL', ROLES)
 clean("chart_suggestions", """
-SELECT row_number() OVER (ORDER BY score DESC, rule, pos, pos2) AS place, kind, title, score FROM (
-  SELECT CAST(0.95 AS DOUBLE) AS score, 1 AS rule, 'likert_bar' AS kind, 'Distribution of ' || c AS title, i AS pos, 0 AS pos2 FROM ord
-  UNION ALL SELECT 0.92, 2, 'grouped_bar', o.c || ' by ' || g.c, o.i, g.i FROM ord o, cat g WHERE o.i <= 2 AND g.i <= 2
-  UNION ALL SELECT 0.80, 3, 'category_bar', 'Responses by ' || c, j, 0 FROM allcat WHERE j <= 6
-  UNION ALL SELECT 0.78, 4, 'histogram', 'Distribution of ' || c, i, 0 FROM num WHERE i <= 6
-  UNION ALL SELECT 0.74, 5, 'box_by_group', n.c || ' by ' || g.c, n.i, g.i FROM num n, cat g WHERE n.i <= 2 AND g.i <= 2
-  UNION ALL SELECT 0.70, 6, 'timeseries', 'Responses over time (' || c || ')', i, 0 FROM tim WHERE i <= 2
-  UNION ALL SELECT 0.66, 7, 'scatter', a.c || ' vs ' || b.c, 1, 2 FROM num a, num b WHERE a.i = 1 AND b.i = 2
-  UNION ALL SELECT 0.62, 8, 'missingness', 'Missing data by column', 1, 1) ORDER BY place LIMIT 12""", ROLES + """,
+SELECT row_number() OVER (ORDER BY score DESC, rule, p1, p2 NULLS FIRST) AS place, kind, title, score FROM (
+  SELECT CAST(0.95 AS DOUBLE) AS score, 0 AS rule, 'likert_bar' AS kind, c || ', level by level' AS title, i AS p1, NULL AS p2 FROM ord
+  UNION ALL SELECT 0.92, 1, 'grouped_bar', 'Levels of ' || o.c || ' within each ' || g.c, g.i, o.i FROM ord o, cat g
+  UNION ALL SELECT 0.80, 2, 'category_bar', 'How often each ' || c || ' occurs', j, NULL FROM allcat
+  UNION ALL SELECT 0.78, 3, 'histogram', 'How ' || c || ' is spread', i, NULL FROM num
+  UNION ALL SELECT 0.74, 4, 'box_by_group', 'Spread of ' || n.c || ' in each ' || g.c, g.i, n.i FROM num n, cat g
+  UNION ALL SELECT 0.70, 5, 'timeseries', 'Rows per day of ' || c, i, NULL FROM tim
+  UNION ALL SELECT 0.66, 6, 'scatter', a.c || ' against ' || b.c, a.i, b.i FROM num a, num b WHERE a.i < b.i
+  UNION ALL SELECT 0.62, 7, 'missingness', 'Blank cells of every column', 1, NULL)""", ROLES + """,
 ord AS (SELECT "column" AS c, row_number() OVER (ORDER BY pos) AS i FROM roles WHERE role = 'ordered'),
 allcat AS (SELECT "column" AS c, d, row_number() OVER (ORDER BY pos) AS j FROM roles WHERE role = 'categorical'),
 cat AS (SELECT c, row_number() OVER (ORDER BY j) AS i FROM allcat WHERE d <= 8),
@@ -500,8 +500,8 @@ clean("chart_histogram", histogram_sql("clean", "monthly_income"), ",")
 ORACLES["chart_histogram_lineitem"] = "WITH " + histogram_sql("lineitem", "l_extendedprice")
 clean("chart_likert_bar", f"""
 SELECT CAST(p AS BIGINT) AS place, {LEVELS}[p] AS label, (SELECT count(*) FROM clean WHERE Q1__ord = p) AS n FROM range(1, 6) r(p)""")
-clean("chart_category_bar", "SELECT state AS value, count(*) AS n FROM clean WHERE state IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 14")
-ORACLES["chart_category_bar_parts"] = "SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 14"
+clean("chart_category_bar", "SELECT state AS value, count(*) AS n, rank() OVER (ORDER BY count(*) DESC, state) AS place FROM clean WHERE state IS NOT NULL GROUP BY 1")
+ORACLES["chart_category_bar_parts"] = "SELECT p_type AS value, count(*) AS n, rank() OVER (ORDER BY count(*) DESC, p_type) AS place FROM part GROUP BY 1"
 
 
 def days_sql(source: str, c: str) -> str:
@@ -518,12 +518,11 @@ ORACLES["chart_timeseries_events"] = "WITH " + days_sql("events", "ts")
 def shares_sql(group: str, level: str) -> str:
     return f""",
 known AS (SELECT {group} AS g, {level} AS l FROM clean WHERE {group} IS NOT NULL AND {level} IS NOT NULL),
-totals AS (SELECT g, count(*) AS total FROM known GROUP BY 1), levels AS (SELECT DISTINCT l FROM known),
+totals AS (SELECT g, count(*) AS total FROM known GROUP BY 1),
 cells AS (SELECT g, l, count(*) AS n FROM known GROUP BY 1, 2)"""
 
 
-SHARES = """SELECT t.g AS "group", v.l AS level, coalesce(n, 0) AS n, round(coalesce(n, 0) / total * 100, 6) AS pct
-FROM totals t CROSS JOIN levels v LEFT JOIN cells c ON c.g = t.g AND c.l = v.l"""
+SHARES = """SELECT t.g AS "group", c.l AS level, n, round(n / total * 100, 6) AS pct FROM totals t JOIN cells c ON c.g = t.g"""
 clean("chart_grouped_bar", SHARES, shares_sql("gender", "Q1"))
 
 
@@ -551,9 +550,9 @@ clean("chart_missingness", 'SELECT "column", round(p, 6) AS pct, p BETWEEN 20 AN
 clean("finding_completeness", f"""
 SELECT count(*) AS records, CAST({len(CLEAN_COLUMNS)} AS BIGINT) AS fields,
   round(1 - ({AFTER_BLANKS}) / (count(*) * {len(CLEAN_COLUMNS)}), 9) AS filled_share FROM clean""")
-clean("finding_thin_fields", "SELECT field, round_even(share * 100, 1) AS pct_blank FROM (" + " UNION ALL ".join(
+clean("finding_thin_fields", "SELECT field, round_even(share * 100, 1) AS pct_blank, row_number() OVER (ORDER BY share DESC, pos) AS place FROM (" + " UNION ALL ".join(
     f"SELECT {i} AS pos, '{c}' AS field, (count(*) - count({c})) / count(*) AS share FROM clean" for i, c in enumerate(CLEAN_COLUMNS)
-) + ") WHERE share > 0.2 ORDER BY share DESC, pos LIMIT 8")
+) + ") WHERE share > 0.2")
 clean("finding_outcome_split", """
 SELECT outcome AS level, count(*) AS records, round_even(count(*) / known * 100, 1) AS pct_of_known, known, blank
 FROM clean, (SELECT count(outcome) AS known, count(*) - count(outcome) AS blank FROM clean)
@@ -569,10 +568,10 @@ SELECT 'outcome' AS outcome, 'treatment_arm' AS group_column, h."group" AS high_
   l."group" AS low_group, l.records AS low_records, l.rate AS low_rate, round_even(h.rate - l.rate, 1) AS gap_points
 FROM (SELECT * FROM rates ORDER BY rate DESC LIMIT 1) h, (SELECT * FROM rates ORDER BY rate LIMIT 1) l WHERE h.rate - l.rate >= 8""", RATES)
 clean("finding_concentration", """
-SELECT value, records, round(records / known, 9) AS share FROM (
+SELECT value, records, round(records / known, 9) AS share, rank() OVER (ORDER BY records DESC, value) AS place FROM (
   SELECT state AS value, count(*) AS records, sum(count(*)) OVER () AS known, max(count(*)) OVER () AS most, count(*) OVER () AS levels
   FROM clean WHERE state IS NOT NULL GROUP BY 1)
-WHERE known >= 30 AND levels >= 2 AND most / known >= 0.6 ORDER BY records DESC, value LIMIT 6""")
+WHERE known >= 30 AND levels >= 2 AND most / known >= 0.6""")
 
 
 def summary_sql(source: str, c: str) -> str:
@@ -594,7 +593,7 @@ groups(gcol, g, bad) AS ({' UNION ALL '.join(
     for c in ('gender', 'state', 'treatment_arm', 'free_text_comment', 'Q9_followup', 'Q7_selected'))}),
 rates AS (SELECT gcol, g, count(*) AS k, round_even(avg(bad) * 100, 1) AS rate FROM groups GROUP BY 1, 2 HAVING count(*) >= 30),
 gaps AS (SELECT gcol, max(rate) - min(rate) AS gap FROM rates GROUP BY 1 HAVING count(*) >= 2 AND max(rate) - min(rate) >= 8),
-tried AS (SELECT c FROM (SELECT c, i, c = 'treatment_arm' AS lead FROM cats WHERE c <> 'outcome') ORDER BY lead DESC, i LIMIT 5),
+tried AS (SELECT c FROM cats WHERE c <> 'outcome'),
 vals(vcol, v) AS ({' UNION ALL '.join(
     f"SELECT '{c}', {c} FROM clean WHERE {c} IS NOT NULL"
     for c in ('gender', 'state', 'treatment_arm', 'outcome', 'free_text_comment', 'Q9_followup', 'Q7_selected'))}),
@@ -605,35 +604,35 @@ said AS (
   SELECT 'completeness' AS kind, '' AS columns, CAST(1.0 AS DOUBLE) AS importance
   UNION ALL SELECT 'outcome_split', 'outcome', 0.95
   UNION ALL SELECT 'group_gap', gcol || '|outcome', round(0.9 + least(gap / 200, 0.09), 6) FROM gaps WHERE gcol IN (SELECT c FROM tried)
-  UNION ALL SELECT 'concentration', vcol, 0.7 FROM conc WHERE vcol IN (SELECT c FROM cats WHERE i <= 4)
+  UNION ALL SELECT 'concentration', vcol, 0.7 FROM conc WHERE vcol IN (SELECT c FROM cats)
   UNION ALL SELECT 'numeric_summary', "column", CASE WHEN skewed THEN 0.75 ELSE 0.65 END FROM nums)"""
 clean("findings", "SELECT * FROM said", FINDINGS)
 clean("recommendations", f"""
-, thin AS (SELECT string_agg(c, ', ' ORDER BY pos) AS s FROM (SELECT pos, c FROM ({' UNION ALL '.join(
+, thin AS (SELECT * FROM ({' UNION ALL '.join(
     f"SELECT {i} AS pos, '{c}' AS c, (count(*) - count({c})) / count(*) AS share FROM clean" for i, c in enumerate(CLEAN_COLUMNS))})
-  WHERE share > 0.3 ORDER BY pos LIMIT 3)),
-split AS (SELECT c FROM ({' UNION ALL '.join(
+  WHERE share > 0.3),
+split AS (SELECT pos, c FROM ({' UNION ALL '.join(
     f"SELECT {i} AS pos, '{c}' AS c, min(k) AS least, count(*) AS levels FROM (SELECT {c}, count(*) AS k FROM clean WHERE {c} IS NOT NULL GROUP BY 1)"
-    for i, c in enumerate(CLEAN_COLUMNS) if c in SMALL_TEXTS)}) WHERE levels BETWEEN 2 AND 12 AND least < 30 ORDER BY pos LIMIT 1),
-gap AS (SELECT columns AS s FROM said WHERE kind = 'group_gap' ORDER BY importance DESC LIMIT 1),
-steps2 AS (SELECT 1 AS o, 'investigate_gap' AS kind, s AS subject FROM gap UNION ALL SELECT 2, 'fix_collection', s FROM thin WHERE s IS NOT NULL
-  UNION ALL SELECT 3, 'do_not_split', c FROM split UNION ALL SELECT 4, 'attach_script', '')
-SELECT row_number() OVER (ORDER BY o) AS place, kind, subject FROM steps2""", FINDINGS)
+    for i, c in enumerate(CLEAN_COLUMNS) if c in SMALL_TEXTS)}) WHERE levels BETWEEN 2 AND 12 AND least < 30),
+steps2 AS (SELECT 1 AS o, row_number() OVER (ORDER BY importance DESC, columns) AS i, 'investigate_gap' AS kind, columns AS subject
+    FROM said WHERE kind = 'group_gap'
+  UNION ALL SELECT 2, pos, 'fix_collection', c FROM thin UNION ALL SELECT 3, pos, 'do_not_split', c FROM split
+  UNION ALL SELECT 4, 0, 'attach_script', '')
+SELECT row_number() OVER (ORDER BY o, i) AS place, kind, subject FROM steps2""", FINDINGS)
 
 # Questions
 
 clean("questions", """
-SELECT row_number() OVER (ORDER BY score DESC, rule, pos) AS place, question, score, category FROM (
-  SELECT CAST(1.0 AS DOUBLE) AS score, 1 AS rule, 0 AS pos, 'What share of each treatment_arm had each outcome?' AS question, 'headline' AS category
-  UNION ALL SELECT 0.9, 2, i, 'What share of each ' || c || ' had each outcome?', 'comparison' FROM (
-    SELECT c, row_number() OVER (ORDER BY i) AS i FROM cats WHERE c <> 'outcome') WHERE i <= 2 AND c <> 'treatment_arm'
-  UNION ALL SELECT 0.95, 3, 0, 'How many records fall into each outcome, and how many are blank?', 'sanity'
-  UNION ALL SELECT 0.8, 4, 0, 'What is the median Q1, overall and by ' || c || '?', 'comparison' FROM cats WHERE i = 1
-  UNION ALL SELECT 0.75, 5, n.i * 2, 'What is the mean and median ' || n.c || ' by ' || cats.c || '?', 'comparison' FROM nums2 n, cats WHERE cats.i = 1 AND n.i <= 2
-  UNION ALL SELECT 0.7, 5, n.i * 2 + 1, 'What are the minimum, maximum and quartiles of ' || n.c || '?', 'sanity' FROM nums2 n WHERE n.i <= 2
-  UNION ALL SELECT 0.7, 6, 0, 'How many records per month, by ' || c || '?', 'sanity' FROM cats WHERE i = 1
-  UNION ALL SELECT 0.6, 7, i, 'How many records in each ' || c || '?', 'explore' FROM cats WHERE i <= 3)
-ORDER BY place LIMIT 10""", ROLES + """,
+SELECT row_number() OVER (ORDER BY score DESC, rule, p1, p2 NULLS FIRST) AS place, question, score, category FROM (
+  SELECT CAST(1.0 AS DOUBLE) AS score, 0 AS rule, 0 AS p1, 0 AS p2, 'How does outcome differ between the groups of treatment_arm?' AS question,
+    'headline' AS category
+  UNION ALL SELECT 0.95, 1, 0, NULL, 'How often does each outcome occur, and how often is it blank?', 'sanity'
+  UNION ALL SELECT 0.9, 2, i, 0, 'Does outcome go with ' || c || '?', 'comparison' FROM cats WHERE c NOT IN ('outcome', 'treatment_arm')
+  UNION ALL SELECT 0.8, 4, 0, i, 'Which level of Q1 is the middle one, overall and for each ' || c || '?', 'comparison' FROM cats
+  UNION ALL SELECT 0.75, 5, n.i, cats.i, 'How far apart are mean and median of ' || n.c || ' for each ' || cats.c || '?', 'comparison' FROM nums2 n, cats
+  UNION ALL SELECT 0.7, 6, i, NULL, 'Between which limits does ' || c || ' lie, and where are its quartiles?', 'sanity' FROM nums2
+  UNION ALL SELECT 0.7, 7, 0, i, 'How many rows has each month, for each ' || c || '?', 'sanity' FROM cats
+  UNION ALL SELECT 0.6, 8, i, NULL, 'How many rows has each ' || c || '?', 'explore' FROM cats)""", ROLES + """,
 cats AS (SELECT "column" AS c, row_number() OVER (ORDER BY pos) AS i FROM roles WHERE role = 'categorical' AND d BETWEEN 2 AND 12),
 nums2 AS (SELECT "column" AS c, row_number() OVER (ORDER BY pos) AS i FROM roles WHERE role = 'numeric')""")
 clean("question_outcome_by_exposure", SHARES, shares_sql("treatment_arm", "outcome"))

@@ -19,7 +19,7 @@ from gritsieve.plans.plan import Step
 from gritsieve.plans.recipe import Recipe, ledger_table
 from gritsieve.sources.ranking import rank_tables
 from gritsieve.sources.readers import load, read_delimited, with_detected_header
-from gritsieve.sources.scratch import fresh_path
+from gritsieve.sources.scratch import fresh_path, write_once
 from gritsieve.sqlgate import run_sql
 from gritsieve.streaming.clean import clean_stream, distinct_stream, scan_batches, write_stream
 from gritsieve.streaming.counters import quality_counters
@@ -51,6 +51,9 @@ CLEANING = Recipe("dirty view", [
 ])
 
 
+_CLEANED: dict[tuple[str, str], DataFrame] = {}
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -66,10 +69,11 @@ def clean_view(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cleaned_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The cleaned view written once to the shared folder: work of several passes reads only its columns."""
-    path = fresh_path(spark, "cleaned")
-    clean_view(spark, sf).write.parquet(path)
-    return spark.read.parquet(path)
+    """The cleaned view, written once per session to the shared folder: work of several passes reads only its columns."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CLEANED:
+        _CLEANED[key] = write_once(clean_view(spark, sf), "cleaned")
+    return _CLEANED[key]
 
 
 def learned(spark: SparkSession, sf: str) -> tuple[DataFrame, Recipe]:
@@ -689,7 +693,10 @@ def findings(spark, sf):
 def recommendations(spark, sf):
     df = cleaned_table(spark, sf)
     ev = Evidence(df)
-    out = says.recommendations(df, says.analyse(df, ev=ev), ev)
+    try:
+        out = says.recommendations(df, says.analyse(df, ev=ev), ev)
+    finally:
+        ev.close()
     subject = F.when(F.col("kind") == "investigate_gap", F.array_join(F.from_json("subject", "array<string>"), "|"))
     return out.select(F.col("place").cast("bigint").alias("place"), "kind", F.coalesce(subject, "subject").alias("subject"))
 

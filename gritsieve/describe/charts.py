@@ -6,9 +6,11 @@ import json
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gritsieve.constants import MAX_CATEGORIES, MIN_CHART_ROWS
+from gritsieve.constants import MIN_CHART_ROWS
 from gritsieve.describe.roles import Roles, collapsed_members
+from gritsieve.describe.rules import Rule, suggested
 from gritsieve.functions.cells import ORDINAL, named
+from gritsieve.operators.cleaning import how_many
 from gritsieve.operators.evidence import Evidence, with_evidence
 from gritsieve.operators.profile import missing_counts
 from gritsieve.operators.quantiles import exact_quantiles
@@ -24,28 +26,35 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
-    """Equal-width bins over the whole range: as many as different values, between 5 and 20."""
+    """Equal-width bins over the whole finite range: as many as different values, between 5 and 20.
+
+    Infinite values have rows of their own, bin -1 and the one after the last, if there are any.
+    """
     value = cell(df, column).cast("double")
-    cells = df.select(value.alias("v")).filter(F.col("v").isNotNull())
-    span = cells.agg(
-        F.min("v").alias("low"), F.max("v").alias("high"), F.approx_count_distinct("v").alias("d")
+    every = df.select(value.alias("v")).filter(F.col("v").isNotNull())
+    infinite = F.col("v").isin(float("inf"), float("-inf"))
+    cells = every.filter(~infinite)
+    span = every.agg(
+        F.min(F.when(~infinite, F.col("v"))).alias("low"), F.max(F.when(~infinite, F.col("v"))).alias("high"),
+        F.count_if(F.col("v") == float("inf")).alias("above"), F.count_if(F.col("v") == float("-inf")).alias("below"),
     ).first()
-    if span["low"] is None:
-        return local_relation(df.sparkSession, [], "bin int, low double, high double, n bigint")
-    distinct = span["d"]
-    if distinct <= 60:
-        distinct = cells.distinct().count()
-    bins = min(20, max(5, distinct))
-    low, high = (span["low"], span["high"]) if span["low"] < span["high"] else (span["low"] - 0.5, span["high"] + 0.5)
-    width = (high - low) / bins
-    edges = [low + i * width for i in range(bins)] + [high]
-    at = sum(((F.col("v") >= F.lit(e)).cast("int") for e in edges[1:-1]), F.lit(0))
+    frame = []
+    if span["low"] is not None:
+        # Whether there are 20 different values is known as soon as 20 are found.
+        bins = max(5, cells.distinct().limit(20).count())
+        low, high = (span["low"], span["high"]) if span["low"] < span["high"] else (span["low"] - 0.5, span["high"] + 0.5)
+        width = (high - low) / bins
+        edges = [low + i * width for i in range(bins)] + [high]
+        frame = [{"bin": i, "low": edges[i], "high": edges[i + 1], "known": None} for i in range(bins)]
+        at = how_many([F.col("v") >= F.lit(e) for e in edges[1:-1]])
+    else:
+        at = F.lit(0)
+    for bin_, n, value_ in ((-1, span["below"], float("-inf")), (len(frame), span["above"], float("inf"))):
+        if n:
+            frame.append({"bin": bin_, "low": value_, "high": value_, "known": n})
     counts = cells.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    frame = local_relation(
-        df.sparkSession,
-        [{"bin": i, "low": edges[i], "high": edges[i + 1]} for i in range(bins)], "bin int, low double, high double",
-    )
-    return frame.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
+    bounds = local_relation(df.sparkSession, frame, "bin int, low double, high double, known bigint")
+    return bounds.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("known", "n", F.lit(0)).alias("n"))
 
 
 def likert_bar(df: DataFrame, column: str) -> DataFrame:
@@ -64,9 +73,9 @@ def likert_bar(df: DataFrame, column: str) -> DataFrame:
     return frame.join(counts.drop("label"), "place", "left").select("place", "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def category_bar(df: DataFrame, column: str, top: int = MAX_CATEGORIES) -> DataFrame:
-    """The most frequent categories."""
-    return value_counts(df, column).orderBy(F.desc("n"), "value").limit(top)
+def category_bar(df: DataFrame, column: str) -> DataFrame:
+    """Every category with its count and its place by count; a chart shows as many places as it has room for."""
+    return value_counts(df, column).withColumn("place", F.rank().over(W.orderBy(F.desc("n"), "value")).cast("bigint"))
 
 
 def timeseries(df: DataFrame, column: str) -> DataFrame:
@@ -83,21 +92,12 @@ def timeseries(df: DataFrame, column: str) -> DataFrame:
 
 
 def grouped_bar(df: DataFrame, group: str, scale: str) -> DataFrame:
-    """Row percentages of a cross table in long form; every group lists every level."""
-    counts = held(
-        df.select(as_text(df, group).alias("g"), as_text(df, scale).alias("s")).dropna()
-        .groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"))
-    )
-    per_group = counts.groupBy("g").agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("by_level")
-    )
-    levels = counts.agg(F.array_sort(F.collect_set("s")).alias("levels"))
-    return (
-        per_group.withColumn("levels", levels.scalar())
-        .select("g", "total", "by_level", F.explode("levels").alias("level"))
-        .withColumn("n", F.coalesce(F.try_element_at("by_level", F.col("level")), F.lit(0)))
-        .select(F.col("g").alias("group"), "level", "n", (F.col("n") / F.col("total") * 100).alias("pct"))
+    """Row percentages of a cross table in long form: the pairs that occur, none made up for those that do not."""
+    counts = (
+        df.select(as_text(df, group).alias("group"), as_text(df, scale).alias("level")).dropna()
+        .groupBy("group", "level").agg(F.count(F.lit(1)).alias("n"))
     )
+    return counts.withColumn("pct", F.col("n") / F.sum("n").over(W.partitionBy("group")) * 100)
 
 
 def box_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -158,55 +158,35 @@ def chart_data(df: DataFrame, kind: str, columns: list[str]) -> DataFrame:
     return data
 
 
-SUGGESTIONS = "place int, kind string, title string, columns string, score double, rationale string"
+#: What each chart is for. Scores are fixed values.
+CHARTS = [
+    Rule("likert_bar", 0.95, "ordered", "{1}, level by level", "The levels have an order that other charts would lose."),
+    Rule("grouped_bar", 0.92, "grouping", "Levels of {2} within each {1}", "Per cent of the group, so large and small groups compare.", two="ordered"),
+    Rule("category_bar", 0.80, "categorical", "How often each {1} occurs", "Shows which categories are too small to compare."),
+    Rule("histogram", 0.78, "numeric", "How {1} is spread", "Shows limits, heaps and values apart from the rest."),
+    Rule("box_by_group", 0.74, "grouping", "Spread of {2} in each {1}", "Medians and quartiles stay put when single values are extreme.", two="numeric"),
+    Rule("timeseries", 0.70, "datetime", "Rows per day of {1}", "Days without rows and sudden peaks stand out."),
+    Rule("scatter", 0.66, "numeric", "{1} against {2}", "Every pair of values, for a relation of any shape.", two="numeric"),
+]
+BLANKS = Rule("missingness", 0.62, "table", "Blank cells of every column", "Between a fifth and three fifths blank, someone has to decide.")
+GROUPING_LEVELS = 8
 
 
 @with_evidence
-def suggest_charts(df: DataFrame, limit: int = 12, ev: Evidence | None = None) -> DataFrame:
-    """Charts worth drawing for these columns, best first; `columns` is a JSON list."""
-    roles = Roles(df, ev)
-    found: list[tuple[float, str, str, list[str], str]] = []
-    if roles.ev.n_rows >= MIN_CHART_ROWS:
-        ordered, numeric = roles.of("ordered"), roles.of("numeric")
-        categorical, moments = roles.of("categorical"), roles.of("datetime")
-        grouping = [c for c in categorical if roles.distinct[c] <= 8]
-        for c in ordered[:6]:
-            found.append((0.95, "likert_bar", f"Distribution of {c}", [c], "An ordered scale, shown in its order."))
-        for scale in ordered[:2]:
-            for g in grouping[:2]:
-                found.append((
-                    0.92, "grouped_bar", f"{scale} by {g}", [g, scale],
-                    "Row percentages keep groups of different sizes comparable.",
-                ))
-        for c in categorical[:6]:
-            found.append((
-                0.80, "category_bar", f"Responses by {c}", [c],
-                f"{roles.distinct[c]} categories: check the balance before comparing.",
-            ))
-        for c in numeric[:6]:
-            found.append((0.78, "histogram", f"Distribution of {c}", [c], "Look for a second hump, a wall or a spike."))
-        for c in numeric[:2]:
-            for g in grouping[:2]:
-                found.append((0.74, "box_by_group", f"{c} by {g}", [g, c], "Compares the spread, not only the average."))
-        for c in moments[:2]:
-            found.append((0.70, "timeseries", f"Responses over time ({c})", [c], "Gaps and spikes show how data came in."))
-        if len(numeric) >= 2:
-            a, b = numeric[:2]
-            found.append((0.66, "scatter", f"{a} vs {b}", [a, b], "Whether two measures move together."))
-        if any(r["present"] < r["n_rows"] for r in roles.ev.rows):
-            members = collapsed_members(roles.ev.columns)
-            found.append((
-                0.62, "missingness", "Missing data by column", [c for c in roles.ev.columns if c not in members],
-                "Columns 20 to 60 per cent blank are the ones to decide about.",
-            ))
-    best = sorted(found, key=lambda f: -f[0])[:limit]
-    return local_relation(
-        df.sparkSession,
-        [
-            {"place": i, "kind": kind, "title": title, "columns": json.dumps(columns), "score": score, "rationale": why}
-            for i, (score, kind, title, columns, why) in enumerate(best, 1)
-        ],
-        SUGGESTIONS,
+def suggest_charts(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
+    """All charts the columns' roles allow, best first: place, kind, title, columns (a JSON list), score, rationale."""
+    roles, spark = Roles(df, ev), df.sparkSession
+    slots: dict[str, list[str]] = {}
+    if ev.n_rows >= MIN_CHART_ROWS:
+        slots = {role: roles.of(role) for role in ("ordered", "numeric", "categorical", "datetime")}
+        slots["grouping"] = roles.few(slots["categorical"], 0, GROUPING_LEVELS)
+        if any(r["present"] < r["n_rows"] for r in ev.rows):
+            slots["table"] = [""]
+    gone = collapsed_members(ev.columns)
+    shown = F.lit(json.dumps([c for c in ev.columns if c not in gone], ensure_ascii=False))
+    found = suggested(spark, [*CHARTS, BLANKS], slots)
+    return found.select(
+        "place", "kind", F.col("text").alias("title"),
+        F.when(F.col("kind") == BLANKS.kind, shown).otherwise(F.col("columns")).alias("columns"), "score",
+        F.col("why").alias("rationale"),
     )
-
-

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, functions as F
 
 from gritsieve import constants as K
 from gritsieve.describe.charts import grouped_bar
 from gritsieve.describe.findings import as_number
 from gritsieve.describe.roles import Roles, pick
+from gritsieve.describe.rules import Rule, suggested
 from gritsieve.functions.cells import ORDINAL, named
 from gritsieve.operators.evidence import Evidence, with_evidence
 from gritsieve.operators.quantiles import exact_quantiles
-from gritsieve.relations import as_text, local_relation
-
-QUESTIONS = "place int, question string, template string, columns string, score double, category string, why string"
+from gritsieve.relations import as_text
 
 
 # The answers
@@ -103,85 +100,44 @@ def answer(df: DataFrame, template: str, columns: list[str]) -> DataFrame:
     return ANSWERS[template](df, *columns)
 
 
-# The questions
+# The questions. Scores are fixed values.
+ASKED = [
+    Rule("shares_by_group", 1.0, "exposure", "How does {2} differ between the groups of {1}?",
+         "This comparison is what such a table is collected for.", two="outcome", category="headline"),
+    Rule("records_by_value", 0.95, "outcome", "How often does each {1} occur, and how often is it blank?",
+         "Where many are blank, the known ones may not stand for the rest.", category="sanity"),
+    Rule("shares_by_group", 0.9, "background", "Does {2} go with {1}?",
+         "A difference here may explain one elsewhere.", two="outcome", category="comparison"),
+    Rule("median_by_group", 0.85, "cost", "What is the middle {1} for each {2}?",
+         "A few very large amounts would carry a mean away.", two="split", category="headline"),
+    Rule("median_level", 0.8, "ordered", "Which level of {1} is the middle one, overall and for each {2}?",
+         "Levels can be ranked, but not added up.", two="few", category="comparison"),
+    Rule("mean_median_by_group", 0.75, "measure", "How far apart are mean and median of {1} for each {2}?",
+         "If they differ much, the median is the one to report.", two="few", category="comparison"),
+    Rule("spread", 0.7, "measure", "Between which limits does {1} lie, and where are its quartiles?",
+         "Limits that cannot be real point to codes that were left in.", category="sanity"),
+    Rule("records_by_month", 0.7, "datetime", "How many rows has each month, for each {2}?",
+         "Months that are missing or crowded change what other results mean.", two="few", category="sanity"),
+    Rule("known_records_by_value", 0.6, "few", "How many rows has each {1}?",
+         "Small categories are not worth comparing.", category="explore"),
+]
 
 
 @with_evidence
-def suggest_questions(df: DataFrame, limit: int = 10, ev: Evidence | None = None) -> DataFrame:
-    """Best first, no text twice; nothing below ten rows."""
-    asked: list[tuple[float, str, str, list[str], str, str]] = []
+def suggest_questions(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
+    """All questions the roles allow, best first; nothing below ten rows. `template` names the aggregate that answers."""
+    roles, spark = Roles(df, ev), df.sparkSession
+    slots: dict[str, list[str]] = {}
     if ev.n_rows >= K.MIN_QUESTION_ROWS:
-        roles = Roles(df, ev)
-        categorical = roles.few(roles.of("categorical"), 2, 12)
-        numeric, ordered, moments = roles.of("numeric"), roles.of("ordered"), roles.of("datetime")
-        outcome = pick(categorical, K.QUESTION_OUTCOME_WORDS)
-        exposure = pick(categorical, K.EXPOSURE_WORDS)
-        cost = pick(numeric, K.COST_WORDS)
-        first = categorical[0] if categorical else None
-
-        def ask(score, text, template, columns, category, why):
-            asked.append((score, text, template, columns, category, why))
-
-        if outcome and exposure:
-            ask(
-                1.0, f"What share of each {exposure} had each {outcome}?", "shares_by_group", [exposure, outcome],
-                "headline", "The comparison the table exists for; ask for row percentages.",
-            )
-        if outcome:
-            for group in [c for c in categorical if c != outcome][:2]:
-                ask(
-                    0.9, f"What share of each {group} had each {outcome}?", "shares_by_group", [group, outcome],
-                    "comparison", "A gap is worth reporting, but is no proof of cause.",
-                )
-            ask(
-                0.95, f"How many records fall into each {outcome}, and how many are blank?", "records_by_value",
-                [outcome], "sanity", "A half-empty outcome compares who answered, not what happened.",
-            )
-        if cost and (exposure or first):
-            group = exposure or first
-            ask(
-                0.85, f"What is the median {cost} by {group}?", "median_by_group", [cost, group], "headline",
-                "Median, since costs have long tails.",
-            )
-        for scale in ordered[:2]:
-            by = f", overall and by {first}" if first else ""
-            ask(
-                0.8, f"What is the median {scale}{by}?", "median_level", [scale] + ([first] if first else []),
-                "comparison", "An ordered scale has medians and quartiles, not means.",
-            )
-        for value in numeric[:2]:
-            if value == cost:
-                continue
-            if first:
-                ask(
-                    0.75, f"What is the mean and median {value} by {first}?", "mean_median_by_group", [value, first],
-                    "comparison", "Where they part, the mean is the wrong summary.",
-                )
-            ask(
-                0.7, f"What are the minimum, maximum and quartiles of {value}?", "spread", [value], "sanity",
-                "An impossible end point is a missing-data code that survived.",
-            )
-        if moments and first:
-            ask(
-                0.7, f"How many records per month, by {first}?", "records_by_month", [moments[0], first], "sanity",
-                "A gap or a spike changes how the rest is read.",
-            )
-        for column in categorical[:3]:
-            ask(
-                0.6, f"How many records in each {column}?", "known_records_by_value", [column], "explore",
-                "Check the balance before comparing.",
-            )
-    best: dict[str, tuple] = {}
-    for question in sorted(asked, key=lambda q: -q[0]):
-        best.setdefault(question[1].lower(), question)
-    return local_relation(
-        df.sparkSession,
-        [
-            {
-                "place": i, "question": text, "template": template, "columns": json.dumps(columns), "score": score,
-                "category": category, "why": why,
-            }
-            for i, (score, text, template, columns, category, why) in enumerate(list(best.values())[:limit], 1)
-        ],
-        QUESTIONS,
+        few, numeric = roles.few(roles.of("categorical"), 2, 12), roles.of("numeric")
+        outcome, cost = pick(few, K.QUESTION_OUTCOME_WORDS), pick(numeric, K.COST_WORDS)
+        exposure = pick([c for c in few if c != outcome], K.EXPOSURE_WORDS)
+        slots = {
+            "few": few, "ordered": roles.of("ordered"), "datetime": roles.of("datetime"),
+            "outcome": [outcome] if outcome else [], "exposure": [exposure] if exposure else [],
+            "background": [c for c in few if c not in (outcome, exposure)], "cost": [cost] if cost else [],
+            "split": [exposure] if exposure else few, "measure": [c for c in numeric if c != cost],
+        }
+    return suggested(spark, ASKED, slots).select(
+        "place", F.col("text").alias("question"), F.col("kind").alias("template"), "columns", "score", "category", "why"
     )

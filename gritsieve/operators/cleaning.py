@@ -53,8 +53,12 @@ def repeats_name(df, column):
 def header_copy(df):
     """True for a row in which at least two cells and half of all cells repeat their column's name."""
     names = value_columns(df)
-    hits = sum((repeats_name(df, c).cast("int") for c in names), F.lit(0))
-    return hits >= max(2, len(names) * 0.5)
+    return how_many([repeats_name(df, c) for c in names]) >= max(2, len(names) * 0.5)
+
+
+def how_many(tests):
+    """How many of these tests hold for a row. Flat, so that a table may have thousands of columns."""
+    return F.size(F.filter(F.array(*tests), lambda hit: hit)) if tests else F.lit(0)
 
 
 def all_blank(df):
@@ -102,7 +106,7 @@ def drop_constant_columns(df, columns):
 
 def collapse_multiselect(df, stem, members):
     kept = [m for m in members if m in df.columns]
-    ticked = sum((tidy(df, m).isNotNull().cast("int") for m in kept), F.lit(0))
+    ticked = how_many([tidy(df, m).isNotNull() for m in kept])
     chosen = F.concat_ws(", ", *[tidy(df, m).cast("string") for m in kept])
     return df.withColumns({stem + "_count": ticked, stem + "_selected": chosen})
 
@@ -170,20 +174,29 @@ def map_categories(df, column, mapping):
 # Duplicates
 
 
+def row_key(df, column):
+    """What a cell is compared by: NaN is blank, minus zero is zero, a map is its sorted entries."""
+    kind = df.schema[column].dataType.typeName()
+    if kind in ("double", "float"):
+        value = tidy(df, column)
+        return F.when(value == 0, F.lit(0).cast(kind)).otherwise(value)
+    return F.array_sort(F.map_entries(named(column))) if kind == "map" else named(column)
+
+
 def drop_duplicates(df):
-    """One row of every set of equal rows: the first by row id where there is one.
+    """One row of every set of equal rows, by `row_key`: the first by row id where there is one.
 
-    Maps cannot be grouping keys, so their sorted entries stand in. Ordinals follow from their labels;
-    grouping by both keeps them without another aggregate.
+    NaN comes out blank, as it counts as. Ordinals follow from their labels; grouping by both keeps them without
+    another aggregate.
     """
     maps = [c for c in df.columns if df.schema[c].dataType.typeName() == "map"]
     keys = [c for c in df.columns if c != ROW_ID and c not in maps]
     carried = [F.min(named(ROW_ID)).alias(ROW_ID)] if ROW_ID in df.columns else []
     carried += [F.any_value(named(c)).alias(c) for c in maps]
+    compared = [row_key(df, c).alias(c) for c in keys]
     if not carried:
-        return df.dropDuplicates(keys)
-    entries = [F.array_sort(F.map_entries(named(c))) for c in maps]
-    kept = df.groupBy(*[named(c) for c in keys], *entries).agg(*carried)
+        return df.select(*compared).distinct().select(*[named(c) for c in df.columns])
+    kept = df.groupBy(*compared, *[row_key(df, c) for c in maps]).agg(*carried)
     return kept.select(*[named(c) for c in df.columns])
 
 

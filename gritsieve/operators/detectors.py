@@ -43,10 +43,11 @@ def _whole(ev: Evidence, *kinds: str) -> DataFrame:
 
 
 def sentinel_missing(ev: Evidence, threshold: float = K.CODE_THRESHOLD) -> DataFrame:
+    """One finding per column and confidence, so that a sure code never takes a doubtful one along."""
     spark = ev.df.sparkSession
     words = local_relation(
         spark,
-        [{"norm": code, "word_conf": conf} for conf, codes in K.TEXT_CODES.items() for code in codes],
+        [{"norm": code, "word_conf": conf} for code, conf in K.TEXT_CODES.items()],
         "norm string, word_conf double",
     )
     digits = local_relation(
@@ -63,8 +64,7 @@ def sentinel_missing(ev: Evidence, threshold: float = K.CODE_THRESHOLD) -> DataF
         .withColumn("conf", confidence)
         .filter(F.col("conf") >= threshold)
     )
-    return hits.groupBy("column").agg(
-        F.max("conf").alias("confidence"),
+    return hits.groupBy("column", F.col("conf").alias("confidence")).agg(
         F.sum("n").alias("n_affected"),
         F.max("n_rows").alias("n_rows"),
         F.sort_array(F.collect_list("value")).alias("values"),
@@ -72,7 +72,7 @@ def sentinel_missing(ev: Evidence, threshold: float = K.CODE_THRESHOLD) -> DataF
         F.lit("sentinel_missing").alias("kind"), "column", "confidence", "n_affected",
         F.format_string(
             "%d values (%.1f%%) look like missing-data codes: %s", "n_affected",
-            100 * F.col("n_affected") / F.col("n_rows"), F.concat_ws(", ", F.slice("values", 1, 5)),
+            100 * F.col("n_affected") / F.col("n_rows"), F.concat_ws(", ", "values"),
         ).alias("detail"),
         F.lit("recode_sentinel_missing").alias("op"),
         F.to_json(F.struct("column", "values")).alias("params"),
@@ -255,10 +255,9 @@ def constant_columns(ev: Evidence) -> DataFrame:
     names = constant_names(ev)
     if not names:
         return _relation(ev, [])
-    label = ", ".join(names[:4]) + ("..." if len(names) > 4 else "")
+    label = ", ".join(names)
     return _relation(ev, [_finding(
-        "constant_columns", label, 0.90, len(names),
-        f"{len(names)} column(s) hold one value in every row: {names[:6]}",
+        "constant_columns", label, 0.90, len(names), f"{len(names)} column(s) hold one value in every row: {label}",
         "drop_constant_columns", columns=names,
     )])
 

@@ -17,7 +17,7 @@ from pyspark.storagelevel import StorageLevel
 
 from gritsieve import constants as K
 from gritsieve.functions.cells import ROW_ID, date_shape, looks_like_date, norm, number, parsed_date
-from gritsieve.operators.cleaning import header_copy
+from gritsieve.operators.cleaning import header_copy, row_key
 from gritsieve.relations import (
     as_text, cell, data_columns, first_row_order, is_moment, is_numeric, is_ordered, is_text, local_relation,
     long_cells,
@@ -51,7 +51,7 @@ def plausible_range(name: str) -> tuple[str, float, float] | None:
 
 def known_code(normal: Column, value: Column) -> Column:
     """True for a missing-data code, given the normalised text and the number it reads as."""
-    words = [code for codes in K.TEXT_CODES.values() for code in codes]
+    words = list(K.TEXT_CODES)
     digits = [float(code) for code in K.NUMERIC_CODES]
     return F.coalesce(normal.isin(words), F.lit(False)) | F.coalesce(value.isin(digits), F.lit(False))
 
@@ -229,7 +229,7 @@ def row_digest(df: DataFrame) -> Column:
     """A 256-bit key of the whole row; lengths and blank marks keep different rows apart."""
     parts = []
     for name in data_columns(df):
-        text = as_text(df, name)
+        text = row_key(df, name).cast("string")
         parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
     return F.unhex(F.sha2(F.concat_ws("|", *parts), 256))
 

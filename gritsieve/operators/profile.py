@@ -96,7 +96,7 @@ BREAKDOWN = (
 @with_evidence
 def score_breakdown(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
     """The score's inputs: blank cells, repeated rows, constant columns, columns with missing-data codes."""
-    coded = sentinel_missing(ev).select("column").collect()
+    coded = sentinel_missing(ev).select("column").distinct().collect()
     return local_relation(df.sparkSession, [{
         "n_rows": ev.n_rows,
         "n_cols": len(ev.columns),
@@ -140,11 +140,11 @@ def scorecard(before: DataFrame, after: DataFrame) -> DataFrame:
     return wide.withColumn("change", F.col("after") - F.col("before"))
 
 
-def schema_summary(df: DataFrame, max_columns: int = 60, max_values: int = 12) -> DataFrame:
-    """Column, type and, for scales and small text columns, the levels: what a reader needs to write SQL."""
-    names = data_columns(df)[:max_columns]
-    ev = Evidence(df.select(*[named(c) for c in df.columns if c in names or c not in data_columns(df)]))
-    small = ev.distinct_at_most(max_values)
+@with_evidence
+def schema_summary(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
+    """Every column, its type and, for scales and text columns of up to 60 values (all that are counted), the levels."""
+    names = data_columns(df)
+    small = ev.distinct_at_most(60)
     texts = [c for c in names if ev.kinds[c] == "text" and c in small]
     values = (
         ev.counts.filter(F.col("column").isin(texts))
@@ -161,6 +161,7 @@ def schema_summary(df: DataFrame, max_columns: int = 60, max_values: int = 12) -
         ],
         "pos int, column string, type string, levels array<string>",
     )
+    values = local_relation(df.sparkSession, [r.asDict() for r in values.collect()], "column string, seen array<string>")
     return base.join(values, "column", "left").select(
         "pos", "column", "type", F.col("levels").isNotNull().alias("is_ordered"),
         F.coalesce("levels", "seen").alias("levels"),

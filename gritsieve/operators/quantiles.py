@@ -90,7 +90,9 @@ def exact_quantiles(
         at(F.floor("rank")).alias("_lo"), at(F.ceil("rank")).alias("_hi")
     )
     share = F.col("rank") - F.floor("rank")
-    quantile = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share if interpolate else F.col("_lo")
+    missed = F.raise_error(F.lit("a rank lies outside its bracket; the sketch is less exact than promised")).cast("double")
+    low, high = F.coalesce("_lo", missed), F.coalesce("_hi", missed)
+    quantile = low + (high - low) * share if interpolate else low
     return per_slot.groupBy(*keys, "n", "mean").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("slot", quantile.alias("q")))), lambda s: s["q"]

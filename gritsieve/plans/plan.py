@@ -100,8 +100,19 @@ def auto_apply(plan: DataFrame, threshold: float = AUTO_APPLY) -> DataFrame:
 
 
 def steps_of(plan: DataFrame) -> list[Step]:
-    """The plan's rows as steps; the plan is small by construction."""
-    return [Step(r["op"], json.loads(r["params"] or "{}"), r["rationale"] or "") for r in plan.orderBy("step").collect()]
+    """The plan's rows as steps; the plan is small by construction. Codes of one column are recoded in one step."""
+    out: list[Step] = []
+    recodes: dict[str, Step] = {}
+    for r in plan.orderBy("step").collect():
+        step = Step(r["op"], json.loads(r["params"] or "{}"), r["rationale"] or "")
+        if step.op == "recode_sentinel_missing":
+            first = recodes.setdefault(step.params["column"], step)
+            if first is not step:
+                first.params["values"] = sorted({*first.params["values"], *step.params["values"]})
+                first.rationale = f"{first.rationale}; {step.rationale}"
+                continue
+        out.append(step)
+    return out
 
 
 def guard_step(step: Step, protected: set[str]) -> str | None:

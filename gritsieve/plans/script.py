@@ -12,7 +12,9 @@ from gritsieve.functions import cells
 from gritsieve.operators import cleaning
 from gritsieve.plans.recipe import Recipe
 
-HELPERS = ["value_columns", "tidy", "literal_like", "is_one_of", "repeats_name", "header_copy", "all_blank", "outside"]
+HELPERS = [
+    "value_columns", "tidy", "literal_like", "is_one_of", "repeats_name", "how_many", "header_copy", "all_blank", "outside", "row_key",
+]
 
 
 def _needed(names: list[str]) -> list[str]:

@@ -18,11 +18,11 @@ def rank_tables(tables: dict[str, DataFrame], choice: str | None = None) -> Data
     def measured(name: str, df: DataFrame) -> DataFrame:
         columns = data_columns(df)
         filled = [F.count(cell(df, c)) for c in columns]
-        in_use = [(f > 0).cast("int") for f in filled]
-        return df.agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            reduce(lambda a, b: a + b, in_use).cast("int").alias("n_cols"),
-            reduce(lambda a, b: a + b, filled).alias("filled_cells"),
+        counts = df.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*filled).alias("filled"))
+        return counts.select(
+            "n_rows",
+            F.size(F.filter("filled", lambda n: n > 0)).alias("n_cols"),
+            F.aggregate("filled", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("filled_cells"),
         ).select(F.lit(name).alias("table"), F.lit(len(columns)).alias("width"), "*")
 
     sizes = reduce(DataFrame.unionByName, [measured(n, df) for n, df in tables.items()])

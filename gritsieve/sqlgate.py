@@ -1,68 +1,120 @@
-"""Read-only SQL over one table, known to the query as `data`."""
+"""Read-only SQL over one table, known to the query as `data`. Spark's parser decides what a statement is, not a word list."""
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame
-
-from gritsieve.constants import SQL_ROW_LIMIT
-
-# Functions that reach outside the table.
-OUTSIDE_CALLS = [
-    "reflect", "java_method", "try_reflect", "input_file_name", "read_files", "read_csv", "read_parquet", "read_json",
-]
-# What may follow a WITH list instead of SELECT.
-WRITES = ["insert", "update", "delete", "merge"]
-
-
-class UnsafeQuery(ValueError):
-    """The SQL does something other than read the table."""
-
-
-def _uncommented(sql: str) -> str:
-    return re.sub(r"(?s)/\*.*?\*/", " ", re.sub(r"--[^\n]*", " ", sql)).strip().rstrip(";").strip()
-
-
-def _without_literals(sql: str) -> str:
-    """Quoted text emptied, so that words inside it are not read as SQL."""
-    return re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"", "''", sql)
-
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+
+VIEW = "data"
+
+#: Plan nodes a query over one table consists of. All else (commands, inserts, scripts, reads of files) is refused.
+READING = {
+    "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Tail", "Distinct", "Deduplicate",
+    "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "Union", "Except", "Intersect", "Join", "AsOfJoin",
+    "LateralJoin", "UnresolvedHaving", "UnresolvedInlineTable", "OneRowRelation", "Window", "WithWindowDefinition", "Generate",
+    "Pivot", "Unpivot", "Sample", "Expand", "UnresolvedHint", "UnresolvedRelation", "UnresolvedTableValuedFunction",
+    "PlanWithUnresolvedIdentifier", "SerializeFromObject", "LocalRelation", "Values",
+}
+#: Expressions that hold a plan.
+SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
+#: Built-in functions that call outside code or tell of files.
+REFUSED_FUNCTIONS = {
+    "reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length",
+}
+#: Table functions that make rows out of their arguments only.
+ROW_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack"}
+
+
+class NotReadOnly(ValueError):
+    """The statement does more than read `data`."""
+
+
+def _items(seq) -> Iterator:
+    for i in range(seq.size()):
+        yield seq.apply(i)
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _expressions(roots: list) -> Iterator:
+    todo = list(roots)
+    while todo:
+        one = todo.pop()
+        yield one
+        todo.extend(_items(one.children()))
+
+
+def _check_plan(plan, names: set[str], builtin) -> None:
+    """Every node, expression and subquery of one plan; `names` are the relations that may be read."""
+    todo = [(plan, names)]
+    while todo:
+        node, known = todo.pop()
+        kind = _kind(node)
+        if kind not in READING:
+            raise NotReadOnly(f"A query may not contain {kind}.")
+        if kind == "UnresolvedRelation":
+            parts = list(_items(node.multipartIdentifier()))
+            if len(parts) != 1 or parts[0].lower() not in known:
+                raise NotReadOnly(f"{'.'.join(parts)} is not the table `{VIEW}` or a name defined in the query.")
+        if kind == "UnresolvedTableValuedFunction" and list(_items(node.name()))[-1].lower() not in ROW_FUNCTIONS:
+            raise NotReadOnly("This table function is not available here.")
+        if kind == "UnresolvedWith":
+            defined = set(known)
+            for entry in _items(node.cteRelations()):
+                if _kind(entry._2()) not in READING:
+                    raise NotReadOnly("A WITH list may only hold queries.")
+                todo.append((entry._2(), set(defined)))
+                defined.add(entry._1().lower())
+            todo.append((node.child(), defined))
+        else:
+            todo.extend((child, known) for child in _items(node.children()))
+        for e in _expressions(list(_items(node.expressions()))):
+            name = _kind(e)
+            if name == "UnresolvedFunction":
+                parts = list(_items(e.nameParts()))
+                if len(parts) != 1 or parts[0].lower() in REFUSED_FUNCTIONS or not builtin(parts[0]):
+                    raise NotReadOnly(f"The function {'.'.join(parts)} is not available here.")
+            if name in SUBQUERIES:
+                todo.append((e.plan(), known))
+
+
+def guard(spark: SparkSession, sql: str) -> str:
+    """`sql` as it is, or `NotReadOnly` with the reason; nothing is run or looked up."""
+    jvm, state = spark._jvm, spark._jsparkSession.sessionState()
+    if not sql.strip():
+        raise NotReadOnly("There is no statement.")
+    try:
+        plan = state.sqlParser().parsePlan(sql)
+    except Exception as e:
+        raise NotReadOnly(f"Spark cannot read this as one statement: {str(e).splitlines()[0][:200]}") from None
+    registry = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    name_of = jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+    _check_plan(plan, {VIEW}, lambda name: registry.functionExists(name_of.apply(name.lower())))
+    return sql
+
+
+def run_sql(df: DataFrame, sql: str) -> DataFrame:
+    """The query's whole result, lazily. A view of the caller that is also called `data` is put back afterwards."""
+    spark = df.sparkSession
+    guard(spark, sql)
+    own = spark.table(VIEW) if _is_view(spark) else None
+    df.createOrReplaceTempView(VIEW)
+    try:
+        return spark.sql(sql)
+    finally:
+        if own is None:
+            spark.catalog.dropTempView(VIEW)
+        else:
+            own.createOrReplaceTempView(VIEW)
 
-def guard(sql: str) -> str:
-    """The single SELECT or WITH statement, or `UnsafeQuery` with the reason."""
-    text = _uncommented(sql)
-    bare = _without_literals(text)
-    if not bare:
-        raise UnsafeQuery("Empty query.")
-    if ";" in bare:
-        raise UnsafeQuery("Multiple statements are not allowed.")
-    if not re.match(r"(select|with)\b", bare, re.IGNORECASE):
-        raise UnsafeQuery("Only SELECT / WITH queries are allowed.")
-    for pattern in (
-        r"\b(" + "|".join(OUTSIDE_CALLS) + r")\s*\(",
-        r"\)\s*(" + "|".join(WRITES) + r")\b",
-        r"\btransform\s*\(.*\busing\b",
-        r"\b(from|join)\s+('|\w+\s*\.\s*`|`[^`]*/)",
-    ):
-        hit = re.search(pattern, bare, re.IGNORECASE | re.DOTALL)
-        if hit:
-            raise UnsafeQuery(f"Not allowed here: {hit.group(0).strip()}")
-    return text
 
+def preview_sql(df: DataFrame, sql: str, rows: int) -> DataFrame:
+    """The first `rows` rows of the result, for a screen."""
+    return run_sql(df, sql).limit(rows)
 
-def run_sql(df: DataFrame, sql: str, limit: int = SQL_ROW_LIMIT) -> DataFrame:
-    """The query's result, at most `limit` rows (the feature of this entry point).
 
-    Names are resolved when the statement is analysed, so the view and the ban on reading files
-    are needed only for that moment.
-    """
-    safe, spark = guard(sql), df.sparkSession
-    files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    df.createOrReplaceTempView("data")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
-    try:
-        return spark.sql(safe).limit(limit)
-    finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", files)
-        spark.catalog.dropTempView("data")
+def _is_view(spark: SparkSession) -> bool:
+    return spark._jsparkSession.sessionState().catalog().getTempView(VIEW).isDefined()

@@ -41,8 +41,8 @@ def test_shares_and_levels(frame):
     df = frame({"g": ("string", ["x", "x", "x", "y", None]), "q": ("string", ["No", "yes", "YES ", "No", "No"])})
     df = order_likert(df, "q", ["no", "yes"])
     got = by(charts.grouped_bar(df, "g", "q"), "group", "level")
-    assert [(g, s, n) for g, s, n, _ in got] == [("x", "no", 1), ("x", "yes", 2), ("y", "no", 1), ("y", "yes", 0)]
-    assert [p for *_, p in got] == pytest.approx([100 / 3, 200 / 3, 100, 0])
+    assert [(g, s, n) for g, s, n, _ in got] == [("x", "no", 1), ("x", "yes", 2), ("y", "no", 1)]
+    assert [p for *_, p in got] == pytest.approx([100 / 3, 200 / 3, 100])
     bars = charts.likert_bar(order_likert(df, "q", ["no", "maybe", "yes"]), "q")
     assert by(bars, "place") == [(1, "no", 3), (2, "maybe", 0), (3, "yes", 2)]
     assert by(median_level(df, "q", "g"), "overall", "group") == [
@@ -74,3 +74,18 @@ def test_scatter_and_missingness(frame):
     assert sorted(map(tuple, charts.scatter(df, "a", "b").collect())) == [(1.0, 1.0), (3.0, 3.0)]
     assert by(charts.missingness(df), "column") == [("a", 50.0, True), ("b", 0.0, False)]
     assert rows(df.withColumn("x", F.lit(1)), "x") == [1] * 4
+
+
+def test_infinite_values_have_bins_of_their_own(frame):
+    df = frame({"v": ("double", [1.0, 2.0, float("inf"), float("-inf"), float("inf"), None, float("nan")])})
+    got = by(charts.histogram(df, "v"), "bin")
+    assert got[0] == (-1, float("-inf"), float("-inf"), 1) and got[-1] == (5, float("inf"), float("inf"), 2)
+    assert [r[3] for r in got[1:-1]] == [1, 0, 0, 0, 1] and got[1][1] == 1.0 and got[-2][2] == 2.0
+
+
+def test_every_chart_is_suggested(frame):
+    n = 40
+    df = frame({f"c{i}": ("string", [f"v{j % (2 + i % 4)}" for j in range(n)]) for i in range(9)} | {
+        f"n{i}": ("int", [j + i for j in range(n)]) for i in range(8)})
+    got = charts.suggest_charts(df).groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in got} == {"category_bar": 9, "histogram": 8, "box_by_group": 72, "scatter": 28}
