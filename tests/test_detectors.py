@@ -5,9 +5,11 @@ import pytest
 from gritsieve.operators import detectors as find
 from gritsieve.operators import profile as prof
 from gritsieve.operators.evidence import Evidence, duplicate_rows
+from gritsieve.plans import plan as planning
+from gritsieve.plans.recipe import Recipe
 
-GENDER = {"Male": 842, "f": 820, "m": 603, "Female": 541, "Man": 287, "1": 283, "Woman": 266, "2": 237, "U": 28, "Gender": 1}
-SMOKER = {"N": 1019, "No": 985, "FALSE": 503, "0": 501, "Yes": 265, "Y": 240, "TRUE": 149, "1": 129, "?": 45, "Smoker?": 1}
+SEXES = {"male": 40, "F": 33, "Boy": 21, "girl": 20, "1": 12, "2": 11, "X": 5}
+INSURED = {"y": 50, "NO": 41, "True": 17, "false": 16, "1.0": 9, "0": 8, "maybe": 4}
 
 
 def spread(counts):
@@ -19,8 +21,8 @@ def found(detect, df):
 
 
 @pytest.mark.parametrize("name, counts, answers, alone", [
-    ("Gender", GENDER, {"1": "Male", "2": "Female", "Man": "Male", "f": "Female"}, "U"),
-    ("Smoker?", SMOKER, {"1": "Yes", "0": "No", "TRUE": "Yes", "N": "No"}, "?"),
+    ("sex at birth", SEXES, {"1": "Male", "2": "Female", "Boy": "Male", "F": "Female"}, "X"),
+    ("insured", INSURED, {"1.0": "Yes", "0": "No", "True": "Yes", "NO": "No"}, "maybe"),
 ])
 def test_synonyms(frame, name, counts, answers, alone):
     [f] = found(find.value_synonyms, frame({name: ("string", spread(counts))}))
@@ -44,18 +46,30 @@ def test_missing_codes(frame):
         "score": ("int", [99] * 85 + [1, 2, 3, 4, 5]),
         "weight": ("string", ["70", "999", "65.5", "-99"] * 22 + ["80"] * 2),
     })
-    got = {f["column"]: f for f in found(find.sentinel_missing, df)}
-    assert set(got) == {"Smoker?", "Age", "weight"}
-    assert got["Smoker?"]["p"]["values"] == [" N/A ", "?"] and got["Smoker?"]["n_affected"] == 10
-    assert got["Age"]["p"]["values"] == ["-9223372036854775808"] and got["Age"]["confidence"] == 0.99
-    assert got["weight"]["p"]["values"] == ["-99", "999"]
+    got = {(f["column"], f["confidence"]): f for f in found(find.sentinel_missing, df)}
+    assert set(got) == {("Smoker?", 0.95), ("Age", 0.99), ("weight", 0.90), ("weight", 0.95)}
+    assert got["Smoker?", 0.95]["p"]["values"] == [" N/A ", "?"] and got["Smoker?", 0.95]["n_affected"] == 10
+    assert got["Age", 0.99]["p"]["values"] == ["-9223372036854775808"]
+    assert got["weight", 0.95]["p"]["values"] == ["-99"] and got["weight", 0.90]["p"]["values"] == ["999"]
+
+
+def test_doubtful_codes_stay_when_sure_ones_go(frame):
+    """Ages of 77 and 88 are real here; only 999 is applied unattended."""
+    df = frame({"Age": ("int", [999] * 20 + [77] * 30 + [88] * 30 + [40, 41, 42, 43, 44, 45, 46] * 20)})
+    plan = planning.build_plan(find.scan(df))
+    sure = planning.steps_of(planning.auto_apply(plan))
+    assert [s.params["values"] for s in sure if s.op == "recode_sentinel_missing"] == [["999"]]
+    out = Recipe.learn(df, sure).apply(df)
+    assert out.where("Age in (77, 88)").count() == 2 and out.where("Age = 999").count() == 0
+    everything = planning.steps_of(planning.auto_apply(plan, 0.5))
+    assert [s.params["values"] for s in everything if s.op == "recode_sentinel_missing"] == [["77", "88", "999"]]
 
 
 def test_missing_codes_in_a_column_of_many_values(frame):
     """A column too varied for value counts still gives up its codes, and only those."""
     df = frame({"v": ("string", [f"name {i}" for i in range(900)] + ["unknown"] * 3 + [" Refused"])})
-    [f] = found(find.sentinel_missing, df)
-    assert f["p"]["values"] == [" Refused", "unknown"] and f["n_affected"] == 4
+    got = {f["confidence"]: (f["p"]["values"], f["n_affected"]) for f in found(find.sentinel_missing, df)}
+    assert got == {0.95: ([" Refused"], 1), 0.80: (["unknown"], 3)}
     assert found(find.case_variants, df) == []
 
 
