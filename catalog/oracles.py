@@ -713,3 +713,39 @@ COUNTERS = " UNION ALL ".join(
 )
 ORACLES["stream_quality_window"] = COUNTERS
 ORACLES["stream_scan"] = f"WITH {scan_cte()} SELECT CAST(0 AS BIGINT) AS batch_id, kind, \"column\", confidence, n_affected FROM found"
+
+# Equality, codes, wide tables, sinks and readers
+
+ORACLES["duplicate_count_floats"] = """
+WITH t AS (SELECT l_suppkey, l_returnflag, CASE WHEN l_linenumber IN (3, 4) THEN 0 WHEN l_linenumber > 4 THEN l_quantity END AS v FROM lineitem),
+d AS (SELECT count(*) AS k FROM (SELECT DISTINCT * FROM t))
+SELECT count(*) - any_value(k) AS n_duplicates, any_value(k) AS n_kept FROM t, d"""
+ORACLES["auto_apply_real_values"] = """
+SELECT CASE WHEN o_orderkey % 10 <> 0 THEN 18 + o_orderkey % 85 END AS age, count(*) AS n FROM orders GROUP BY 1"""
+ORACLES["detect_repeated_header_row_wide"] = """
+SELECT 'repeated_header_row' AS kind, '<table>' AS "column", CAST(0.95 AS DOUBLE) AS confidence, count(*) AS n_affected,
+  'drop_repeated_header_rows' AS op FROM customer WHERE c_custkey % 50 = 0 HAVING count(*) > 0"""
+ORACLES["cautions"] = f"""WITH {scan_cte()}
+SELECT 'never_impute' AS kind, "column" FROM found WHERE kind IN ('structural_missing', 'multiselect_group')
+UNION SELECT 'never_impute', unnest(['Q7_Part_1', 'Q7_Part_2', 'Q7_Part_3']) FROM found WHERE kind = 'multiselect_group'
+UNION SELECT 'identifying', "column" FROM found WHERE kind = 'pii' UNION SELECT 'filled', 'age'"""
+ORACLES["replay_from_json"] = ORACLES["stream_clean"]
+clean("sink_clean", "SELECT respondent_id, gender, state, age, Q1 FROM clean")
+clean("sink_ledger", f"SELECT seq, op, rows_before, rows_after, rows_affected FROM ({ledger_rows()})")
+ORACLES["load_multiline"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5, lang FROM documents"
+ORACLES["load_names"] = """
+SELECT CAST(n_nationkey AS VARCHAR) AS "0_key", n_name AS "1_name", CAST(n_regionkey AS VARCHAR) AS "2_key_3", upper(n_name) AS "3_NAME_4",
+  CAST(2 AS BIGINT) AS notes FROM nation"""
+clean("finding_headlines", """
+, o AS (SELECT outcome AS v, count(*) AS k, (SELECT count(outcome) FROM clean) AS known, (SELECT count(*) FROM clean) AS total FROM clean
+  WHERE outcome IS NOT NULL GROUP BY 1 ORDER BY k DESC, v LIMIT 1)
+SELECT 'The usual outcome is ' || v || ' (' || CAST(round_even(k / known * 100, 0) AS INT) || '%)' AS headline,
+  format('{:,}', k) || ' of the ' || format('{:,}', known) || ' rows that have a value; ' || format('{:,}', total - known) || ' rows have none.' AS detail
+FROM o
+UNION ALL SELECT CAST(round_even((1 - blank / cells) * 100, 0) AS INT) || '% of the cells of ' || format('{:,}', n) || ' rows hold a value',
+  'The table has ' || c || ' columns; ' || format('{:,}', blank) || ' of ' || format('{:,}', cells) || ' cells are blank.'
+FROM (SELECT count(*) AS n, """ + f"{len(CLEAN_COLUMNS)} AS c, CAST({AFTER_BLANKS} AS BIGINT) AS blank, count(*) * {len(CLEAN_COLUMNS)}" + """ AS cells FROM clean)
+UNION ALL SELECT 'Most rows have the same ' || vcol || ': ' || v, format('{:,}', k) || ' of ' || format('{:,}', known) || ', or '
+  || CAST(round_even(k / known * 100, 0) AS INT) || '%; all others together are few.'
+FROM (SELECT vcol, v, count(*) AS k, sum(count(*)) OVER (PARTITION BY vcol) AS known, row_number() OVER (PARTITION BY vcol ORDER BY count(*) DESC, v) AS r
+      FROM vals GROUP BY 1, 2) WHERE r = 1 AND vcol IN (SELECT vcol FROM conc) AND vcol IN (SELECT c FROM cats)""", FINDINGS)

@@ -10,7 +10,7 @@ from catalog.dirty import DIRTY_SQL, dirty_view, table
 from gritsieve.describe import charts, findings as says, questions as asks
 from gritsieve.describe.roles import classify
 from gritsieve.functions import cells
-from gritsieve.functions.cells import ROW_ID
+from gritsieve.functions.cells import ROW_ID, named
 from gritsieve.operators import cleaning as ops, detectors as find, profile as prof
 from gritsieve.operators.evidence import Evidence, duplicate_rows
 from gritsieve.operators.registry import OPERATIONS
@@ -19,7 +19,9 @@ from gritsieve.plans.plan import Step
 from gritsieve.plans.recipe import Recipe, ledger_table
 from gritsieve.sources.ranking import rank_tables
 from gritsieve.sources.readers import load, read_delimited, with_detected_header
+from gritsieve.relations import data_columns
 from gritsieve.sources.scratch import fresh_path, write_once
+from gritsieve.sources.sinks import write_clean, write_ledger
 from gritsieve.sqlgate import run_sql
 from gritsieve.streaming.clean import clean_stream, distinct_stream, scan_batches, write_stream
 from gritsieve.streaming.counters import quality_counters
@@ -411,6 +413,34 @@ def detect_repeated_header_row(spark, sf):
     return _found(find.repeated_header_row(Evidence(with_header_copies(spark, sf))))
 
 
+@query
+def detect_repeated_header_row_wide(spark, sf):
+    """Header copies in a table of 600 columns."""
+    wide = table(spark, sf, "customer").select(F.col("c_custkey").alias(ROW_ID), *[
+        F.when(F.col("c_custkey") % 50 == 0, F.lit(f"W{i}")).otherwise(F.col("c_name")).alias(f"w{i}") for i in range(600)
+    ])
+    return _found(find.repeated_header_row(Evidence(wide)))
+
+
+@query
+def duplicate_count_floats(spark, sf):
+    """NaN and blank are one value, and so are both zeros."""
+    v = F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).when(F.col("l_linenumber") == 3, F.lit(-0.0)).when(
+        F.col("l_linenumber") == 4, F.lit(0.0)).when(F.col("l_linenumber") > 4, F.col("l_quantity").cast("double"))
+    df = table(spark, sf, "lineitem").select("l_suppkey", "l_returnflag", v.alias("v"))
+    kept = ops.drop_duplicates(df).agg(F.count(F.lit(1)).alias("n_kept"))
+    return duplicate_rows(df).withColumn("n_kept", kept.scalar())
+
+
+@query
+def auto_apply_real_values(spark, sf):
+    """An age column with a sure code (999) and real values that are doubtful codes (77, 88, 98, 99)."""
+    age = F.when(F.col("o_orderkey") % 10 == 0, 999).otherwise(18 + F.col("o_orderkey") % 85)
+    df = table(spark, sf, "orders").select(F.col("o_orderkey").alias(ROW_ID), age.cast("int").alias("age"))
+    sure = [s for s in planning.steps_of(planning.auto_apply(planning.build_plan(find.scan(df)))) if s.op == "recode_sentinel_missing"]
+    return Recipe.learn(df, sure).apply(df).groupBy(F.col("age").cast("bigint").alias("age")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def detect_duplicate_rows(spark, sf):
     return _found(find.duplicates(Evidence(dirty_view(spark, sf))))
@@ -524,6 +554,37 @@ def order_violations(spark, sf):
     return out.select(*[F.col(c).cast("bigint").alias(c) for c in ("seq", "stage", "after_stage")], "op", "after_op")
 
 
+@query
+def cautions(spark, sf):
+    filled = [Step("fill_missing", {"column": "age", "method": "median"})]
+    return planning.cautions(find.scan(dirty_view(spark, sf)), filled).select("kind", "column")
+
+
+@query
+def replay_from_json(spark, sf):
+    """The recipe written as JSON and read back, without its last step."""
+    recipe = Recipe.from_json(CLEANING.steps_json()).undo()
+    out = shown(recipe.apply(dirty_view(spark, sf)))
+    return out.withColumns({c: F.col(c).cast("bigint") for c in ("Q1__ord", "Q7_count")})
+
+
+@query
+def sink_clean(spark, sf):
+    """The cleaned table written as CSV by the sink and loaded again: texts and numbers of a few columns."""
+    path = fresh_path(spark, "sink") + ".csv"
+    write_clean(cleaned_table(spark, sf), path)
+    back = load(spark, path).df
+    return back.select("respondent_id", "gender", "state", F.col("age").cast("double").alias("age"), "Q1")
+
+
+@query
+def sink_ledger(spark, sf):
+    path = fresh_path(spark, "ledger")
+    write_ledger(CLEANING.ledger(dirty_view(spark, sf)), path)
+    back = spark.read.json(path)
+    return back.select(*[F.col(c).cast("bigint").alias(c) for c in ("seq", "rows_before", "rows_after", "rows_affected")], "op")
+
+
 @query
 def replay_clean(spark, sf):
     df, recipe = learned(spark, sf)
@@ -689,6 +750,12 @@ def findings(spark, sf):
     return out.select("kind", names.alias("columns"), F.round("importance", 6).alias("importance"))
 
 
+@query
+def finding_headlines(spark, sf):
+    """The words and numbers of three kinds of findings."""
+    return says.analyse(cleaned_table(spark, sf)).where("kind in ('completeness', 'outcome_split', 'concentration')").select("headline", "detail")
+
+
 @query
 def recommendations(spark, sf):
     df = cleaned_table(spark, sf)
@@ -780,6 +847,26 @@ def load_delimited(spark, sf):
     return load(spark, path).df.drop(ROW_ID).drop("monthly_income")
 
 
+@query
+def load_multiline(spark, sf):
+    """Texts with line breaks, quotes and separators in their cells."""
+    path = fresh_path(spark, "documents") + ".csv"
+    table(spark, sf, "documents").select("doc_id", "text", "lang").write.options(header=True, escape='"', quoteAll=True).csv(path)
+    return load(spark, path).df.select("doc_id", F.md5("text").alias("text_md5"), "lang")
+
+
+@query
+def load_names(spark, sf):
+    """A header with blanks around names, names that differ in case only, and one name twice."""
+    path = fresh_path(spark, "names") + ".csv"
+    lines = table(spark, sf, "nation").select(F.concat_ws(",", "n_nationkey", "n_name", "n_regionkey", F.upper("n_name")))
+    head = spark.createDataFrame([(" key ,name,key,NAME",)], "line string")
+    head.union(lines).coalesce(1).write.text(path)
+    got = load(spark, path)
+    noted = F.lit(len([n for n in got.notes if "earlier" in n])).cast("bigint")
+    return got.df.select(*[named(c).alias(f"{i}_{c}") for i, c in enumerate(data_columns(got.df))], noted.alias("notes"))
+
+
 @query
 def load_json_lines(spark, sf):
     path = fresh_path(spark, "orders") + ".json"

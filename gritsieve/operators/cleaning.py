@@ -122,10 +122,15 @@ def recode_sentinel_missing(df, column, values, to_number=False):
 # Types
 
 
-def order_likert(df, column, order):
-    """The label in its canonical spelling, and its 1-based place in the scale beside it."""
+def order_likert(df, column, order, keep_unmatched=False):
+    """The label in its canonical spelling, and its 1-based place in the scale beside it.
+
+    What is no level becomes blank, or with `keep_unmatched` stays as it is, without a place.
+    """
     text = norm(named(column))
     label = F.coalesce(*[F.when(text == level.strip().lower(), F.lit(level)) for level in order])
+    if keep_unmatched:
+        label = F.coalesce(label, named(column).cast("string"))
     place = F.coalesce(*[F.when(text == level.strip().lower(), F.lit(i + 1)) for i, level in enumerate(order)])
     return df.select(
         *[

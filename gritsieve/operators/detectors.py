@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gritsieve import constants as K
-from gritsieve.functions.cells import name_tokens, named, number
+from gritsieve.functions.cells import ROW_ID, name_tokens, named, number
 from gritsieve.operators.evidence import (
     Evidence, duplicate_rows, first_row, plausible_range, with_evidence, words_of,
 )
@@ -349,7 +349,12 @@ def duplicates(ev: Evidence) -> DataFrame:
 
 
 def two_row_header(df: DataFrame) -> DataFrame:
-    """Row 0 is question wording: read the first row, and count numbers only when it looks the part."""
+    """Row 0 is question wording: read the first row, and count numbers only when it looks the part.
+
+    Without row ids no row is the first, so there is nothing to find, and nothing that could be promoted.
+    """
+    if ROW_ID not in df.columns:
+        return local_relation(df.sparkSession, [], FINDINGS)
     spark, names, top = df.sparkSession, data_columns(df), first_row(df)
     long_cells = [c for c in names if top and isinstance(top[c], str) and len(top[c]) > 40]
     ratio = len(long_cells) / max(len(names), 1)

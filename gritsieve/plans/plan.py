@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gritsieve.constants import AUTO_APPLY
 from gritsieve.operators.registry import OPERATIONS, operation_dimension, stage_dimension
+from gritsieve.relations import local_relation
 
 NEVER_FILL_KINDS = ["structural_missing", "multiselect_group"]
 CLASHING = [("coerce_datetime", "coerce_numeric"), ("deidentify", "drop_column")]
@@ -30,6 +31,22 @@ def never_impute(findings: DataFrame) -> DataFrame:
     return kept.select("column").union(members).distinct()
 
 
+def cautions(findings: DataFrame, steps: list[Step] = ()) -> DataFrame:
+    """(kind, column, text): what a reader of the cleaned table must know.
+
+    Columns whose blanks mean something, columns that may identify people, and columns that the steps filled.
+    """
+    skipped = never_impute(findings).select(
+        F.lit("never_impute").alias("kind"), "column", F.lit("Its blanks are answers not asked for; keep them blank.").alias("text"))
+    people = findings.filter("kind = 'pii'").select(
+        F.lit("identifying").alias("kind"), "column", F.lit("It may tell who a row is about; check before sharing.").alias("text"))
+    filled = local_relation(findings.sparkSession, [
+        {"kind": "filled", "column": s.params["column"], "text": f"Blanks were filled by {s.params.get('method', 'constant')}; they are no measurements."}
+        for s in steps if s.op == "fill_missing"
+    ], "kind string, column string, text string")
+    return skipped.unionByName(people).unionByName(filled).distinct()
+
+
 def _target(params: Column) -> Column:
     listed = F.from_json(F.get_json_object(params, "$.columns"), "array<string>")
     return F.coalesce(
@@ -145,8 +162,6 @@ def order_violations(sequence: DataFrame) -> DataFrame:
 
 def check_order(spark, names: list[str]) -> list[str]:
     """The violations of a hand-made sequence as sentences."""
-    from gritsieve.relations import local_relation
-
     sequence = local_relation(
         spark, [{"seq": i, "op": op} for i, op in enumerate(names)], "seq int, op string"
     )

@@ -113,16 +113,13 @@ class Recipe:
     def ledger(self, df: DataFrame) -> DataFrame:
         """What every step did: rows, columns and cells touched.
 
-        Steps between two row-dropping steps share one aggregate, so a plan costs a pass per dropping
-        step and one more. Plain aggregates stay right when tasks are run again after a lost executor.
+        Steps between two row-dropping steps share one aggregate, which also counts the rows that the one before left and
+        the next one meets; so a plan costs a pass per dropping step and one more. Plain aggregates stay right when
+        tasks are run again after a lost executor.
         """
-        spark = df.sparkSession
-        rows, waiting = [], []
-        state = df
+        rows, waiting, dropped, state = [], [], None, df
 
-        def settle() -> None:
-            if not waiting:
-                return
+        def settle() -> int:
             got = state.agg(F.count(F.lit(1)).alias("rows"), *[
                 F.coalesce(F.sum(F.col(f"_{what}{row['seq']}").cast("bigint")), F.lit(0)).alias(f"{what}{row['seq']}")
                 for row, marks in waiting for what in marks
@@ -132,6 +129,10 @@ class Recipe:
                 row["rows_affected"] = got[f"hit{row['seq']}"] if "hit" in marks else got["rows"]
                 if "lost" in marks:
                     row["stats"]["became_blank"] = got[f"lost{row['seq']}"]
+            if dropped is not None:
+                dropped["rows_after"] = got["rows"]
+                dropped["rows_affected"] = dropped["rows_before"] - got["rows"]
+            return got["rows"]
 
         for seq, step in enumerate(self.steps, 1):
             op = _registered(step)
@@ -141,13 +142,9 @@ class Recipe:
                 "recorded_at": datetime.now(UTC).isoformat(timespec="seconds"),
             }
             if op.drops_rows:
-                settle()
-                waiting = []
-                state = self._bare(state)
-                counted = state.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
-                state = run_step(state, step)
-                left = state.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
-                row |= {"rows_before": counted, "rows_after": left, "rows_affected": counted - left}
+                row["rows_before"] = settle()
+                waiting, dropped = [], row
+                state = run_step(self._bare(state), step)
             else:
                 marks = {
                     what: measure(state, **step.params)
@@ -160,10 +157,11 @@ class Recipe:
                 if key in step.params:
                     row["stats"][{"value": "filled_with", "to_number": "kept_numeric"}[key]] = step.params[key]
             rows.append(row)
-        settle()
+        if rows:
+            settle()
         for row in rows:
             row["stats"] = json.dumps(row["stats"], default=str)
-        return local_relation(spark, rows, LEDGER)
+        return local_relation(df.sparkSession, rows, LEDGER)
 
     def _bare(self, df: DataFrame) -> DataFrame:
         marks = {f"_{what}{i}" for what in ("hit", "lost") for i in range(1, len(self.steps) + 1)}
@@ -178,7 +176,16 @@ class Recipe:
         return json.dumps({"source": self.source, "entries": entries}, indent=2, default=str)
 
     def steps_json(self) -> str:
-        return json.dumps([asdict(s) for s in self.steps], default=str)
+        return json.dumps({"source": self.source, "steps": [asdict(s) for s in self.steps]}, default=str)
+
+    @classmethod
+    def from_json(cls, text: str) -> Recipe:
+        """The recipe that `steps_json` wrote, ready to replay in another process."""
+        read = json.loads(text)
+        steps = [Step(s["op"], s["params"], s["rationale"]) for s in read["steps"]]
+        for step in steps:
+            _registered(step)
+        return cls(read["source"], steps)
 
 
 def ledger_table(ledger: DataFrame) -> DataFrame:

@@ -34,10 +34,13 @@ def scan_batches(stream: DataFrame, findings_path: str, checkpoint: str, **trigg
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        found = scan(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        found.write.mode("overwrite").parquet(f"{findings_path}/batch_id={batch_id}")
+        batch.persist()  # the scan looks at it several times
+        try:
+            if not batch.isEmpty():
+                found = scan(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+                found.write.mode("overwrite").parquet(f"{findings_path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
