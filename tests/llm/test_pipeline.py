@@ -54,3 +54,25 @@ def test_stages(spark, documents, tmp_path):
     assert abs(sum(taken.values()) - 1.5 * sum(sizes.values())) <= 4
     assert len([r for r in seen["packing"] if r.piece == 0]) == len(seen["mixing"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_stages_take_edges_and_nulls(spark, documents, edges, tmp_path):
+    rng = random.Random(4)
+    some = lambda: " ".join(f"v{rng.randrange(9000)}" for _ in range(90))
+    rows = [(i, t, None, None, None) for i, t in edges]
+    rows += [(None, some(), "en", "a", 3), (50, some(), None, None, None), (51, some(), "de", "b", None)]
+    copy = some()
+    rows += [(60, copy, "en", "a", 1), (60, copy, "en", "a", 1), (61, copy, None, None, 1), (None, copy, "en", "é", 1), (62, "x " * 30_000, "", "", 0)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, documents([]).schema).selectExpr("*").repartition(3)
+    for table in (docs, docs.limit(0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, str(tmp_path))
+            path = tmp_path / f"{name}-{table is docs}"
+            out.write.parquet(str(path))
+            now = spark.read.parquet(str(path))
+            if name == "simhash" and table is docs:
+                texts = [r.text for r in now.collect()]
+                assert len(texts) == 4 and texts.count(copy) == 1
+        assert (now.count() > 0) == (table is docs)
