@@ -178,7 +178,8 @@ def suggest_charts(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
     roles, spark = Roles(df, ev), df.sparkSession
     slots: dict[str, list[str]] = {}
     if ev.n_rows >= MIN_CHART_ROWS:
-        slots = {role: roles.of(role) for role in ("ordered", "numeric", "categorical", "datetime")}
+        filled = [r["column"] for r in ev.rows if r["present"]]
+        slots = {role: [c for c in roles.of(role) if c in filled] for role in ("ordered", "numeric", "categorical", "datetime")}
         slots["grouping"] = roles.few(slots["categorical"], 0, GROUPING_LEVELS)
         if any(r["present"] < r["n_rows"] for r in ev.rows):
             slots["table"] = [""]
