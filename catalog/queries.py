@@ -298,7 +298,7 @@ def clean_deidentify(spark, sf):
 
 
 def _flat_profile(df: DataFrame) -> DataFrame:
-    out = prof.profile(df, samples=ROW_ID in df.columns)
+    out = prof.profile(df, samples=prof.SAMPLE if ROW_ID in df.columns else 0)
     if "sample" in out.columns:
         out = out.withColumn("sample", F.array_join("sample", "|"))
     return out.withColumn("pct_missing", F.round("pct_missing", 9)).drop("pos", "type")

@@ -213,14 +213,16 @@ def with_evidence(fn):
     return run
 
 
+def keyed(value: Column) -> Column:
+    """A cell as a key of bounded size: short texts as they are, long ones as digests."""
+    return F.when(F.length(value) <= 64, F.concat(F.lit("="), value)).otherwise(F.concat(F.lit("#"), F.sha2(value, 256)))
+
+
 def exact_distinct(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, n_unique): two-level count; long texts travel as digests, the hot value collapses map-side."""
     cells = long_cells(df, names)
-    key = F.when(F.length("value") <= 64, F.concat(F.lit("="), "value")).otherwise(
-        F.concat(F.lit("#"), F.sha2("value", 256))
-    )
     return (
-        cells.select("column", key.alias("key")).distinct()
+        cells.select("column", keyed(F.col("value")).alias("key")).distinct()
         .groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
     )
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.storagelevel import StorageLevel
 
 from gritsieve.functions.cells import ROW_ID, named
 from gritsieve.operators.detectors import constant_names, sentinel_missing
-from gritsieve.operators.evidence import Evidence, duplicate_rows, exact_distinct, with_evidence
+from gritsieve.operators.evidence import Evidence, duplicate_rows, exact_distinct, keyed, with_evidence
 from gritsieve.relations import as_text, cell, data_columns, is_text, local_relation, long_cells
 
 SAMPLE = 5
@@ -21,45 +22,45 @@ def missing_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     return got["rows"], {c: got["rows"] - got[f"c{i}"] for i, c in enumerate(names)}
 
 
-def first_values(df: DataFrame, names: list[str], k: int = SAMPLE) -> DataFrame:
-    """(column, sample): the first `k` different values in row order.
+def distinct_and_first(df: DataFrame, names: list[str], k: int = SAMPLE) -> DataFrame:
+    """(column, n_unique, sample): exact distinct counts and the first `k` different values in row order.
 
-    Only keys and row ids are grouped; the values themselves are fetched for the few rows picked.
+    One shuffle of cells, by column and key with the smallest row id, serves both. The values themselves are fetched for
+    the few rows picked. Without row ids the first values are the smallest, and the values are what is shuffled.
     """
-    by_row = ROW_ID in df.columns
-    extra = {"first_row": named(ROW_ID)} if by_row else {}
-    cells = long_cells(df, names, **extra)
-    if not by_row:
-        distinct = cells.distinct()
+    spark = df.sparkSession
+    if ROW_ID not in df.columns:
         place = W.partitionBy("column").orderBy("value")
-        return (
-            distinct.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
-            .groupBy("column")
-            .agg(F.array_sort(F.collect_list("value")).alias("sample"))
-        )
-    firsts = cells.groupBy("column", F.xxhash64("value").alias("key"), F.sha2("value", 256).alias("digest")).agg(
-        F.min("first_row").alias("first_row")
-    )
-    place = W.partitionBy("column").orderBy("first_row")
-    # Spark limits each partition to k rows a column before this window's shuffle.
-    picks = (
-        firsts.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
-        .select("column", "place", F.col("first_row").alias(ROW_ID))
-    )
+        smallest = long_cells(df, names).distinct().withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
+        samples = smallest.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("sample"))
+        return exact_distinct(df, names).join(samples, "column", "left")
+    cells = long_cells(df, names, first_row=named(ROW_ID)).select("column", keyed(F.col("value")).alias("key"), "first_row")
+    firsts = cells.groupBy("column", "key").agg(F.min("first_row").alias("first_row")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = firsts.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique")).collect()  # one row per column
+        # Spark limits each partition to k rows a column before this window's shuffle.
+        place = F.row_number().over(W.partitionBy("column").orderBy("first_row"))
+        picks = firsts.select("column", "first_row", place.alias("place")).filter(F.col("place") <= k).collect()
+    finally:
+        firsts.unpersist()
+    unique = local_relation(spark, [r.asDict() for r in counts], "column string, n_unique bigint")
+    if not picks:
+        return unique.withColumn("sample", F.array().cast("array<string>"))
     # At most k rows per column, so this side is bounded by the schema.
-    rows = df.join(F.broadcast(picks), ROW_ID)
+    picked = local_relation(
+        spark, [{"column": r["column"], "place": int(r["place"]), ROW_ID: r["first_row"]} for r in picks],
+        T.StructType([T.StructField("column", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField(ROW_ID, df.schema[ROW_ID].dataType)]),
+    )
     value = F.coalesce(*[F.when(F.col("column") == c, as_text(df, c)) for c in names])
-    return (
-        rows.select("column", "place", value.alias("value"))
-        .groupBy("column")
-        .agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]
-        ).alias("sample"))
+    samples = (
+        df.join(F.broadcast(picked), ROW_ID).select("column", "place", value.alias("value")).groupBy("column")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("sample"))
     )
+    return unique.join(samples, "column", "left")
 
 
-def profile(df: DataFrame, samples: bool = True) -> DataFrame:
-    """One row per column: type, blanks, exact distinct counts, flags and the first values."""
+def profile(df: DataFrame, samples: int = SAMPLE) -> DataFrame:
+    """One row per column: type, blanks, exact distinct counts, flags and the first `samples` values (none for 0)."""
     names = data_columns(df)
     rows, missing = missing_counts(df)
     base = local_relation(
@@ -76,10 +77,9 @@ def profile(df: DataFrame, samples: bool = True) -> DataFrame:
     )
     unique = F.coalesce(F.col("n_unique"), F.lit(0))
     with_blank = unique + (F.col("n_missing") > 0).cast("bigint")
-    out = base.join(exact_distinct(df, names), "column", "left")
+    seen = distinct_and_first(df, names, samples) if samples else exact_distinct(df, names)
+    out = base.join(seen, "column", "left")
     kept = ["pos", "column", "type", "n_rows", "n_missing", "pct_missing"]
-    if samples:
-        out = out.join(first_values(df, names), "column", "left")
     return out.select(
         *kept, unique.alias("n_unique"), with_blank.alias("n_unique_with_na"),
         (with_blank <= 1).alias("is_constant"), (F.col("is_text") & (unique > 50)).alias("is_free_text"),
