@@ -23,7 +23,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces of one length that are ranked in one task, about.
 RUN = 1000
 #: Words whose ids a Python worker remembers at most; beyond, it starts anew. Memory only: results do not depend on it.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 #: Texts up to this many bytes are looked up together.
 TOGETHER = 1 << 20
 
@@ -64,24 +64,28 @@ class WordIds:
         return found
 
     def learn(self, words: set[bytes]) -> None:
+        """Words of letters up to U+024F are one token sequence that ends a word, so many are encoded in a row and cut apart."""
         plain, other = [], []
         for word in words:
-            text = word.decode()
-            (plain if text.isalpha() and max(text) < "ɐ" else other).append(text)
-        for at in range(0, len(plain), 1000):
-            run = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(run), add_special_tokens=False).ids, dtype="<u4")
-            bounds = np.flatnonzero(self.ends[ids]) + 1
+            letters = word.isalpha()  # of bytes: ASCII letters only
+            if not letters:
+                text = word.decode()
+                letters = text.isalpha() and max(text) < "\u0250"
+            (plain if letters else other).append(word)
+        runs = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
+        texts = [b" ".join(run).decode() for run in runs]
+        for run, encoding in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(encoding.ids, dtype="<u4")
+            bounds = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(bounds) != len(run):
                 other.extend(run)
                 continue
-            start = 0
-            for word, end in zip(run, bounds.tolist()):
-                self.known[word.encode()] = ids[start:end].tobytes()
-                start = end
-        for text, encoding in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
+            data = ids.tobytes()
+            self.known.update(zip(run, map(data.__getitem__, map(slice, [0, *bounds], bounds))))
+        texts = [word.decode() for word in other]
+        for word, encoding in zip(other, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = encoding.ids
-            self.known[text.encode()] = struct.pack(f"<{len(ids)}I", *ids)
+            self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
 
 _LOADED: dict[str, WordIds] = {}
