@@ -19,7 +19,7 @@ BLOCKS_PER_SHARD = 256
 SEED = 17
 
 #: Documents of one source that are summed up in one task, about.
-RUN = 1000
+RUN = 250
 
 
 def _uniform(*parts: Column) -> Column:

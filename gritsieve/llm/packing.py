@@ -21,7 +21,7 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 
 #: Pieces of one length that are ranked in one task, about.
-RUN = 1000
+RUN = 250
 #: Words whose ids a Python worker remembers at most; beyond, it starts anew. Memory only: results do not depend on it.
 REMEMBERED = 1_000_000
 #: Texts up to this many bytes are looked up together.
