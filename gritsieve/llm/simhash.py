@@ -149,12 +149,16 @@ def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Every row's fingerprint, and for each distinct fingerprint its component (a fingerprint)."""
+    """Every row's fingerprint; and for each distinct fingerprint its component, and the group's first row.
+
+    First is the smallest (id is null, id, hash of text), so null ids come last.
+    """
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = stored(prints.select("fp").distinct(), "classes")
-    groups = components(fingerprint_links(classes)).withColumnRenamed("node", "fp")
-    known = classes.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
-    return prints, stored(known, "groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    classes = stored(prints.groupBy("fp").agg(F.min(rank).alias("first")), "classes")
+    groups = components(fingerprint_links(classes.select("fp"))).withColumnRenamed("node", "fp")
+    known = stored(classes.join(groups, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "groups")
+    return prints, known
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -165,10 +169,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their group's smallest id; if all ids of a group are null, so is its component_id. Repeated rows stay. An empty
     table gives an empty one.
     """
-    prints, groups = _grouped(docs, id_col, text_col, shingle)
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups, "fp")
-    least = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = groups.join(least, "component").select("fp", "component_id")
+    prints, known = _grouped(docs, id_col, text_col, shingle)
+    least = known.groupBy("component").agg(F.min("first").alias("least"))
+    known = known.join(least, "component").select("fp", F.col("least.doc_id").alias("component_id"))
     return prints.join(known, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -179,10 +182,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Of rows that agree in both, one stays.
     """
-    prints, groups = _grouped(docs, id_col, text_col, shingle)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = prints.groupBy("fp").agg(F.min(rank).alias("first")).join(groups, "fp")
-    first = first.groupBy("component").agg(F.min("first").alias("first"))
+    _, known = _grouped(docs, id_col, text_col, shingle)
+    first = known.groupBy("component").agg(F.min("first").alias("first"))
     zero = F.lit(0).cast(docs.schema[id_col].dataType)
     keys = [free_name(docs, c) for c in ("_s_none", "_s_id", "_s_hash")]
     chosen = first.select(
