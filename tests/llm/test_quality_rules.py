@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import pytest
 import xxhash
 from brute import base_counts, words
 
@@ -66,3 +67,17 @@ def test_real_tables_separate(spark, sf):
     for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
         r = counts[d.doc_id]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_counts(d.text)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_clean_documents_stay_at_every_size(spark, size):
+    folder = f"/root/testdata/{size}"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    known = {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
+    kept_ids = labels.where("doc_id % 2 = 0") if size == "sf0.01" else labels
+    rows = quality_rules(docs, kept_ids).where("not base_failed").select("doc_id", "kept", "n_symbols", "n_words").collect()
+    clean = [r for r in rows if 10 * r.n_symbols <= r.n_words]
+    assert all(r.kept for r in clean if r.doc_id not in known)
+    assert all(r.kept for r in clean if known.get(r.doc_id) == (1, 0))
+    noisy = [r.kept for r in rows if 10 * r.n_symbols > r.n_words]
+    assert sum(noisy) < len(noisy) and (size != "sf0.1" or sum(noisy) < 0.01 * len(noisy))
