@@ -63,11 +63,11 @@ def _fingerprints(lines: DataFrame, gram_words: int, guarantee_words: int) -> Da
     )
 
 
-def _common_prefix(a: Column, b: Column) -> Column:
-    """How many leading elements of two arrays of (h, pos) agree in h."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x.h == y.h, F.lit(False)))
-    first_other = F.array_position(same, F.lit(False))
-    return F.when(first_other > 0, first_other - 1).otherwise(F.size(same).cast("long"))
+def _extensions(side: str, around: Column) -> Column:
+    """For each line of an array of (h, pos): the hash of gram, side and all lines up to this one, and its position."""
+    return F.transform(around, lambda x, i: F.struct(
+        F.xxhash64("gram", F.lit(side), F.transform(F.slice(around, F.lit(1), i + 1), lambda y: y.h)).alias("reach"),
+        x.pos.alias("line")))
 
 
 def repeated_lines(
@@ -75,25 +75,17 @@ def repeated_lines(
 ) -> DataFrame:
     """(_null, _doc, _text_hash, cut): the positions of the lines to delete, for each document that has any."""
     chosen = stored(_fingerprints(_lines(docs, id_col, text_col), gram_words, guarantee_words), "fingerprints")
-    # The first occurrence of each gram, with its surroundings. The minimum of structs combines map-side.
-    place = F.struct(*_DOC, "pos")
-    first = chosen.groupBy("gram").agg(
-        F.min(F.struct(*_DOC, "pos", "before", "after")).alias("first"), F.count("*").alias("times")
-    ).where("times > 1").select(F.col("gram").alias("_gram"), "first")
-    matches = chosen.join(first, F.col("gram") == F.col("_gram")).where(
-        place != F.struct(*(F.col(f"first.{c}") for c in [*_DOC, "pos"]))
-    )
-    ahead = _common_prefix(F.col("after"), F.col("first.after"))
-    behind = _common_prefix(F.reverse("before"), F.reverse("first.before"))
-    runs = matches.select(*_DOC, "before", "after", ahead.alias("ahead"), behind.alias("behind")).where("ahead > 0")
-    cut = F.concat(
-        F.slice("after", F.lit(1), F.col("ahead").cast("int")),
-        F.when(F.col("behind") > 0, F.slice("before", -F.col("behind").cast("int"), F.col("behind").cast("int")))
-        .otherwise(F.slice("before", F.lit(1), F.lit(0))),
-    )
-    return runs.select(*_DOC, F.explode(F.transform(cut, lambda x: x.pos)).alias("pos")).groupBy(*_DOC).agg(
-        F.collect_set("pos").alias("cut")
+    again = chosen.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("_gram"))
+    both = F.concat(_extensions("after", F.col("after")), _extensions("before", F.reverse("before")))
+    # One row per line around a fingerprint. Places that agree in gram and in all lines up to this one share its hash, so
+    # its first place is the first of all places, whatever else surrounds them, and no two places are compared.
+    reached = stored(
+        chosen.join(again, F.col("gram") == F.col("_gram"), "left_semi")
+        .select(F.struct(*_DOC, "pos").alias("place"), F.inline(both)), "reached"
     )
+    first = reached.groupBy("reach").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1")
+    runs = reached.join(first.select(F.col("reach").alias("_reach"), "first"), F.col("reach") == F.col("_reach"))
+    return runs.where("place != first").select("place.*", "line").groupBy(*_DOC).agg(F.collect_set("line").alias("cut"))
 
 
 def line_dedup(
@@ -107,9 +99,9 @@ def line_dedup(
 
     Earlier means a smaller (id, hash of text, position); null ids come last. Every run of whole lines with at least
     `guarantee_words` words that stood at an earlier place is found; a run with fewer than `gram_words` words is never
-    deleted, and one between the two may be. A fingerprint is matched with its first place and extended both ways,
-    `guarantee_words` words at most: since windows overlap, that covers a run that came from one place. Where parts of a
-    run came from several places, under `guarantee_words` words in a row may stay. The first place of a line keeps it. Blank lines stay.
+    deleted, and one between the two may be. A fingerprint is extended both ways, `guarantee_words` words at most, line by
+    line, as far as any earlier place goes along; since windows overlap, that covers the whole run, from wherever its parts
+    came. The first place of a line keeps it. Blank lines stay.
     A null text stays null and has no lines. Rows that agree in id and text are one document, and get equal results.
     An empty table gives an empty one. If `docs` has columns n_lines or n_cut, the added ones get an underscore.
     """

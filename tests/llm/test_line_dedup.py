@@ -76,3 +76,17 @@ def test_null_ids_repeated_rows_and_clashing_names(spark, documents):
     got = sorted(((r.doc_id, r.text, r.n_cut_) for r in line_dedup(docs).collect()), key=str)
     assert got == [(7, passage, 0), (7, passage, 0), (None, "", 1)]
     assert line_dedup(documents([])).collect() == []
+
+
+def test_parts_that_stand_earlier_in_other_surroundings(documents):
+    rng = random.Random(5)
+    line = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    pairs = []
+    for k in range(12):
+        a, b, c = line(20), line(25), line(20)
+        pairs += [(10 * k, f"{line(30)}\n{b}\n{line(30)}"), (10 * k + 1, f"{a}\n{line(40)}"), (10 * k + 2, f"{line(9)}\n{a}\n{b}\n{c}"),
+                  (10 * k + 3, f"{a}\n{b}\n{c}\n{line(7)}"), (10 * k + 4, f"{line(8)}\n{a}\n{b}\n{c}\n{line(5)}")]
+    missed, repeated = check(documents(pairs), pairs)
+    assert missed == 0 and repeated >= 72
+    mixed = random_docs(3, 60)
+    assert check(documents(mixed), mixed)[0] == 0
