@@ -90,21 +90,41 @@ class Templates:
         allowed = int(DIFFERENCES * len(template))
         if (Counter(template) & Counter(words)).total() < len(template) - allowed:
             return None
+        for begin, window in self._windows(template, words, allowed):
+            steps = SequenceMatcher(None, template, window, autojunk=False).get_opcodes()
+            while steps and steps[0][0] == "insert":
+                steps.pop(0)
+            while steps and steps[-1][0] == "insert":
+                steps.pop()
+            missing = [w for kind, a, b, _, _ in steps if kind in ("delete", "replace") for w in template[a:b]]
+            extra = [w for kind, _, _, a, b in steps if kind in ("insert", "replace") for w in window[a:b]]
+            if steps and max(len(missing), len(extra)) <= allowed:
+                return begin + steps[0][3], begin + steps[-1][4], missing, extra
+        return None
+
+    @staticmethod
+    def _windows(template: list[str], words: list[str], allowed: int) -> Iterator[tuple[int, list[str]]]:
+        """Where the template can stand: its place by the longest common run first, then every other place.
+
+        A copy with `allowed` words missing at most keeps a run of `size` template words unbroken, so each copy has such a
+        run, and its offset (place in the words less place in the template) is off by `allowed` words at most. Windows that
+        lack too many of the template's words are left out.
+        """
+        size = max(1, (len(template) - allowed) // (2 * allowed + 1))
+        places: dict[tuple[str, ...], list[int]] = {}
+        for i in range(len(template) - size + 1):
+            places.setdefault(tuple(template[i : i + size]), []).append(i)
+        offsets = Counter(j - i for j in range(len(words) - size + 1) for i in places.get(tuple(words[j : j + size]), ()))
+        if not offsets:
+            return
         best = SequenceMatcher(None, template, words, autojunk=False).find_longest_match()
-        if not best.size:
-            return None
-        begin = max(0, best.b - best.a - allowed)
-        window = words[begin : best.b - best.a + len(template) + allowed]
-        steps = SequenceMatcher(None, template, window, autojunk=False).get_opcodes()
-        while steps and steps[0][0] == "insert":
-            steps.pop(0)
-        while steps and steps[-1][0] == "insert":
-            steps.pop()
-        missing = [w for kind, a, b, _, _ in steps if kind in ("delete", "replace") for w in template[a:b]]
-        extra = [w for kind, _, _, a, b in steps if kind in ("insert", "replace") for w in window[a:b]]
-        if not steps or max(len(missing), len(extra)) > allowed:
-            return None
-        return begin + steps[0][3], begin + steps[-1][4], missing, extra
+        order = [best.b - best.a, *sorted(offsets.keys() - {best.b - best.a}, key=lambda x: (-offsets[x], x))]
+        least, wanted = len(template) - allowed, Counter(template)
+        for offset in order:
+            begin = max(0, offset - allowed)
+            window = words[begin : max(0, offset + len(template) + allowed)]
+            if (wanted & Counter(window)).total() >= least:
+                yield begin, window
 
 
 def scan_text(text: str, templates: Templates) -> list[tuple]:

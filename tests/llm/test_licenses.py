@@ -59,3 +59,18 @@ def test_edges(documents, edges):
     assert sorted(((r.doc_id, r.license) for r in license_scan(docs).collect()), key=str) == [
         (50, "No license"), (50, "No license"), (None, "No license")]
     assert license_scan(documents([])).collect() == []
+
+
+def test_a_quote_does_not_hide_an_edited_license():
+    rng = random.Random(3)
+    text = flat(TEMPLATES["MIT"]).split()
+    for changed, quoted in ((8, 20), (3, 30)):
+        edited = list(text)
+        for k in range(changed):
+            edited[(2 * k + 1) * len(text) // (2 * changed)] = f"changed{k}"
+        alone = scan_text(" ".join(edited), T)
+        assert [f[0] for f in alone] == ["MIT"]
+        for quote in (text[:quoted], text[-quoted:]):
+            for whole in (f"{' '.join(quote)} {filler(rng, 60)} {' '.join(edited)}", f"{' '.join(edited)} {filler(rng, 60)} {' '.join(quote)}"):
+                found = scan_text(whole, T)
+                assert [(f[0], len(f[5])) for f in found] == [("MIT", len(alone[0][5]))]
