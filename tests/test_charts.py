@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from gritsieve.describe import charts
 from gritsieve.describe.questions import median_level
 from gritsieve.describe.roles import classify

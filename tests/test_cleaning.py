@@ -8,7 +8,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from gritsieve.functions.cells import ROW_ID
 from gritsieve.operators import cleaning as ops
 from gritsieve.operators.registry import OPERATIONS

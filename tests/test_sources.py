@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from gritsieve.functions.cells import ROW_ID
 from gritsieve.plans.plan import Step
 from gritsieve.plans.recipe import Recipe
