@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline: `(spark, sf_dir) -> DataFrame` over whole tables."""
+"""The registered queries of the operators: `(spark, sf_dir) -> DataFrame` over whole tables."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from gritsieve.llm.quality_classifier import classify
 from gritsieve.llm.quality_rules import quality_rules
 from gritsieve.llm.shared import table
 from gritsieve.llm.simhash import simhash_groups
+from gritsieve.llm.spelling import spelling_variants
 from gritsieve.llm.warc import pages_through_warc
 
 
@@ -63,5 +64,12 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_embeddings, op4_simhash, op5_quality, op6_licenses, op7_warc, op8_pii, op9_line_dedup, op10_quality_rules)}
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_mixing, op3_embeddings, op4_simhash, op5_quality, op6_licenses, op7_warc, op8_pii, op9_line_dedup,
+    op10_quality_rules, op11_spelling,
+)}
 __all__ = ["ORACLES", "QUERIES"]
