@@ -12,6 +12,7 @@ from gritsieve.llm.mixing import mix_counts
 from gritsieve.llm.oracles import ORACLES
 from gritsieve.llm.packing import TOKENIZER, pack
 from gritsieve.llm.pii import personal_data_digest
+from gritsieve.llm.prefix_trie import prefix_trie
 from gritsieve.llm.quality_classifier import classify
 from gritsieve.llm.quality_rules import quality_rules
 from gritsieve.llm.shared import table
@@ -68,8 +69,12 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(table(spark, folder, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_mixing, op3_embeddings, op4_simhash, op5_quality, op6_licenses, op7_warc, op8_pii, op9_line_dedup,
-    op10_quality_rules, op11_spelling,
+    op10_quality_rules, op11_spelling, op13_prefix_trie,
 )}
 __all__ = ["ORACLES", "QUERIES"]
