@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gritsieve.llm.embeddings import similar_vectors
+from gritsieve.llm.html_extract import main_texts
 from gritsieve.llm.licenses import license_scan
 from gritsieve.llm.line_dedup import line_dedup
 from gritsieve.llm.mixing import mix_counts
@@ -69,12 +70,16 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(table(spark, folder, "documents"))
 
 
+def op12_html(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(table(spark, folder, "pages"))
+
+
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie(table(spark, folder, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_mixing, op3_embeddings, op4_simhash, op5_quality, op6_licenses, op7_warc, op8_pii, op9_line_dedup,
-    op10_quality_rules, op11_spelling, op13_prefix_trie,
+    op10_quality_rules, op11_spelling, op12_html, op13_prefix_trie,
 )}
 __all__ = ["ORACLES", "QUERIES"]
