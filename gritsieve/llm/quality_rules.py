@@ -6,69 +6,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gritsieve.llm.shared import WORD, discard, free_name, stored, with_computed, words
+from gritsieve.llm.shared import WORD, free_name, stored, with_computed, words
 
 #: Production parameters.
 BUCKETS = 10_000
-TRUSTED_BOUND = 20_000
 #: Words per bucket, shared out as in the raw corpus, that the trusted counts start from: little evidence weighs little.
 PRIOR = 10
 #: Documents are dealt to folds by the hash of their ids; one is judged by the trusted documents of the other folds.
 FOLDS = 5
 #: The cut: so many standard deviations below the lowest held-out score of a trusted document, but at most so many below
-#: where the lowest of as many normal scores would lie; with fewer trusted documents than LEAST_TRUSTED there is none.
+#: where the lowest of as many normal scores would lie. The deviation starts from SPREAD as if SPREAD_DOCS documents had it.
 BELOW_LOWEST = 1.0
 BELOW_NORMAL = 1.5
-LEAST_TRUSTED = 30
+SPREAD = 0.02
+SPREAD_DOCS = 30
 #: Held-out scores are summed in units of 1 / SCALE, as whole numbers, so that the cut does not depend on their order.
 SCALE = 1 << 30
 MIN_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 
 
-def _buckets(ws: Column, buckets: int) -> Column:
-    """Buckets of the words and of the pairs of neighbouring words of one text."""
-    singles = F.transform(ws, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    pairs = F.transform(
-        ws, lambda w, i: F.when(i > 0, F.pmod(F.xxhash64(F.get(ws, i - 1), w), F.lit(buckets)).cast("int"))
-    )
-    return F.concat(singles, F.filter(pairs, lambda b: b.isNotNull()))
+def _buckets(ws: Column, buckets: int, fold: Column) -> Column:
+    """Buckets of the words and of the pairs of neighbouring words of one text, numbered on from those of earlier folds."""
+    number = lambda *w: (F.pmod(F.xxhash64(*w), F.lit(buckets)) + fold * buckets).cast("int")
+    firsts, seconds = F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, F.lit(2), F.size(ws))
+    return F.concat(F.transform(ws, lambda w: number(w)), F.zip_with(firsts, seconds, lambda a, b: number(a, b)))
 
 
 def _fold(id_col: Column) -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(FOLDS)).cast("int")
 
 
-def labelled_grams(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS, bound: int = TRUSTED_BOUND
-) -> DataFrame:
-    """(t, fold, n, grams): for each document whether it is trusted, its fold, its words, and its n-grams' buckets.
-
-    Trusted documents are those labelled quality 1 and toxic 0; at most `bound` ids of them are used, the first by hash of
-    the id, so the broadcast list has a fixed size.
-    """
-    trusted = (
-        labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
-        .orderBy(F.xxhash64("_id"), "_id").limit(bound).withColumn("_trusted", F.lit(1))
-    )
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(trusted), "_id", "left")
-    rows = with_computed(
-        rows.select(F.coalesce("_trusted", F.lit(0)).alias("t"), _fold(F.col("_id")).alias("fold"), "_text"),
-        {"ws": words(F.col("_text"))},
-    )
-    return rows.select("t", "fold", F.size("ws").alias("n"), _buckets(F.col("ws"), buckets).alias("grams"))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(_trusted): the ids labelled quality 1 and toxic 0, each once."""
+    return labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
 
 
 def ngram_weights(grams: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, weight, held): log of the trusted share of a bucket over its raw share, from all trusted documents and,
-    for each fold, from those of the other folds.
+    """(bucket, held): for each fold, log of the trusted share of a bucket, counted in the other folds, over its raw share.
 
-    One is added to every raw count; the trusted counts start from PRIOR * `buckets` n-grams in the raw shares. The raw
-    counts cover every document.
+    `grams` has t (1 for trusted documents), fold and grams. One is added to every raw count; the trusted counts start from
+    PRIOR * `buckets` n-grams in the raw shares. The raw counts cover every document, the trusted ones every trusted one.
     """
     side = F.when(F.col("t") == 1, F.col("fold")).otherwise(-1)
     counts = (
-        grams.select(side.alias("side"), F.explode("grams").alias("bucket")).groupBy("bucket", "side").count()
+        grams.select(side.alias("side"), F.explode("grams").alias("gram"))
+        .groupBy(F.pmod(F.col("gram"), F.lit(buckets)).alias("bucket"), "side").count()
         .groupBy("bucket").agg(
             F.sum("count").alias("raw"),
             F.sum(F.when(F.col("side") >= 0, F.col("count")).otherwise(0)).alias("trusted"),
@@ -85,39 +68,39 @@ def ngram_weights(grams: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         return F.log((n + prior * raw) / (F.sum(n).over(everything) + prior)) - F.log(raw)
 
     held = F.array(*(weight(F.col("trusted") - F.col(f"own_{k}")) for k in range(FOLDS)))
-    return totals.select("bucket", weight(F.col("trusted")).alias("weight"), held.alias("held"))
+    return totals.select("bucket", held.alias("held"))
 
 
-def _mean(grams: Column, weights: Column) -> Column:
-    return F.when(
-        F.size(grams) > 0, F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(weights, b)) / F.size(grams)
-    ).otherwise(0.0)
+def _vector(weights: DataFrame) -> Column:
+    """The weights of all folds and buckets as one constant, FOLDS * buckets numbers, in the expressions of the plan, so that
+    no row carries them: that of bucket b in fold k is number k * buckets + b."""
+    rows = sorted(tuple(r) for r in weights.select("bucket", "held").collect())
+    numbers = ",".join(repr(held[k]) for k in range(FOLDS) for _, held in rows)
+    return F.split(F.lit(numbers), ",").cast("array<double>")
 
 
-def _vectors(weights: DataFrame) -> tuple[Column, Column]:
-    """The weights of all buckets in order, and for each fold those that its documents are judged by."""
-    ordered = F.array_sort(F.collect_list(F.struct("bucket", "weight", "held")))
-    full = weights.agg(F.transform(ordered, lambda x: x.weight).alias("v")).scalar()
-    of_fold = lambda k: F.transform(ordered, lambda x: F.get(x.held, F.lit(k)))
-    held = weights.agg(F.array(*(of_fold(k) for k in range(FOLDS))).alias("v")).scalar()
-    return full, held
+def _mean(grams: Column, vector: Column) -> Column:
+    return F.when(
+        F.size(grams) > 0, F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.get(vector, g)) / F.size(grams)
+    ).otherwise(0.0)
 
 
-def cut_of(grams: DataFrame, held: Column) -> DataFrame:
-    """(cut): the least held-out score that is kept, from those of the trusted documents with MIN_WORDS words or more.
+def cut_of(grams: DataFrame, vector: Column) -> DataFrame:
+    """(cut): the least held-out score that is kept, from those of all trusted documents with MIN_WORDS words or more.
 
-    Null with too few of them: then scores say nothing yet, and none is too low.
+    Null without any: then there is nothing to compare with, and none is too low.
     """
-    rows = grams.where((F.col("t") == 1) & (F.col("n") >= MIN_WORDS)).withColumn("_v", F.get(held, F.col("fold")))
-    units = F.round(_mean(F.col("grams"), F.col("_v")) * SCALE).cast("decimal(18,0)")
+    rows = grams.where((F.col("t") == 1) & (F.col("n") >= MIN_WORDS))
+    units = F.round(_mean(F.col("grams"), vector) * SCALE).cast("decimal(18,0)")
     sums = rows.select(units.alias("x")).agg(
         F.count("x").alias("n"), F.min("x").cast("double").alias("low"), F.sum("x").cast("double").alias("s"),
         F.sum(F.col("x") * F.col("x")).cast("double").alias("ss"),
     )
     n, mean = F.col("n"), F.col("s") / F.col("n")
-    sd = F.sqrt(F.greatest(F.col("ss") / n - mean * mean, F.lit(0.0)))
+    around = F.greatest(F.col("ss") - n * mean * mean, F.lit(0.0)) + SPREAD_DOCS * (SPREAD * SCALE) ** 2
+    sd = F.sqrt(around / (n + SPREAD_DOCS))
     cut = F.greatest(F.col("low") - BELOW_LOWEST * sd, mean - (F.sqrt(2 * F.log(n)) + BELOW_NORMAL) * sd) / SCALE
-    return sums.select(F.when(n >= LEAST_TRUSTED, cut).alias("cut"))
+    return sums.select(F.when(n > 0, cut).alias("cut"))
 
 
 def quality_rules(
@@ -127,42 +110,40 @@ def quality_rules(
     text_col: str = "text",
     threshold: float | None = None,
     buckets: int = BUCKETS,
-    bound: int = TRUSTED_BOUND,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Every row of `docs` with its counts, its score and the verdict `kept`, under the names below.
 
     Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept. If a column of `docs`
-    bears such a name, the added one gets an underscore. A null text has no words. `score` is the mean weight of a
-    text's n-grams (0 without any), and its held-out score the same with weights from the trusted documents of the other
-    folds, so that no document is judged by its own counts. A text fails the base rules with under 50 words, or when over
-    half its words stand in three-word windows found twice or more. Kept is what passes them with a held-out score of at
-    least `threshold`; without one the cut follows from the held-out scores of the trusted documents (`cut_of`).
+    bears such a name, the added one gets an underscore; `keep` names the columns of `docs` to return, all by default. A null
+    text has no words. `score` is the mean weight of a text's n-grams (0 without any), with weights from the trusted
+    documents of the other folds, so that no document is judged by its own counts. A text fails the base rules with under
+    50 words, or when over half its words stand in three-word windows found twice or more. Kept is what passes them with
+    a score of at least `threshold`; without one the cut follows from the scores of the trusted documents (`cut_of`).
     Repeated rows get equal verdicts; an empty table gives an empty one.
-    Windows are compared by 64-bit hash. No join or shuffle of texts: the weights reach a row as two arrays of
-    `buckets` doubles.
+    Windows are compared by 64-bit hash. Texts are read once: their counts and n-grams are written, and one fold over the
+    n-grams with all weights as one value gives the scores. Texts meet the trusted ids in a plain join, which Spark runs by
+    broadcast while it knows the ids to be few.
     """
-    known = stored(labelled_grams(docs, labels, id_col, text_col, buckets, bound), "grams")
-    weights = stored(ngram_weights(known, buckets), "weights")
-    vector, held = _vectors(weights)
-    cut = F.lit(threshold) if threshold is not None else stored(cut_of(known, held), "cut").agg(F.first("cut")).scalar()
-    discard(known)
+    keep = docs.columns if keep is None else keep
+    trusted = stored(trusted_ids(labels), "trusted")
     name = {n: free_name(docs, n) for n in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept",
     )}
-    ws, lines, seen, grams, vec, others, apart = (
-        free_name(docs, n)
-        for n in ("_q_words", "_q_lines", "_q_seen", "_q_grams", "_q_weights", "_q_others", "_q_apart")
+    ws, lines, seen, grams, fold, given = (
+        free_name(docs, n) for n in ("_q_words", "_q_lines", "_q_seen", "_q_grams", "_q_fold", "_q_trusted")
     )
     col = lambda n: F.col(f"`{n}`")
 
-    out = docs.withColumns({vec: vector, others: F.get(held, _fold(col(id_col)))})
+    out = docs.withColumn(fold, _fold(col(id_col))).join(
+        trusted.withColumnRenamed("_trusted", given), col(id_col) == col(given), "left")
     out = with_computed(out, {ws: words(col(text_col))})
     out = with_computed(out, {
         lines: F.filter(F.split(F.coalesce(col(text_col), F.lit("")), "\n"), lambda x: x.rlike(WORD)),
         seen: _window_hashes(col(ws)),
-        grams: _buckets(col(ws), buckets),
     })
-    out = with_computed(out, {
+    n, repeated = col(name["n_words"]), col(name["n_repeat_words"])
+    measured = stored(out.select(*(col(c) for c in keep), *(c.alias(a) for a, c in {
         name["n_words"]: F.size(ws).cast("long"),
         name["word_chars"]: F.length(F.array_join(ws, "")).cast("long"),
         name["n_symbols"]: F.length(F.regexp_replace(F.coalesce(col(text_col), F.lit("")), r"[^#*$%&|<>]+", "")).cast("long"),
@@ -170,14 +151,19 @@ def quality_rules(
         name["n_repeat_words"]: F.when(
             F.size(F.array_distinct(seen)) < F.size(seen), _repeated_words(col(seen))
         ).otherwise(0).cast("long"),
-        name["score"]: _mean(col(grams), col(vec)),
-        apart: _mean(col(grams), col(others)),
-    }).drop(ws, lines, seen, grams, vec, others)
-    n, repeated = col(name["n_words"]), col(name["n_repeat_words"])
+        grams: _buckets(col(ws), buckets, col(fold)),
+        fold: col(fold),
+        given: col(given).isNotNull().cast("int"),
+    }.items())), "measured")
+    known = measured.select(col(given).alias("t"), col(fold).alias("fold"), n.alias("n"), col(grams).alias("grams"))
+    vector = _vector(stored(ngram_weights(known, buckets), "weights"))
+    cut = F.lit(threshold) if threshold is not None else stored(cut_of(known, vector), "cut").agg(F.first("cut")).scalar()
+    out = with_computed(measured, {name["score"]: _mean(col(grams), vector)})
     out = out.withColumn(
         name["base_failed"], (n < MIN_WORDS) | (100 * repeated > MOST_REPEATED_PERCENT * n)
     )
-    return out.withColumn(name["kept"], ~col(name["base_failed"]) & (cut.isNull() | (col(apart) >= cut))).drop(apart)
+    out = out.withColumn(name["kept"], ~col(name["base_failed"]) & (cut.isNull() | (col(name["score"]) >= cut)))
+    return out.select(*(col(c) for c in keep), *(col(a) for a in name.values()))
 
 
 def _window_hashes(ws: Column) -> Column:

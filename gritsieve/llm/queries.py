@@ -60,10 +60,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    out = quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
-    )
+    return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"), keep=["doc_id"])
 
 
 def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,32 +18,57 @@ def grams(text, n):
     return [signed(first(w)) % n for w in ws] + [signed(first(b, first(a))) % n for a, b in zip(ws, ws[1:])]
 
 
+def fold(i):
+    h = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed=42)
+    return (h - (1 << 64) if h >> 63 else h) % 5
+
+
 def scores(pairs, trusted, n):
-    raw, good = Counter(), Counter()
+    """Each document by the trusted ones of the other folds."""
+    raw, good = Counter(), [Counter() for _ in range(5)]
     for i, t in pairs:
         raw.update(grams(t, n))
         if i in trusted:
-            good.update(grams(t, n))
+            good[fold(i)].update(grams(t, n))
     share = [(raw[b] + 1) / (sum(raw.values()) + n) for b in range(n)]
-    weight = [math.log((good[b] + 10 * n * share[b]) / (sum(good.values()) + 10 * n)) - math.log(share[b]) for b in range(n)]
-    return [sum(weight[b] for b in gs) / len(gs) if (gs := grams(t, n)) else 0.0 for _, t in pairs]
+    out = []
+    for i, t in pairs:
+        others = sum((g for k, g in enumerate(good) if k != fold(i)), Counter())
+        total = sum(others.values())
+        weight = [math.log((others[b] + 10 * n * share[b]) / (total + 10 * n)) - math.log(share[b]) for b in range(n)]
+        out.append(sum(weight[b] for b in gs) / len(gs) if (gs := grams(t, n)) else 0.0)
+    return out
+
+
+def cut(values):
+    """From the scores of trusted documents."""
+    if not values:
+        return -math.inf
+    n, mean = len(values), sum(values) / len(values)
+    sd = math.sqrt((sum((v - mean) ** 2 for v in values) + 30 * 0.02**2) / (n + 30))
+    return max(min(values) - sd, mean - (math.sqrt(2 * math.log(n)) + 1.5) * sd)
 
 
 def test_against_brute_force(spark, documents, edges):
     texts = [t for _, t in edges] + [f"w{i} {GOOD * 3}" for i in range(8)] + [f"v{i} {BAD * 30}" for i in range(8)]
+    texts += [f"w{i} {GOOD}" + " ".join(f"t{k}" for k in range(i, 50 + i)) for i in range(20)]
+    texts += [" ".join(f"strange{k * i}" for k in range(1, 80)) for i in range(1, 9)]
     texts += [GOOD + "\n" + GOOD + "\n\n \nend", " ".join(f"u{i}" for i in range(60)) + "\nu0\nu0"]
     pairs = list(enumerate(texts))
     trusted = {i for i, t in pairs if t and t.startswith("w")}
     labels = spark.createDataFrame([(i, 1, 0) for i in trusted] + [(0, 0, 0), (1, 1, 1), (None, 1, 0), (None, None, None)],
                                    "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality_rules(documents(pairs), labels, buckets=50).collect()}
-    for (i, t), s in zip(pairs, scores(pairs, trusted, 50)):
+    found = scores(pairs, trusted, 50)
+    least = cut([s for (i, t), s in zip(pairs, found) if i in trusted and len(words(t)) >= 50])
+    for (i, t), s in zip(pairs, found):
         r, base = got[i], base_counts(t)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base, t and t[:40]
         failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
         assert r.base_failed == failed and abs(r.score - s) < 1e-9
-        assert r.kept == (not failed and s >= -0.04)
+        assert r.kept == (not failed and s >= least - 1e-9)
         assert r.text == t
+    assert 0 < sum(not r.kept and not r.base_failed for r in got.values())
 
 
 def test_clashing_names_repeated_rows_and_empty(spark, documents):
