@@ -14,7 +14,9 @@ from gritsieve.operators.cleaning import how_many
 from gritsieve.operators.evidence import Evidence, with_evidence
 from gritsieve.operators.profile import missing_counts
 from gritsieve.operators.quantiles import exact_quantiles
-from gritsieve.relations import as_text, cell, data_columns, held, local_relation
+from gritsieve.operators.ranks import lookup, placed
+from gritsieve.relations import as_text, cell, data_columns, local_relation
+from gritsieve.sources.scratch import write_once
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -75,7 +77,7 @@ def likert_bar(df: DataFrame, column: str) -> DataFrame:
 
 def category_bar(df: DataFrame, column: str) -> DataFrame:
     """Every category with its count and its place by count; a chart shows as many places as it has room for."""
-    return value_counts(df, column).withColumn("place", F.rank().over(W.orderBy(F.desc("n"), "value")).cast("bigint"))
+    return placed(value_counts(df, column), [], [F.desc("n"), F.col("value")], rank="place")
 
 
 def timeseries(df: DataFrame, column: str) -> DataFrame:
@@ -104,14 +106,14 @@ def box_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whiskers at the last value within 1.5 IQR, and the number of points beyond."""
     known = df.filter(named(group).isNotNull())
     number_ = cell(df, value).cast("double")
-    quartiles = held(exact_quantiles(known, number_, [0.25, 0.5, 0.75], by=[group]).select(
+    quartiles = write_once(exact_quantiles(known, number_, [0.25, 0.5, 0.75], by=[group]).select(
         as_text(df, group).alias("group"), "n",
         F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
-    ))
+    ), "quartiles")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
     cells = known.select(as_text(df, group).alias("group"), number_.alias("v")).filter("v is not null")
-    spread = cells.join(quartiles.select("group", "q1", "q3"), "group").groupBy("group").agg(
+    spread = lookup(cells, quartiles.select("group", "q1", "q3"), ["group"], "inner").groupBy("group").agg(
         F.min(F.when(inside, F.col("v"))).alias("low"), F.max(F.when(inside, F.col("v"))).alias("high"),
         F.count_if(~inside).alias("n_beyond"),
     )

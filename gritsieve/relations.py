@@ -5,7 +5,6 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.storagelevel import StorageLevel
 
 from gritsieve.functions.cells import ORDINAL, ROW_ID, named, present
 
@@ -22,25 +21,6 @@ LEDGER = (
 )
 
 
-HELD_ROWS = 10_000
-HELD_BYTES = 4_000_000
-
-
-def held(df: DataFrame, limit: int = HELD_ROWS, most_bytes: int = HELD_BYTES) -> DataFrame:
-    """An aggregate's result, computed once and kept if it has no more than `limit` rows and `most_bytes` of JSON.
-
-    What is kept has an exact size, so Spark joins it by broadcast and never shuffles the table for it. Anything larger
-    is left as it is, and only its size has come to the driver.
-    """
-    first = df.limit(limit + 1).persist(StorageLevel.MEMORY_AND_DISK)
-    size = first.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
-    rows = first.collect() if size["n"] <= limit and (size["b"] or 0) <= most_bytes else None
-    first.unpersist()
-    if rows is None:
-        return df
-    return local_relation(df.sparkSession, [r.asDict(recursive=True) for r in rows], df.schema)
-
-
 def local_relation(spark: SparkSession, rows: list[dict], schema: str | T.StructType) -> DataFrame:
     """A relation about tables (never table data): at most a few rows per column."""
     if isinstance(schema, str):

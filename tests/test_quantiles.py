@@ -30,13 +30,44 @@ def test_against_numpy(spark):
     check(spark, groups(np.random.default_rng(1)))
 
 
-def test_brackets_against_numpy(spark, monkeypatch):
-    """A coarse sketch, so that even these small groups go through the bracket."""
-    monkeypatch.setattr(quantiles, "ACCURACY", 100)
-    monkeypatch.setattr(quantiles, "MARGIN", 4.0 / 100)
+def test_narrowing_against_numpy(spark, monkeypatch):
+    """Few digits and few values to a bracket, so that even these small groups are narrowed again and again."""
+    monkeypatch.setattr(quantiles, "FEW", 20)
+    monkeypatch.setattr(quantiles, "DIGITS", 3)
     check(spark, groups(np.random.default_rng(2)))
 
 
+def test_no_group_is_hot(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SHARES", 0)
+    check(spark, groups(np.random.default_rng(3)))
+
+
+def test_infinities_and_tiny_numbers(spark):
+    values = [float("inf"), float("-inf"), 5e-324, -5e-324, 0.0, -0.0, 1e308, -1e308, 1.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = exact_quantiles(df, F.col("v"), [i / 8 for i in range(9)]).first()["q"]
+    assert got == sorted(values)
+
+
+def test_very_many_groups_and_a_hot_one(spark):
+    df = spark.range(400_000).select(
+        F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 200_000).alias("g"), (F.col("id") * 7919 % 100_003).alias("v"))
+    out = exact_quantiles(df, F.col("v"), [0.25, 0.5], by=["g"])
+    want = df.groupBy("g").agg(F.count("v").alias("m"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5))).alias("p"))
+    joined = out.join(want, "g")
+    assert joined.count() == 100_001
+    assert joined.where("n <> m or abs(q[0] - p[0]) > 1e-9 or abs(q[1] - p[1]) > 1e-9").count() == 0
+
+
+def test_rows_are_not_shuffled_to_a_join_or_repeated(spark):
+    df = spark.range(300_000).select((F.col("id") % 3).alias("g"), F.sqrt("id").alias("v"))
+    out = exact_quantiles(df, F.col("v"), [0.25, 0.5, 0.75], by=["g"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    scans = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line and "_g0" in line]
+    assert scans == []
+
+
 def test_blank_groups_and_values(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None), ("b", float("nan")), ("b", 2.0)], "g string, v double")
     got = {r["g"]: r["q"] for r in exact_quantiles(df, F.col("v"), [0.5], by=["g"]).collect()}
