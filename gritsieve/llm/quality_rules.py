@@ -22,13 +22,15 @@ SPREAD = 0.02
 SPREAD_DOCS = 30
 #: Held-out scores are summed in units of 1 / SCALE, as whole numbers, so that the cut does not depend on their order.
 SCALE = 1 << 30
+#: Bits of the filter that picks documents with trusted ids.
+FILTER_BITS = 1 << 23
 MIN_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 
 
-def _buckets(ws: Column, buckets: int, fold: Column) -> Column:
-    """Buckets of the words and of the pairs of neighbouring words of one text, numbered on from those of earlier folds."""
-    number = lambda *w: (F.pmod(F.xxhash64(*w), F.lit(buckets)) + fold * buckets).cast("int")
+def _buckets(ws: Column, buckets: int) -> Column:
+    """Buckets of the words and of the pairs of neighbouring words of one text."""
+    number = lambda *w: F.pmod(F.xxhash64(*w), F.lit(buckets)).cast("int")
     firsts, seconds = F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, F.lit(2), F.size(ws))
     return F.concat(F.transform(ws, lambda w: number(w)), F.zip_with(firsts, seconds, lambda a, b: number(a, b)))
 
@@ -42,22 +44,34 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
 
 
-def ngram_weights(grams: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def _place(id_col: Column) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)) + 1
+
+
+def id_filter(trusted: DataFrame) -> DataFrame:
+    """(_bucket, _bits): the hashes of all trusted ids as bitmaps, FILTER_BITS bits in all, whatever the number of ids."""
+    place = _place(F.col("_trusted"))
+    return trusted.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+
+
+def _perhaps(id_col: Column) -> Column:
+    """Whether the bit of an id is set in its bitmap `_bits`: never false for a trusted one."""
+    at = F.bitmap_bit_position(_place(id_col)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.call_function("shiftright", byte, F.pmod(at, F.lit(8))).bitwiseAND(1) == 1, F.lit(False))
+
+
+def ngram_weights(grams: DataFrame, good: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, held): for each fold, log of the trusted share of a bucket, counted in the other folds, over its raw share.
 
-    `grams` has t (1 for trusted documents), fold and grams. One is added to every raw count; the trusted counts start from
-    PRIOR * `buckets` n-grams in the raw shares. The raw counts cover every document, the trusted ones every trusted one.
+    `grams` has the n-grams of every document, `good` those of every trusted one with its fold. One is added to every raw
+    count; the trusted counts start from PRIOR * `buckets` n-grams in the raw shares.
     """
-    side = F.when(F.col("t") == 1, F.col("fold")).otherwise(-1)
-    counts = (
-        grams.select(side.alias("side"), F.explode("grams").alias("gram"))
-        .groupBy(F.pmod(F.col("gram"), F.lit(buckets)).alias("bucket"), "side").count()
-        .groupBy("bucket").agg(
-            F.sum("count").alias("raw"),
-            F.sum(F.when(F.col("side") >= 0, F.col("count")).otherwise(0)).alias("trusted"),
-            *(F.sum(F.when(F.col("side") == k, F.col("count")).otherwise(0)).alias(f"own_{k}") for k in range(FOLDS)),
-        )
-    )
+    raw = grams.select(F.explode("grams").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"))
+    own = good.select("fold", F.explode("grams").alias("bucket")).groupBy("bucket").agg(
+        F.count("*").alias("trusted"), *(F.count_if(F.col("fold") == k).alias(f"own_{k}") for k in range(FOLDS)))
+    counts = raw.join(own, "bucket", "left")
     every = grams.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     totals = stored(every.join(counts, "bucket", "left").fillna(0), "ngrams")
     everything = W.partitionBy()  # one task, of exactly `buckets` rows
@@ -79,19 +93,20 @@ def _vector(weights: DataFrame) -> Column:
     return F.split(F.lit(numbers), ",").cast("array<double>")
 
 
-def _mean(grams: Column, vector: Column) -> Column:
+def _mean(grams: Column, fold: Column, vector: Column, buckets: int) -> Column:
+    start = fold * buckets
     return F.when(
-        F.size(grams) > 0, F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.get(vector, g)) / F.size(grams)
+        F.size(grams) > 0, F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.get(vector, start + g)) / F.size(grams)
     ).otherwise(0.0)
 
 
-def cut_of(grams: DataFrame, vector: Column) -> DataFrame:
+def cut_of(good: DataFrame, vector: Column, buckets: int = BUCKETS) -> DataFrame:
     """(cut): the least held-out score that is kept, from those of all trusted documents with MIN_WORDS words or more.
 
     Null without any: then there is nothing to compare with, and none is too low.
     """
-    rows = grams.where((F.col("t") == 1) & (F.col("n") >= MIN_WORDS))
-    units = F.round(_mean(F.col("grams"), vector) * SCALE).cast("decimal(18,0)")
+    rows = good.where(F.col("n") >= MIN_WORDS)
+    units = F.round(_mean(F.col("grams"), F.col("fold"), vector, buckets) * SCALE).cast("decimal(18,0)")
     sums = rows.select(units.alias("x")).agg(
         F.count("x").alias("n"), F.min("x").cast("double").alias("low"), F.sum("x").cast("double").alias("s"),
         F.sum(F.col("x") * F.col("x")).cast("double").alias("ss"),
@@ -122,21 +137,22 @@ def quality_rules(
     a score of at least `threshold`; without one the cut follows from the scores of the trusted documents (`cut_of`).
     Repeated rows get equal verdicts; an empty table gives an empty one.
     Windows are compared by 64-bit hash. Texts are read once: their counts and n-grams are written, and one fold over the
-    n-grams with all weights as one value gives the scores. Texts meet the trusted ids in a plain join, which Spark runs by
-    broadcast while it knows the ids to be few.
+    n-grams with all weights as one value gives the scores. Texts are not shuffled: a filter of fixed size over the trusted
+    ids picks documents, and only the n-grams of those meet the ids themselves.
     """
     keep = docs.columns if keep is None else keep
     trusted = stored(trusted_ids(labels), "trusted")
     name = {n: free_name(docs, n) for n in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept",
     )}
-    ws, lines, seen, grams, fold, given = (
-        free_name(docs, n) for n in ("_q_words", "_q_lines", "_q_seen", "_q_grams", "_q_fold", "_q_trusted")
+    ws, lines, seen, grams, own, perhaps = (
+        free_name(docs, n) for n in ("_q_words", "_q_lines", "_q_seen", "_q_grams", "_q_id", "_q_perhaps")
     )
     col = lambda n: F.col(f"`{n}`")
 
-    out = docs.withColumn(fold, _fold(col(id_col))).join(
-        trusted.withColumnRenamed("_trusted", given), col(id_col) == col(given), "left")
+    # FILTER_BITS / 32768 rows of 4 KB at most.
+    picked = docs.join(F.broadcast(id_filter(trusted)), F.bitmap_bucket_number(_place(col(id_col))) == F.col("_bucket"), "left")
+    out = picked.select(*(col(c) for c in docs.columns), _perhaps(col(id_col)).alias(perhaps))
     out = with_computed(out, {ws: words(col(text_col))})
     out = with_computed(out, {
         lines: F.filter(F.split(F.coalesce(col(text_col), F.lit("")), "\n"), lambda x: x.rlike(WORD)),
@@ -151,14 +167,17 @@ def quality_rules(
         name["n_repeat_words"]: F.when(
             F.size(F.array_distinct(seen)) < F.size(seen), _repeated_words(col(seen))
         ).otherwise(0).cast("long"),
-        grams: _buckets(col(ws), buckets, col(fold)),
-        fold: col(fold),
-        given: col(given).isNotNull().cast("int"),
+        grams: _buckets(col(ws), buckets),
+        own: col(id_col),
+        perhaps: col(perhaps),
     }.items())), "measured")
-    known = measured.select(col(given).alias("t"), col(fold).alias("fold"), n.alias("n"), col(grams).alias("grams"))
-    vector = _vector(stored(ngram_weights(known, buckets), "weights"))
-    cut = F.lit(threshold) if threshold is not None else stored(cut_of(known, vector), "cut").agg(F.first("cut")).scalar()
-    out = with_computed(measured, {name["score"]: _mean(col(grams), vector)})
+    good = measured.where(col(perhaps)).select(
+        col(own).alias("_trusted"), _fold(col(own)).alias("fold"), n.alias("n"), col(grams).alias("grams")).join(trusted, "_trusted")
+    vector = _vector(stored(ngram_weights(measured.select(col(grams).alias("grams")), good, buckets), "weights"))
+    cut = F.lit(threshold)
+    if threshold is None:
+        cut = stored(cut_of(good, vector, buckets), "cut").agg(F.first("cut")).scalar()
+    out = with_computed(measured, {name["score"]: _mean(col(grams), _fold(col(own)), vector, buckets)})
     out = out.withColumn(
         name["base_failed"], (n < MIN_WORDS) | (100 * repeated > MOST_REPEATED_PERCENT * n)
     )
