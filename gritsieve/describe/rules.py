@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gritsieve.operators.ranks import placed
 from gritsieve.relations import local_relation
 
 MEMBERS = "slot string, column string, pos int"
@@ -56,10 +57,12 @@ def suggested(spark: SparkSession, rules: list[Rule], slots: dict[str, Iterable[
     singles = table.where("two is null").join(first, "one").withColumns(
         {"c2": F.lit(None).cast("string"), "p2": F.lit(None).cast("int")})
     found = singles.unionByName(pairs)
-    # A few rows per pair of columns, so the window over all of them is small.
-    order = W.orderBy(F.desc("score"), "rule", F.col("p1"), F.col("p2").asc_nulls_first())
     text = F.replace(F.replace("text", F.lit("{1}"), F.col("c1")), F.lit("{2}"), F.coalesce("c2", F.lit("")))
-    return found.select(
-        F.row_number().over(order).alias("place"), "kind", text.alias("text"),
-        F.to_json(F.filter(F.array("c1", "c2"), lambda c: c.isNotNull())).alias("columns"), "score", "category", "why",
+    order = ["rule", "p1", "p2"]
+    shown = found.select(
+        "kind", text.alias("text"), F.to_json(F.filter(F.array("c1", "c2"), lambda c: c.isNotNull())).alias("columns"),
+        "score", "category", "why", *order,
     )
+    # A table of many columns has very many pairs of them.
+    ranked = placed(shown, [], [F.desc("score"), F.col("rule"), F.col("p1"), F.col("p2").asc_nulls_first()], rank="place", drop=order)
+    return ranked.select(F.col("place").cast("int").alias("place"), "kind", "text", "columns", "score", "category", "why")

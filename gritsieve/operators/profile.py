@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
-from pyspark.storagelevel import StorageLevel
 
 from gritsieve.functions.cells import ROW_ID, named
 from gritsieve.operators.detectors import constant_names, sentinel_missing
@@ -11,6 +10,8 @@ from gritsieve.operators.evidence import Evidence, duplicate_rows, exact_distinc
 from gritsieve.relations import as_text, cell, data_columns, is_text, local_relation, long_cells
 
 SAMPLE = 5
+#: Rows from the top in which first values are looked for before whole columns are.
+LOOK = 1000
 
 
 def missing_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
@@ -22,40 +23,61 @@ def missing_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     return got["rows"], {c: got["rows"] - got[f"c{i}"] for i, c in enumerate(names)}
 
 
-def distinct_and_first(df: DataFrame, names: list[str], k: int = SAMPLE) -> DataFrame:
-    """(column, n_unique, sample): exact distinct counts and the first `k` different values in row order.
+def _first_seen(cells: DataFrame, k: int) -> list:
+    """Of (column, value, row): each column's first `k` different values by the row they are first in."""
+    firsts = cells.groupBy("column", keyed(F.col("value")).alias("key")).agg(F.min("row").alias("row"))
+    # Spark limits each partition to k rows a column before this window's shuffle.
+    place = F.row_number().over(W.partitionBy("column").orderBy("row"))
+    return firsts.select("column", "key", "row", place.alias("place")).filter(F.col("place") <= k).collect()
+
 
-    One shuffle of cells, by column and key with the smallest row id, serves both. The values themselves are fetched for
-    the few rows picked. Without row ids the first values are the smallest, and the values are what is shuffled.
+def first_values(df: DataFrame, unique: dict[str, int], k: int = SAMPLE) -> DataFrame:
+    """(column, sample): each column's first `k` different values in row order, without a shuffle of its cells.
+
+    The first LOOK rows show them for nearly every column. What a column still lacks of its `unique` values is found by one
+    aggregate a value over the columns concerned: the first row with none of the values found so far.
     """
     spark = df.sparkSession
-    if ROW_ID not in df.columns:
-        place = W.partitionBy("column").orderBy("value")
-        smallest = long_cells(df, names).distinct().withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
-        samples = smallest.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("sample"))
-        return exact_distinct(df, names).join(samples, "column", "left")
-    cells = long_cells(df, names, first_row=named(ROW_ID)).select("column", keyed(F.col("value")).alias("key"), "first_row")
-    firsts = cells.groupBy("column", "key").agg(F.min("first_row").alias("first_row")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        counts = firsts.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique")).collect()  # one row per column
-        # Spark limits each partition to k rows a column before this window's shuffle.
-        place = F.row_number().over(W.partitionBy("column").orderBy("first_row"))
-        picks = firsts.select("column", "first_row", place.alias("place")).filter(F.col("place") <= k).collect()
-    finally:
-        firsts.unpersist()
-    unique = local_relation(spark, [r.asDict() for r in counts], "column string, n_unique bigint")
-    if not picks:
-        return unique.withColumn("sample", F.array().cast("array<string>"))
+    head = df.orderBy(ROW_ID).limit(LOOK)
+    found: dict[str, list] = {c: [] for c in unique}
+    for r in sorted(_first_seen(long_cells(head, list(unique), row=named(ROW_ID)), k), key=lambda r: r["place"]):
+        found[r["column"]].append((r["key"], r["row"]))
+    while lacking := [c for c, n in unique.items() if len(found[c]) < min(k, n)]:
+        fresh = [
+            F.min(F.when(cell(df, c).isNotNull() & ~keyed(as_text(df, c)).isin([key for key, _ in found[c]]),
+                         F.struct(named(ROW_ID).alias("row"), keyed(as_text(df, c)).alias("key")))).alias(f"c{i}")
+            for i, c in enumerate(lacking)
+        ]
+        got = df.agg(*fresh).first()
+        for i, c in enumerate(lacking):
+            found[c].append((got[f"c{i}"]["key"], got[f"c{i}"]["row"]))
     # At most k rows per column, so this side is bounded by the schema.
     picked = local_relation(
-        spark, [{"column": r["column"], "place": int(r["place"]), ROW_ID: r["first_row"]} for r in picks],
+        spark, [{"column": c, "place": i, ROW_ID: row} for c, seen in found.items() for i, (_, row) in enumerate(seen)],
         T.StructType([T.StructField("column", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField(ROW_ID, df.schema[ROW_ID].dataType)]),
     )
-    value = F.coalesce(*[F.when(F.col("column") == c, as_text(df, c)) for c in names])
-    samples = (
+    value = F.coalesce(*[F.when(F.col("column") == c, as_text(df, c)) for c in unique])
+    return (
         df.join(F.broadcast(picked), ROW_ID).select("column", "place", value.alias("value")).groupBy("column")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("sample"))
     )
+
+
+def distinct_and_first(df: DataFrame, names: list[str], k: int = SAMPLE) -> DataFrame:
+    """(column, n_unique, sample): exact distinct counts and the first `k` different values in row order.
+
+    Without row ids the first values are the smallest.
+    """
+    counts = exact_distinct(df, names).collect()  # one row per column
+    unique = local_relation(df.sparkSession, [r.asDict() for r in counts], "column string, n_unique bigint")
+    if not counts:
+        return unique.withColumn("sample", F.array().cast("array<string>"))
+    if ROW_ID in df.columns:
+        samples = first_values(df, {r["column"]: r["n_unique"] for r in counts}, k)
+    else:
+        place = W.partitionBy("column").orderBy("value")
+        smallest = long_cells(df, names).distinct().withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
+        samples = smallest.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("sample"))
     return unique.join(samples, "column", "left")
 
 
