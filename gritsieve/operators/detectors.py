@@ -340,7 +340,7 @@ def pii(ev: Evidence) -> DataFrame:
 
 
 def duplicates(ev: Evidence) -> DataFrame:
-    n = duplicate_rows(ev.df).first()["n_duplicates"]
+    n = ev.duplicates()
     if not n:
         return _relation(ev, [])
     return _relation(ev, [_finding(
@@ -355,25 +355,35 @@ def two_row_header(df: DataFrame) -> DataFrame:
     """
     if ROW_ID not in df.columns:
         return local_relation(df.sparkSession, [], FINDINGS)
-    spark, names, top = df.sparkSession, data_columns(df), first_row(df)
-    long_cells = [c for c in names if top and isinstance(top[c], str) and len(top[c]) > 40]
-    ratio = len(long_cells) / max(len(names), 1)
-    if top is None or ratio < 0.3:
-        return local_relation(spark, [], FINDINGS)
-    texts = [c for c in names if is_text(df.schema[c])]
+    top = first_row(df)
+    if top is None or _wordy(top.asDict(), data_columns(df)) < 0.3:
+        return local_relation(df.sparkSession, [], FINDINGS)
+    texts = [c for c in data_columns(df) if is_text(df.schema[c])]
     got = df.agg(
         F.count(F.lit(1)).alias("rows"), *[F.count(number(named(c))).alias(f"n{i}") for i, c in enumerate(texts)]
     ).first()
-    rest = got["rows"] - 1
+    return question_text(df, top.asDict(), got["rows"], {c: got[f"n{i}"] for i, c in enumerate(texts)})
+
+
+def _wordy(top: dict, names: list[str]) -> float:
+    return sum(isinstance(top[c], str) and len(top[c]) > 40 for c in names) / max(len(names), 1)
+
+
+def question_text(df: DataFrame, top: dict, rows: int, numbers: dict[str, int]) -> DataFrame:
+    """What the first row `top` says, with the rows of the table and the numbers in each text column; `df` gives the schema."""
+    names = data_columns(df)
+    ratio = _wordy(top, names)
+    if ratio < 0.3:
+        return local_relation(df.sparkSession, [], FINDINGS)
     is_number = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*")
     rescued = sum(
-        1 for i, c in enumerate(texts)
-        if rest and (got[f"n{i}"] - bool(top[c] is not None and is_number.fullmatch(top[c]))) / rest > 0.8
+        1 for c, n in numbers.items()
+        if rows > 1 and (n - bool(top[c] is not None and is_number.fullmatch(top[c]))) / (rows - 1) > 0.8
     )
     confidence = min(0.60 + ratio * 0.3 + (rescued / max(len(names), 1)) * 0.2, 0.97)
-    return local_relation(spark, [_finding(
+    return local_relation(df.sparkSession, [_finding(
         "two_row_header", TABLE, confidence, 1,
-        f"The first row looks like question text: {len(long_cells)} of {len(names)} cells are long, "
+        f"The first row looks like question text: {round(ratio * len(names))} of {len(names)} cells are long, "
         f"{rescued} columns would be numeric without it",
         "promote_header_row", drop_rows=1,
     )], FINDINGS)
@@ -389,11 +399,11 @@ def scan(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
     header = two_row_header(df)
     if not header.isEmpty():
         return header
-    return _findings(df, ev=ev)
+    return findings_of(df, ev=ev)
 
 
 @with_evidence
-def _findings(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
+def findings_of(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
     members = {m for group in multiselect_groups(ev.columns).values() for m in group}
     parts = [
         repeated_header_row(ev), multiselect_group(ev), pii(ev), duplicates(ev), constant_columns(ev),

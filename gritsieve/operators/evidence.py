@@ -31,6 +31,7 @@ STATS = (
     "pos int, column string, kind string, n_rows bigint, present bigint, distinct_sketch bigint, "
     "norm_sketch bigint, numbers bigint, shaped bigint, dated bigint, shapes bigint, codes bigint, beyond bigint"
 )
+COUNTS = "column string, value string, norm string, n bigint, first_row bigint"
 MEASURES = [
     "present", "distinct_sketch", "norm_sketch", "numbers", "shaped", "dated", "shapes", "codes", "beyond"
 ]
@@ -73,11 +74,41 @@ class Evidence:
     """Statistics (`stats`, one row per column) and value counts (`counts`) of one table."""
 
     def __init__(self, df: DataFrame):
+        self._describe(df)
+        # One row per column.
+        self._take({r["pos"]: r.asDict() for r in self.read_cells().groupBy("pos").agg(
+            *self.sums(),
+            F.approx_count_distinct("key", 0.02).alias("distinct_sketch"),
+            F.approx_count_distinct("norm").alias("norm_sketch"),
+            F.approx_count_distinct("dated").alias("shapes"),
+        ).collect()})
+
+    @classmethod
+    def of_parts(cls, df: DataFrame, by_pos: dict[int, dict], counts: DataFrame, whole: list[str], duplicates: int) -> Evidence:
+        """Evidence put together elsewhere: measures by position (-1 for the row), counted values, the columns whose values
+        are all counted, and the number of repeated rows. `df` gives the schema only."""
+        ev = cls.__new__(cls)
+        ev._describe(df)
+        ev._take(by_pos)
+        ev._counts, ev._whole, ev._duplicates = counts, whole, duplicates
+        return ev
+
+    def _describe(self, df: DataFrame) -> None:
         self.df = df
         self.columns = data_columns(df)
         self.kinds = {c: _kind(df, c) for c in self.columns}
-        self.rows, self.header_rows = self._first_pass()
         self._counts: DataFrame | None = None
+        self._whole: list[str] | None = None
+        self._duplicates: int | None = None
+
+    def _take(self, by_pos: dict[int, dict]) -> None:
+        row = by_pos.get(-1, {"present": 0, "beyond": 0})
+        self.n_rows, self.header_rows = row["present"], row["beyond"]
+        blank = dict.fromkeys(MEASURES, 0)
+        self.rows = [
+            blank | by_pos.get(i, {}) | {"pos": i, "column": c, "kind": self.kinds[c], "n_rows": self.n_rows}
+            for i, c in enumerate(self.columns)
+        ]
 
     # pass 1
 
@@ -96,7 +127,8 @@ class Evidence:
             (((value < bounds[1]) | (value > bounds[2])) if bounds else F.lit(False)).alias("beyond"),
         )
 
-    def _first_pass(self) -> tuple[list[dict], int]:
+    def read_cells(self) -> DataFrame:
+        """(pos, key, beyond, norm, number, shaped, dated, code) of every cell that is not blank."""
         # Position -1 stands for the row itself: it counts rows, and rows that repeat the header.
         whole_row = F.struct(
             F.lit(-1).alias("pos"), F.lit(0).cast("bigint").alias("key"), F.lit(None).cast("string").alias("text"),
@@ -106,7 +138,7 @@ class Evidence:
             F.explode(F.array(whole_row, *[self._cell(i, c) for i, c in enumerate(self.columns)])).alias("c")
         ).select("c.*").filter(F.col("key").isNotNull())
         text = F.col("text")
-        read = cells.select(
+        return cells.select(
             "pos", "key", "text", "beyond", "code", norm(text).alias("norm"), number(text).alias("number"),
             looks_like_date(text).alias("shaped"),
         ).select(
@@ -114,26 +146,14 @@ class Evidence:
             F.when(F.col("shaped") & parsed_date(text).isNotNull(), date_shape(text)).alias("dated"),
             (F.col("code") | known_code(F.col("norm"), F.col("number"))).alias("code"),
         )
-        got = read.groupBy("pos").agg(
-            F.count(F.lit(1)).alias("present"),
-            F.approx_count_distinct("key", 0.02).alias("distinct_sketch"),
-            F.approx_count_distinct("norm").alias("norm_sketch"),
-            F.count("number").alias("numbers"),
-            F.count_if("shaped").alias("shaped"),
-            F.count("dated").alias("dated"),
-            F.approx_count_distinct("dated").alias("shapes"),
-            F.count_if("code").alias("codes"),
-            F.count_if("beyond").alias("beyond"),
-        ).collect()  # one row per column
-        by_pos = {r["pos"]: r.asDict() for r in got}
-        row = by_pos.get(-1, {"present": 0, "beyond": 0})
-        self.n_rows = row["present"]
-        blank = dict.fromkeys(MEASURES, 0)
-        rows = [
-            blank | by_pos.get(i, {}) | {"pos": i, "column": c, "kind": self.kinds[c], "n_rows": self.n_rows}
-            for i, c in enumerate(self.columns)
+
+    @staticmethod
+    def sums() -> list[Column]:
+        """The measures that add up over parts of a table."""
+        return [
+            F.count(F.lit(1)).alias("present"), F.count("number").alias("numbers"), F.count_if("shaped").alias("shaped"),
+            F.count("dated").alias("dated"), F.count_if("code").alias("codes"), F.count_if("beyond").alias("beyond"),
         ]
-        return rows, row["beyond"]
 
     @property
     def stats(self) -> DataFrame:
@@ -146,6 +166,8 @@ class Evidence:
 
     def counted_columns(self) -> list[str]:
         """Columns whose values are all counted, not only their missing-data codes."""
+        if self._whole is not None:
+            return self._whole
         return [
             r["column"] for r in self.rows
             if min(r["distinct_sketch"], r["norm_sketch"] or r["distinct_sketch"]) <= COUNTED_DISTINCT
@@ -157,22 +179,7 @@ class Evidence:
         if self._counts is None:
             whole = {c for c in self.counted_columns() if self.stat(c)["present"]}
             coded = {r["column"] for r in self.rows if r["codes"]}
-            names = [c for c in self.columns if c in whole | coded]
-            if not names:
-                return local_relation(
-                    self.df.sparkSession, [], "column string, value string, norm string, n bigint, first_row bigint"
-                )
-            cells = long_cells(self.df, names, first_row=first_row_order(self.df))
-            if coded - whole:
-                cells = cells.filter(F.col("column").isin(sorted(whole)) | known_code(norm(F.col("value")), number(F.col("value"))))
-            self._counts = (
-                cells.groupBy("column", "value")
-                .agg(F.count(F.lit(1)).alias("n"), F.min("first_row").alias("first_row"))
-                .select("column", "value", norm(F.col("value")).alias("norm"), "n", "first_row")
-                # A few hundred rows a column: laid out by column once, no detector shuffles them again.
-                .repartition("column")
-                .persist(StorageLevel.MEMORY_AND_DISK)
-            )
+            self._counts = count_values(self.df, whole, coded).persist(StorageLevel.MEMORY_AND_DISK)
         return self._counts
 
     def close(self) -> None:
@@ -180,6 +187,12 @@ class Evidence:
             self._counts.unpersist()
             self._counts = None
 
+    def duplicates(self) -> int:
+        """Rows equal to an earlier one."""
+        if self._duplicates is None:
+            self._duplicates = duplicate_rows(self.df).first()["n_duplicates"]
+        return self._duplicates
+
     # exact distinct counts
 
     def distinct_at_most(self, limit: int) -> dict[str, int]:
@@ -193,6 +206,18 @@ class Evidence:
         return found | {r["column"]: 0 for r in self.rows if r["present"] == 0}
 
 
+def count_values(df: DataFrame, whole: set[str], coded: set[str]) -> DataFrame:
+    """(column, value, norm, n, first_row): every value of the columns in `whole`, the missing-data codes of those in `coded`."""
+    names = [c for c in data_columns(df) if c in whole | coded]
+    if not names:
+        return local_relation(df.sparkSession, [], COUNTS)
+    cells = long_cells(df, names, first_row=first_row_order(df))
+    if coded - whole:
+        cells = cells.filter(F.col("column").isin(sorted(whole)) | known_code(norm(F.col("value")), number(F.col("value"))))
+    counted = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min("first_row").alias("first_row"))
+    return counted.select("column", "value", norm(F.col("value")).alias("norm"), "n", "first_row")
+
+
 def with_evidence(fn):
     """Give `fn(df, ..., ev=None)` evidence of its own when the caller has none, and release it afterwards.
 

@@ -7,7 +7,9 @@ from gritsieve.functions.cells import ROW_ID
 from gritsieve.plans.plan import Step
 from gritsieve.plans.recipe import Recipe
 from gritsieve.streaming.clean import clean_stream, distinct_stream, scan_batches, write_stream
+from gritsieve.operators.detectors import scan
 from gritsieve.streaming.counters import quality_counters
+from gritsieve.streaming.so_far import SoFar, scan_so_far
 
 SCHEMA = f"{ROW_ID} bigint, ts timestamp_ntz, age string, state string, rate double"
 
@@ -70,3 +72,38 @@ def test_scan_of_batches(spark, source, tmp_path):
     found = spark.read.parquet(str(tmp_path / "found"))
     assert found.select("batch_id").distinct().count() == 3
     assert {r["kind"] for r in found.collect()} >= {"sentinel_missing", "case_variants", "numeric_like"}
+
+
+def test_findings_so_far_are_those_of_all_rows(spark, source, tmp_path):
+    scan_so_far(stream_of(spark, source), str(tmp_path / "found"), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "found"))
+    assert sorted(r[0] for r in found.select("batch_id").distinct().collect()) == [0, 1, 2]
+    whole = scan(spark.read.schema(SCHEMA).parquet(source))
+    last = found.where("batch_id = 2").drop("batch_id")
+    assert sorted(map(str, last.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+    assert {r["kind"] for r in whole.collect()} >= {"duplicate_rows", "sentinel_missing", "case_variants"}
+
+
+def test_a_batch_run_again_and_columns_that_grow(spark, tmp_path):
+    """The second part has many values in a column of few, codes in it, repeated rows, and the earlier part's rows again."""
+    schema = f"{ROW_ID} bigint, a string, b string, q string"
+    one = [(i, ["yes", "Yes", "no"][i % 3], ["10", "20", "999"][i % 3], "x") for i in range(60)]
+    two = [(60 + i, "no" if i % 2 else " NO", str(1000 + i) if i % 4 else "999", "x") for i in range(400)]
+    three = [(460 + i, *r[1:]) for i, r in enumerate(one[:20])]
+    parts = [spark.createDataFrame(rows, schema) for rows in (one, two, three)]
+    state = SoFar(spark, str(tmp_path / "state"))
+    for batch, part in ((0, parts[0]), (1, parts[1]), (1, parts[1]), (2, parts[2]), (2, parts[2])):
+        got = state.findings(part, batch)
+    want = scan(spark.createDataFrame(one + two + three, schema))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {"duplicate_rows", "constant_columns", "sentinel_missing", "case_variants"} <= {r["kind"] for r in want.collect()}
+
+
+def test_question_text_in_the_first_row_of_a_stream(spark, tmp_path):
+    schema = f"{ROW_ID} bigint, a string, b string"
+    head = "How would you rate the quality of the service you were given?"
+    parts = [[(0, head, head), (1, "3", "x")], [(2, "4", "y"), (3, "5", "z")]]
+    state = SoFar(spark, str(tmp_path / "state"))
+    got = [state.findings(spark.createDataFrame(p, schema), i).collect() for i, p in enumerate(parts)][-1]
+    assert got == scan(spark.createDataFrame(parts[0] + parts[1], schema)).collect()
+    assert [r["kind"] for r in got] == ["two_row_header"]
