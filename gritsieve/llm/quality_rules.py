@@ -62,6 +62,24 @@ def _perhaps(id_col: Column) -> Column:
     return F.coalesce(F.call_function("shiftright", byte, F.pmod(at, F.lit(8))).bitwiseAND(1) == 1, F.lit(False))
 
 
+def _flagged(docs: DataFrame, ids: DataFrame, id_col: Column, name: str) -> DataFrame:
+    """`docs` with whether the filter over `ids` picks their id; the filter is FILTER_BITS / 32768 rows of 4 KB at most."""
+    picked = docs.join(F.broadcast(id_filter(ids)), F.bitmap_bucket_number(_place(id_col)) == F.col("_bucket"), "left")
+    return picked.select(*(F.col(f"`{c}`") for c in docs.columns), _perhaps(id_col).alias(name))
+
+
+def _of_trusted(picked: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Of documents (_id, fold, n, grams) that the filter picked, those with a trusted id.
+
+    The ids it picked wrongly, found by ids alone, make a second filter: what that does not pick is trusted for sure, and
+    only the few others take their n-grams to a join with the ids.
+    """
+    wrong = stored(picked.select(F.col("_id").alias("_trusted")).distinct().join(trusted, "_trusted", "left_anti"), "wrong")
+    flagged = _flagged(picked, wrong, F.col("_id"), "_doubt")
+    others = flagged.where("_doubt").join(trusted, F.col("_id") == F.col("_trusted"), "left_semi")
+    return flagged.where("not _doubt").unionByName(others).select("fold", "n", "grams")
+
+
 def ngram_weights(grams: DataFrame, good: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, held): for each fold, log of the trusted share of a bucket, counted in the other folds, over its raw share.
 
@@ -137,8 +155,8 @@ def quality_rules(
     a score of at least `threshold`; without one the cut follows from the scores of the trusted documents (`cut_of`).
     Repeated rows get equal verdicts; an empty table gives an empty one.
     Windows are compared by 64-bit hash. Texts are read once: their counts and n-grams are written, and one fold over the
-    n-grams with all weights as one value gives the scores. Texts are not shuffled: a filter of fixed size over the trusted
-    ids picks documents, and only the n-grams of those meet the ids themselves.
+    n-grams with all weights as one value gives the scores. Texts are not shuffled, and n-grams hardly: filters of fixed size
+    over ids tell trusted documents (`_of_trusted`).
     """
     keep = docs.columns if keep is None else keep
     trusted = stored(trusted_ids(labels), "trusted")
@@ -150,9 +168,7 @@ def quality_rules(
     )
     col = lambda n: F.col(f"`{n}`")
 
-    # FILTER_BITS / 32768 rows of 4 KB at most.
-    picked = docs.join(F.broadcast(id_filter(trusted)), F.bitmap_bucket_number(_place(col(id_col))) == F.col("_bucket"), "left")
-    out = picked.select(*(col(c) for c in docs.columns), _perhaps(col(id_col)).alias(perhaps))
+    out = _flagged(docs, trusted, col(id_col), perhaps)
     out = with_computed(out, {ws: words(col(text_col))})
     out = with_computed(out, {
         lines: F.filter(F.split(F.coalesce(col(text_col), F.lit("")), "\n"), lambda x: x.rlike(WORD)),
@@ -171,8 +187,8 @@ def quality_rules(
         own: col(id_col),
         perhaps: col(perhaps),
     }.items())), "measured")
-    good = measured.where(col(perhaps)).select(
-        col(own).alias("_trusted"), _fold(col(own)).alias("fold"), n.alias("n"), col(grams).alias("grams")).join(trusted, "_trusted")
+    good = _of_trusted(measured.where(col(perhaps)).select(
+        col(own).alias("_id"), _fold(col(own)).alias("fold"), n.alias("n"), col(grams).alias("grams")), trusted)
     vector = _vector(stored(ngram_weights(measured.select(col(grams).alias("grams")), good, buckets), "weights"))
     cut = F.lit(threshold)
     if threshold is None:

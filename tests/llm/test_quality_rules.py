@@ -106,3 +106,14 @@ def test_clean_documents_stay_at_every_size(spark, size):
     assert all(r.kept for r in clean if known.get(r.doc_id) == (1, 0))
     noisy = [r.kept for r in rows if 10 * r.n_symbols > r.n_words]
     assert sum(noisy) < len(noisy) and (size != "sf0.1" or sum(noisy) < 0.01 * len(noisy))
+
+
+def test_a_filter_that_is_full_changes_nothing(spark, documents, monkeypatch):
+    """With very few bits the filters pick nearly every id, and the joins decide."""
+    from gritsieve.llm import quality_rules as module
+
+    pairs = [(i, f"{'w' if i % 3 else 'v'}{i} {GOOD}" + " ".join(f"t{k}" for k in range(i % 7, 50))) for i in range(90)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(90) if i % 3], "doc_id long, quality int, toxic int")
+    whole = sorted(map(str, quality_rules(documents(pairs), labels, buckets=50).collect()))
+    monkeypatch.setattr(module, "FILTER_BITS", 8)
+    assert sorted(map(str, quality_rules(documents(pairs), labels, buckets=50).collect())) == whole
