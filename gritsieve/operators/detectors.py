@@ -39,6 +39,14 @@ def _whole(ev: Evidence, *kinds: str) -> DataFrame:
     return _known(ev, *kinds).filter(F.col("column").isin(ev.counted_columns()))
 
 
+def _answers(ev: Evidence, least: int, most: int) -> DataFrame:
+    """(column, norm, n, d): normalised answers of the text columns that have from `least` to `most` of them."""
+    found = {c: forms for c, (_, forms) in ev.sizes().items() if least <= forms <= most and ev.kinds[c] == "text"}
+    sized = local_relation(ev.df.sparkSession, [{"column": c, "d": d} for c, d in found.items()], "column string, d bigint")
+    counted = ev.counts.filter(F.col("column").isin(sorted(found))).groupBy("column", "norm").agg(F.sum("n").alias("n"))
+    return counted.join(F.broadcast(sized), "column")
+
+
 # Detectors over value counts
 
 
@@ -89,14 +97,9 @@ def likert_scale(ev: Evidence) -> DataFrame:
         ],
         "scale_no int, scale string, place int, norm string",
     )
-    everything, best = W.partitionBy("column"), W.partitionBy("column").orderBy(F.desc("overlap"), "scale_no")
-    answers = (
-        _whole(ev, "text").groupBy("column", "norm").agg(F.sum("n").alias("n"))
-        .withColumn("d", F.count(F.lit(1)).over(everything))
-        .filter("d between 2 and 8")
-    )
+    best = W.partitionBy("column").orderBy(F.desc("overlap"), "scale_no")
     matched = (
-        answers.join(F.broadcast(levels), "norm")
+        _answers(ev, 2, 8).join(F.broadcast(levels), "norm")
         .groupBy("column", "scale_no", "scale", "d")
         .agg(
             F.count(F.lit(1)).alias("hits"), F.sum("n").alias("n_affected"),
@@ -126,21 +129,21 @@ def value_synonyms(ev: Evidence) -> DataFrame:
         ],
         "vocab_no int, vocab string, hint string, answer string, norm string",
     )
-    per_column, per_vocab = W.partitionBy("column"), W.partitionBy("column", "vocab_no")
-    best = per_column.orderBy(F.desc("score"), "vocab_no")
+    per_vocab = W.partitionBy("column", "vocab_no")
+    best = W.partitionBy("column").orderBy(F.desc("score"), "vocab_no")
     hinted = F.rlike(name_tokens(F.col("column")), F.col("hint"))
-    covered = (
-        _whole(ev, "text")
-        .withColumn("d", F.size(F.collect_set("norm").over(per_column)))
-        .filter("d between 3 and 14")
-        .join(F.broadcast(aliases), "norm")
+    # At most fourteen rows a column; the spellings join them afterwards.
+    chosen = (
+        _answers(ev, 3, 14).join(F.broadcast(aliases), "norm")
         .withColumn("known", F.size(F.collect_set("norm").over(per_vocab)))
         .withColumn("answers", F.size(F.collect_set("answer").over(per_vocab)))
         .filter((F.col("known") / F.col("d") >= 0.6) & (F.col("answers") == 2))
         .withColumn("score", F.col("known") / F.col("d") + F.when(hinted, 0.3).otherwise(0.0))
         .withColumn("chosen", F.first("vocab_no").over(best))
         .filter("vocab_no = chosen")
+        .select("column", "norm", "vocab", "answer", "d", "known")
     )
+    covered = _whole(ev, "text").join(F.broadcast(chosen), ["column", "norm"])
     return (
         covered.filter(F.col("value") != F.col("answer"))
         .groupBy("column", "vocab", "d", "known")
@@ -163,10 +166,11 @@ def value_synonyms(ev: Evidence) -> DataFrame:
 
 def case_variants(ev: Evidence) -> DataFrame:
     bucket = W.partitionBy("column", "norm").orderBy(F.desc("n"), F.col("first_row").asc_nulls_last(), "value")
+    few = [c for c, d in ev.distinct_at_most(60).items() if d >= 2]
+    # At most sixty rows a column.
     spelled = (
-        _whole(ev, "text")
+        _whole(ev, "text").filter(F.col("column").isin(few))
         .withColumn("d", F.count(F.lit(1)).over(W.partitionBy("column")))
-        .filter("d between 2 and 60")
         .withColumn("place", F.row_number().over(bucket))
         .withColumn("main", F.first("value").over(bucket))
         .filter("place > 1")

@@ -99,6 +99,7 @@ class Evidence:
         self.kinds = {c: _kind(df, c) for c in self.columns}
         self._counts: DataFrame | None = None
         self._whole: list[str] | None = None
+        self._sizes: dict[str, tuple[int, int]] | None = None
         self._duplicates: int | None = None
 
     def _take(self, by_pos: dict[int, dict]) -> None:
@@ -195,14 +196,21 @@ class Evidence:
 
     # exact distinct counts
 
+    def sizes(self) -> dict[str, tuple[int, int]]:
+        """For each wholly counted column how many values it has, and how many normalised ones; counted once.
+
+        Values meet by column and normal form first, so a column with very many spellings of one answer is many tasks.
+        """
+        if self._sizes is None:
+            forms = self.counts.filter(F.col("column").isin(self.counted_columns())).groupBy("column", "norm").agg(
+                F.count(F.lit(1)).alias("spellings"))
+            got = forms.groupBy("column").agg(F.sum("spellings").alias("values"), F.count(F.lit(1)).alias("forms")).collect()
+            self._sizes = {r["column"]: (r["values"], r["forms"]) for r in got}
+        return self._sizes
+
     def distinct_at_most(self, limit: int) -> dict[str, int]:
         """Exact distinct counts of the columns with no more than `limit` values (limit up to 60)."""
-        whole = self.counted_columns()
-        got = (
-            self.counts.filter(F.col("column").isin(whole))
-            .groupBy("column").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") <= limit).collect()
-        )
-        found = {r["column"]: r["d"] for r in got}
+        found = {c: values for c, (values, _) in self.sizes().items() if values <= limit}
         return found | {r["column"]: 0 for r in self.rows if r["present"] == 0}
 
 

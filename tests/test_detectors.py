@@ -1,6 +1,8 @@
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gritsieve.operators import detectors as find
 from gritsieve.operators import profile as prof
@@ -190,3 +192,20 @@ def test_profile_counts_and_samples(frame):
     got = {r["column"]: r for r in prof.profile(df).collect()}
     assert got["t"]["n_unique"] == 4 and got["t"]["sample"] == [long + "a", long + "b", "=c", "#d"]
     assert (got["n"]["n_missing"], got["n"]["n_unique"], got["n"]["n_unique_with_na"]) == (2, 3, 4)
+
+
+def test_many_spellings_of_few_answers(spark):
+    """Twenty thousand spellings of four answers: found by normal form, and no task holds a column's spellings."""
+    blank = F.repeat(F.lit(" "), (F.col("id") % 5000).cast("int"))
+    answer = F.get(F.array(F.lit("yes"), F.lit("no"), F.lit("Y"), F.lit("n")), (F.col("id") % 4).cast("int"))
+    df = spark.range(40_000).select(F.concat(answer, blank).alias("consent"), F.get(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3).cast("int")).alias("k"))
+    ev = Evidence(df)
+    try:
+        assert ev.sizes()["consent"] == (5000, 4) and ev.sizes()["k"] == (3, 3)
+        (row,) = find.value_synonyms(ev).collect()
+        assert row["column"] == "consent" and row["n_affected"] == 40_000 and len(json.loads(row["params"])["mapping"]) == 5000
+        assert find.case_variants(ev).collect() == []
+        exchanges = re.findall(r"hashpartitioning\(([^)]*)\)", ev.counts._jdf.queryExecution().executedPlan().toString())
+        assert exchanges and all("value" in keys for keys in exchanges)
+    finally:
+        ev.close()
