@@ -713,6 +713,10 @@ COUNTERS = " UNION ALL ".join(
 )
 ORACLES["stream_quality_window"] = COUNTERS
 ORACLES["stream_scan"] = f"WITH {scan_cte()} SELECT CAST(0 AS BIGINT) AS batch_id, kind, \"column\", confidence, n_affected FROM found"
+ORACLES["stream_scan_so_far"] = ORACLES["scan"]
+ORACLES["sql_pipe"] = """
+SELECT CAST(substring(o_orderpriority, 1, 1) AS BIGINT) AS n, o_orderstatus, count(*) AS orders, CAST(max(o_totalprice) AS DOUBLE) AS most
+FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2"""
 
 # Equality, codes, wide tables, sinks and readers
 

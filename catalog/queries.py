@@ -25,6 +25,7 @@ from gritsieve.sources.sinks import write_clean, write_ledger
 from gritsieve.sqlgate import run_sql
 from gritsieve.streaming.clean import clean_stream, distinct_stream, scan_batches, write_stream
 from gritsieve.streaming.counters import quality_counters
+from gritsieve.streaming.so_far import scan_so_far
 
 QUERIES = {}
 TABLES = [
@@ -835,6 +836,16 @@ def sql_readonly(spark, sf):
     return run_sql(clean_view(spark, sf), READONLY_SQL)
 
 
+@query
+def sql_pipe(spark, sf):
+    """A query in pipe syntax with a recursive list, over the table as it is given."""
+    return run_sql(table(spark, sf, "orders"), """
+        WITH RECURSIVE level(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM level WHERE n < 5)
+        FROM data |> WHERE o_orderstatus <> 'P' |> EXTEND CAST(substring(o_orderpriority, 1, 1) AS INT) AS n |> JOIN level USING (n)
+        |> AGGREGATE count(*) AS orders, max(o_totalprice) AS most GROUP BY n, o_orderstatus
+    """).select(F.col("n").cast("bigint").alias("n"), "o_orderstatus", "orders", F.col("most").cast("double").alias("most"))
+
+
 # Sources: Spark writes the given tables in another format, the readers read them back
 
 
@@ -961,3 +972,18 @@ def stream_scan(spark, sf):
     path, checkpoint = fresh_path(spark, "stream-scan"), fresh_path(spark, "stream-scan-checkpoint")
     scan_batches(dirty, path, checkpoint).awaitTermination()
     return spark.read.parquet(path).select(F.col("batch_id").cast("bigint").alias("batch_id"), "kind", "column", "confidence", "n_affected")
+
+
+@query
+def stream_scan_so_far(spark, sf):
+    """The dirty survey in four micro-batches: what is known after the last is what a scan of the whole would say."""
+    source = fresh_path(spark, "orders-parts")
+    orders = table(spark, sf, "orders")
+    orders.repartition(4, "o_orderkey").write.parquet(source)
+    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    dirty = spark.sql(DIRTY_SQL, orders=stream).withColumnRenamed("row_id", ROW_ID)
+    path, state, checkpoint = (fresh_path(spark, f"so-far-{part}") for part in ("found", "state", "checkpoint"))
+    scan_so_far(dirty, path, state, checkpoint).awaitTermination()
+    found = spark.read.parquet(path)
+    last = found.agg(F.max("batch_id")).scalar()
+    return _found(found.where(F.col("batch_id") == last).drop("batch_id"))
