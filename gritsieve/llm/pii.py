@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from gritsieve.llm.shared import stored, with_computed
 
-#: Kinds in the order in which spans at one place are listed.
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds in the order in which spans at one place are listed. `secret` has no base pattern: only contexts find its spans.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 
 #: The base patterns, in a form that runs in linear time: possessive where nothing follows that could need less, and
 #: begun only where a run of the leading class begins (or the last match ended).
@@ -21,10 +22,17 @@ PATTERNS = {
 #: A run of words with a digit or an at sign, which may be an identifier.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
 
-#: Production parameters of the bootstrap: rounds, different seeds that a pattern needs, share of seeds among what it
-#: stands with, and the characters around a candidate that make its context.
-ROUNDS = 3
+#: What seeds the contexts of secrets: a digest in lower-case hexadecimal, as keys and tokens often are.
+SECRET_SEED = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
+
+#: Production parameters of the bootstrap: different seeds that a pattern needs, share of seeds among what it stands with,
+#: and the characters around a candidate that make its context. Confidences are cut to thousandths, so that rounds end.
 LEAST_SEEDS = 5
+STEPS = 1000
+#: Rounds after which scores that still change are an error.
+MOST_ROUNDS = 100
+#: Matches that are placed in one fold; longer lists are folded in blocks.
+BLOCK = 128
 LEAST_CONFIDENCE = 0.8
 CONTEXT = 60
 
@@ -55,18 +63,35 @@ def _fits(kind: str, value: Column) -> Column:
 
 
 def _spans(text: Column, pattern: str, matches: Column, rank: int) -> Column:
-    """The matches with start and end in code points. What `split` leaves between them gives the distances."""
+    """The matches with start and end in code points. What `split` leaves between them gives the distances.
+
+    Lists are folded in blocks of BLOCK: one fold over the blocks' lengths places the blocks, one in each its matches. So
+    a text of very many matches is not copied once per match.
+    """
     between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(SPAN).alias("out"))
+    reach = lambda x: x.gap + F.length(x.m)
 
-    def located(pieces: Column) -> Column:
-        both = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap")))
-        return F.aggregate(both, start, lambda a, x: F.struct(
-            (a.pos + x.gap + F.length(x.m)).alias("pos"),
+    def placed(block: Column, at: Column) -> Column:
+        start = F.struct(at.alias("pos"), F.array().cast(SPAN).alias("out"))
+        return F.aggregate(block, start, lambda a, x: F.struct(
+            (a.pos + reach(x)).alias("pos"),
             F.concat(a.out, F.array(F.struct(
-                (a.pos + x.gap).alias("start"), F.lit(rank).alias("rank"), (a.pos + x.gap + F.length(x.m)).alias("end"), x.m.alias("value"),
+                (a.pos + x.gap).alias("start"), F.lit(rank).alias("rank"), (a.pos + reach(x)).alias("end"), x.m.alias("value"),
             ).cast("struct<start:bigint,rank:int,end:bigint,value:string>"))).alias("out"))).out
 
+    def located(pieces: Column) -> Column:
+        both = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap")))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(F.array(both), lambda items: F.transform(numbers, lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK))))[0]
+        return F.transform(F.array(blocks), in_blocks)[0]
+
+    def in_blocks(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<bigint>").alias("out"))
+        starts = F.aggregate(blocks, zero, lambda a, block: F.struct(
+            (a.pos + F.aggregate(block, F.lit(0).cast("bigint"), lambda n, x: n + reach(x))).alias("pos"),
+            F.concat(a.out, F.array(a.pos)).alias("out"))).out
+        return F.flatten(F.zip_with(blocks, starts, placed))
+
     return F.when(F.size(matches) > 0, F.transform(F.array(between), located)[0]).otherwise(F.array().cast(SPAN))
 
 
@@ -97,11 +122,11 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     patterns = {**PATTERNS, "candidate": CANDIDATE}
     rows = with_computed(rows, {f"m_{k}": F.regexp_extract_all("t", F.lit(p), F.lit(0)) for k, p in patterns.items()})
     rows = with_computed(rows, {
-        **{k: _valid(k, _spans(F.col("t"), PATTERNS[k], F.col(f"m_{k}"), rank)) for rank, k in enumerate(KINDS)},
+        **{k: _valid(k, _spans(F.col("t"), PATTERNS[k], F.col(f"m_{k}"), rank)) for rank, k in enumerate(BASE)},
         "found": _spans(F.col("t"), CANDIDATE, F.col("m_candidate"), 9),
     })
     return with_computed(rows, {
-        "base": F.array_sort(F.concat(*KINDS)),
+        "base": F.array_sort(F.concat(*BASE)),
         "candidates": _contexts(F.col("t"), F.col("m_candidate"), F.col("found")),
     }).select("doc_id", "text_hash", "base", "candidates")
 
@@ -111,9 +136,9 @@ def _valid(kind: str, spans: Column) -> Column:
 
 
 def _seeds(value: Column) -> list[Column]:
-    """For each kind, 1.0 where a candidate holds a valid base match of it."""
-    out = []
-    for kind in KINDS:
+    """For each kind, 1.0 where a candidate holds a valid base match of it, or is a digest."""
+    out = [F.when(value.rlike(SECRET_SEED), 1.0).otherwise(0.0).alias("secret")]
+    for kind in BASE:
         matches = F.regexp_extract_all(value, F.lit(PATTERNS[kind]), F.lit(0))
         out.append(F.when(F.exists(matches, _tester(kind)), 1.0).otherwise(0.0).alias(kind))
     return out
@@ -131,38 +156,46 @@ def _shaped(kind: str, value: Column) -> Column:
         "ip": value.rlike(r"^[0-9]+(?:[.:,][0-9]+){2,}$"),
         "card": value.rlike(r"^[0-9][0-9 .-]*$") & n.between(12, 19),
         "phone": value.rlike(r"^\(?[0-9][0-9 ()./-]*$") & n.between(7, 15),
+        "secret": value.rlike(r"^[A-Za-z0-9_+/=.-]{16,}$") & value.rlike("[0-9]") & value.rlike("[A-Za-z]"),
     }[kind]
 
 
-def bootstrapped(occurrences: DataFrame, rounds: int, least_seeds: int, least_confidence: float) -> DataFrame:
+def bootstrapped(occurrences: DataFrame, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """(pattern, kind, confidence): the patterns that discover, after scoring the graph of patterns and values in rounds.
 
     `occurrences` has (value, patterns). An edge joins a pattern with a value it stands at. Values that hold a base match
-    are seeds of score 1. A pattern's confidence in a kind is the mean score of its different values, and it needs
-    `least_seeds` different seeds; a value that is no seed scores the best confidence of its patterns, if that is
-    high enough and its look agrees, so it supports other patterns in the next round.
+    or are a digest are seeds of score 1. A pattern's confidence in a kind is the mean score of its different values, and
+    it needs `least_seeds` different seeds; a value that is no seed scores the best confidence of its patterns, if that is
+    high enough and its look agrees, so it supports other patterns in the next round. Scores never fall, and rounds go on
+    until none changes.
     """
     edges = occurrences.select("value", F.explode("patterns").alias("pattern")).distinct()
     edges = stored(edges.select("value", "pattern", *_seeds(F.col("value"))), "edges")
     scores = [F.greatest(F.col(k), F.coalesce(f"s_{k}", F.lit(0.0))) for k in KINDS]
-    values = None
-    for _ in range(rounds):
+    values, before = None, None
+    for _ in range(MOST_ROUNDS):
         now = edges if values is None else edges.join(values, "value", "left").select(
             "value", "pattern", *(s.alias(k) for k, s in zip(KINDS, scores)), *(F.col(k).alias(f"seed_{k}") for k in KINDS))
         seed = [F.sum(k if values is None else f"seed_{k}").alias(f"seeds_{k}") for k in KINDS]
-        patterns = now.groupBy("pattern").agg(*(F.avg(k).alias(k) for k in KINDS), *seed)
+        # Sums in whole steps, so that they do not depend on the order of the values.
+        mean = [F.floor(F.sum((F.col(k) * STEPS).cast("long")) / F.count("*")) / STEPS for k in KINDS]
+        patterns = now.groupBy("pattern").agg(*(m.alias(k) for k, m in zip(KINDS, mean)), *seed)
         good = F.array(*(F.when((F.col(k) >= least_confidence) & (F.col(f"seeds_{k}") >= least_seeds), F.struct(
             F.lit(k).alias("kind"), F.col(k).alias("confidence"))) for k in KINDS))
         patterns = stored(patterns.select("pattern", F.explode(F.filter(good, lambda g: g.isNotNull())).alias("g")).select(
             "pattern", "g.kind", "g.confidence"), "patterns")
+        state = patterns.agg(F.count("*"), F.sum((F.col("confidence") * STEPS).cast("long"))).first()
+        if state == before:
+            return patterns
+        before = state
         looks = [F.when((F.col("kind") == k) & _shaped(k, F.col("value")), F.col("confidence")) for k in KINDS]
         values = stored(edges.where(" + ".join(KINDS) + " = 0").select("value", "pattern").join(patterns, "pattern").groupBy("value").agg(
             *(F.max(x).alias(f"s_{k}") for k, x in zip(KINDS, looks))), "values")
-    return patterns
+    raise RuntimeError("the scores of patterns did not settle")
 
 
 def find_personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_seeds: int = LEAST_SEEDS,
     least_confidence: float = LEAST_CONFIDENCE,
 ) -> DataFrame:
     """(doc_id, base, added) for every row: spans as (start, rank of kind, end, value), in code points, end exclusive.
@@ -179,7 +212,7 @@ def find_personal_data(
     core = F.regexp_replace("value", r"^[^A-Za-z0-9+(@]+|[^A-Za-z0-9)]+$", "")
     found = found.withColumn("start", F.col("start") + F.length(front)).withColumn("value", core).withColumn(
         "end", F.col("start") + F.length("value"))
-    patterns = bootstrapped(found.select("value", "patterns"), rounds, least_seeds, least_confidence)
+    patterns = bootstrapped(found.select("value", "patterns"), least_seeds, least_confidence)
     free = ~F.exists("base", lambda s: (s.start < F.col("end")) & (s.end > F.col("start")))
     open_ = found.where(free).select("doc_id", "text_hash", "start", "end", "value", F.explode("patterns").alias("pattern"))
     hits = open_.join(patterns, "pattern")
@@ -199,11 +232,12 @@ def listed(spans: Column) -> Column:
 
 
 def personal_data_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts and hash of the base spans, and all spans listed."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): counts and hash of the base spans, all spans
+    listed, and how many of them the bootstrap added."""
     found = find_personal_data(docs, id_col, text_col, **how)
-    counts = [F.size(F.filter("base", _of_rank(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", _of_rank(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
-                        listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+                        listed(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
 def _of_rank(rank: int):

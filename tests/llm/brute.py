@@ -107,3 +107,65 @@ def pii(text):
     """Base spans as (start, rank, end)."""
     return sorted((m.start(), rank, m.end()) for rank, (pattern, fits) in enumerate(_PII.values())
                   for m in re.finditer(pattern, text or "", re.ASCII) if fits(m.group()))
+
+
+CANDIDATE = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*(?: [^\s0-9@]*[0-9@]\S*)*", re.A)
+LOOKS = {
+    0: lambda v: "@" in v,
+    1: lambda v: re.search(r"^[0-9]+(?:[.:,][0-9]+){2,}$", v),
+    2: lambda v: re.search(r"^[0-9][0-9 .-]*$", v) and 12 <= len(re.sub("[^0-9]", "", v)) <= 19,
+    3: lambda v: re.search(r"^\(?[0-9][0-9 ()./-]*$", v) and 7 <= len(re.sub("[^0-9]", "", v)) <= 15,
+    4: lambda v: re.search(r"^[A-Za-z0-9_+/=.-]{16,}$", v) and re.search("[0-9]", v) and re.search("[A-Za-z]", v),
+}
+
+
+def occurrences(text):
+    """(start, end, value, patterns) of every candidate, without its outer marks."""
+    found = [m.span() for m in CANDIDATE.finditer(text)]
+    for n, (start, end) in enumerate(found):
+        left = text[found[n - 1][1] if n else 0 : start][-60:].lower()
+        right = text[end : found[n + 1][0] if n + 1 < len(found) else len(text)][:60].lower()
+        word, two = re.search(r"(\S+)\s*$", left, re.A), re.search(r"(\S+\s+\S+)\s*$", left, re.A)
+        after = re.search(r"^\s*(\S+)", right, re.A)
+        patterns = {"2 " + re.sub(r"\s+", " ", two[1], flags=re.A)} if two else set()
+        if word:
+            patterns |= {"1 " + word[1]} | ({f"0 {word[1]} _ {after[1]}"} if after else set())
+        front = re.match(r"[^A-Za-z0-9+(@]*", text[start:end])[0]
+        value = re.sub(r"^[^A-Za-z0-9+(@]+|[^A-Za-z0-9)]+$", "", text[start:end])
+        yield start + len(front), start + len(front) + len(value), value, patterns
+
+
+def discovered(pairs, least_seeds=5, least=800):
+    """For each text the spans (start, rank, end, value) that contexts add: the scores of patterns and values by plain rounds."""
+    rows = [(n, *o) for n, (_, t) in enumerate(pairs) for o in occurrences(t or "")]
+    at, stands = defaultdict(set), defaultdict(set)
+    for _, _, _, value, patterns in rows:
+        for p in patterns:
+            at[p].add(value)
+            stands[value].add(p)
+
+    def seed(value, kind):
+        if kind == 4:
+            return bool(re.fullmatch("[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}", value))
+        return any(r == kind for _, r, _ in pii(value))
+
+    seeds = {v: [1000 * seed(v, k) for k in range(5)] for v in stands}
+    scores, accepted = {v: list(s) for v, s in seeds.items()}, None
+    while True:
+        now = {}
+        for p, values in at.items():
+            for k in range(5):
+                mean = sum(scores[v][k] for v in values) // len(values)
+                if mean >= least and sum(seeds[v][k] > 0 for v in values) >= least_seeds:
+                    now[p, k] = mean
+        if now == accepted:
+            break
+        accepted = now
+        for v, s in seeds.items():
+            if not any(s):
+                scores[v] = [max((now.get((p, k), 0) for p in stands[v]), default=0) if LOOKS[k](v) else 0 for k in range(5)]
+    out = [set() for _ in pairs]
+    for n, start, end, value, patterns in rows:
+        if not any(s < end and e > start for s, _, e in pii(pairs[n][1])):
+            out[n] |= {(start, k, end, value) for p in patterns for k in range(5) if (p, k) in accepted and LOOKS[k](value)}
+    return out

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from brute import pii
+from brute import discovered, pii
 
 from gritsieve.llm.pii import KINDS, find_personal_data, personal_data_digest
 
@@ -55,3 +55,42 @@ def test_contexts_discover_and_leave_the_rest(documents):
     assert list(found) == [200] and len(found[200]) == 1
     s = got[200].added[0]
     assert KINDS[s["rank"]] == "phone" and dict(pairs)[200][s.start : s.end] == s.value == found[200][0] and s.value[-1] != ","
+
+
+def added(docs):
+    return sorted(((r.doc_id, tuple(sorted((s.start, s["rank"], s.end, s.value) for s in r.added))) for r in find_personal_data(docs).collect()), key=str)
+
+
+def test_the_bootstrap_against_brute_force(spark, sf, documents):
+    pairs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = sorted(((i, tuple(sorted(found))) for (i, _), found in zip(pairs, discovered(pairs))), key=str)
+    assert added(documents(pairs)) == want
+
+
+def test_scores_travel_over_several_rounds(documents):
+    """Values found in a context of seeds raise other contexts, whose values raise further ones."""
+    rng = random.Random(3)
+    digest = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    other = lambda: "K" + "".join(rng.choice("ABCDEF0123456789") for _ in range(19))
+    shared = [other() for _ in range(6)]
+    pairs = [(i, f"first token is {digest()} here") for i in range(12)] + [(20 + i, f"first token is {v} here") for i, v in enumerate(shared[:2])]
+    pairs += [(40 + i, f"the hidden key {digest()} stays") for i in range(6)] + [(60 + i, f"the hidden key {v} stays") for i, v in enumerate(shared)]
+    pairs += [(80 + i, f"part number {other()} of many") for i in range(6)]
+    want = sorted(((i, tuple(sorted(found))) for (i, _), found in zip(pairs, discovered(pairs))), key=str)
+    assert added(documents(pairs)) == want
+    found = {i for i, spans in want if spans}
+    assert {20, 21} <= found and not found & set(range(80, 86))
+
+
+def test_secrets_beside_base_spans(spark):
+    """On a larger given table contexts add spans; all that are added stand behind the word token, in any case."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    spans = [(r.doc_id, s) for r in find_personal_data(docs).where("size(added) > 0").collect() for s in r.added]
+    assert spans and all("token" in texts[i][max(0, s.start - 12) : s.start].lower() for i, s in spans if KINDS[s["rank"]] == "secret")
+
+
+def test_very_many_matches_in_one_text(documents):
+    pairs = [(1, "a1@b.cd " * 20_000)]
+    (row,) = find_personal_data(documents(pairs)).collect()
+    assert [(s.start, s.end) for s in row.base] == [(8 * i, 8 * i + 7) for i in range(20_000)]
