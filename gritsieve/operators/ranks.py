@@ -66,15 +66,21 @@ def _free(taken: set[str], name: str) -> str:
     return name
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left", shares: int = SHARES) -> DataFrame:
+def lookup(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left", shares: int = SHARES, times: str | None = None
+) -> DataFrame:
     """`rows` joined with a table that has each key once. `rows` is read twice and should be stored; keys are not null.
 
     Keys with more than one in `shares` of the rows, of which there are fewer than `shares`, meet their entry by
-    broadcast where they lie; the others are shuffled, and no task gets more than such a share of one key.
+    broadcast where they lie; the others are shuffled, and no task gets more than such a share of one key. `times` names a
+    column of `table` that tells how many of the rows have the key, if it is known; else they are counted.
     """
     total = rows.count()
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times")).where(F.col("_times") * shares > total)
-    hot = write_once(counts.select(*keys), "hot-keys")
+    if times:
+        hot = write_once(table.where(F.col(times) * shares > total).select(*keys), "hot-keys")
+    else:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"))
+        hot = write_once(counts.where(F.col("_times") * shares > total).select(*keys), "hot-keys")
     found = write_once(hot.join(table, list(keys)), "hot-rows")
     left = rows.join(F.broadcast(hot), list(keys), "left_anti")
     at_once = rows.join(F.broadcast(hot), list(keys), "left_semi").join(F.broadcast(found), list(keys), how)
