@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gritsieve.llm.shared import SPACES, WORD, free_name, stored, with_computed
+from gritsieve.operators.ranks import lookup
 
 #: Production parameters, in words: the shortest run that is evidence at all, and the length from which a repeated run of
 #: whole lines is sure to be found.
@@ -84,7 +85,8 @@ def repeated_lines(
         .select(F.struct(*_DOC, "pos").alias("place"), F.inline(both)), "reached"
     )
     first = reached.groupBy("reach").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1")
-    runs = reached.join(first.select(F.col("reach").alias("_reach"), "first"), F.col("reach") == F.col("_reach"))
+    # A passage that very many documents share is a hot key; its first place comes to its rows by broadcast.
+    runs = lookup(reached, stored(first, "first-places"), ["reach"], "inner", times="times")
     return runs.where("place != first").select("place.*", "line").groupBy(*_DOC).agg(F.collect_set("line").alias("cut"))
 
 
