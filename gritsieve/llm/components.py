@@ -29,8 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge of the table (a long, b long): the smallest node it is linked to.
 
     Each round points every larger neighbour at the smallest neighbour (large star), then does so with the smaller
-    ones (small star). Minima are aggregated map-side and joined back, so a node with very many edges is a skewed
-    join side that adaptive execution splits, never a group held by one task. Self-links, repeated and reversed
+    ones (small star). Minima are aggregated map-side, written, and joined back: as no aggregate shares the join's stage,
+    adaptive execution splits a node with very many edges. Self-links, repeated and reversed
     edges are allowed; an empty table gives an empty one.
     """
     current = stored(_canonical(edges), "edges")
@@ -38,15 +38,15 @@ def components(edges: DataFrame) -> DataFrame:
         if _settled(current):
             break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        low = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "lows")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.where("a <> b"), "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a").select(F.explode(F.array(
+        lower = stored(large.groupBy("a").agg(F.min("b").alias("m")), "lows")
+        moved = large.join(lower, "a").select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
         )).alias("e")).select("e.a", "e.b")
         after = stored(_canonical(moved), "edges")
-        for done in (large, current):
+        for done in (large, current, low, lower):
             discard(done)
         current = after
     else:
