@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritsieve.llm.shared import new_path, stored
+from gritsieve.operators.ranks import SHARES, lookup
 
 #: Fixed values of the format (WARC 1.1).
 VERSION = "WARC/1.1"
@@ -47,16 +48,22 @@ def _record(kind: str, record_id: Column, headers: list[tuple[str, Column]], blo
 def captures_to_write(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
     """(page, url, html, digest, record_id, target): target is the record to revisit, null for a response.
 
-    Digests that several pages share are aggregated map-side and joined back; a payload that a third of all pages have
-    is a skewed join side that adaptive execution splits. Record ids follow from id, URL and payload.
+    Digests that several pages share are aggregated map-side and written. Those with over one in SHARES of all pages, fewer
+    than SHARES, reach their pages by broadcast, and such pages are dealt by a key of their own, so a payload that a third of
+    all pages have is no single task. Record ids follow from id, URL and payload.
     """
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
     rows = pages.select(
         F.col(f"`{id_col}`").alias("page"), F.col(f"`{url_col}`").alias("url"), html.alias("html"), F.sha1(html).alias("digest"),
         F.octet_length(html).alias("bytes"))
-    shared = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(
-        F.max(F.struct("page", "url")).alias("last"), F.count("*").alias("times")).where("times > 1")
-    joined = rows.join(shared.select("digest", "last"), "digest", "left")
+    shared = stored(rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(
+        F.max(F.struct("page", "url")).alias("last"), F.count("*").alias("times")).where("times > 1"), "digests")
+    hot = shared.where(F.col("times") * SHARES > pages.count())
+    tagged = rows.join(F.broadcast(hot.select("digest", F.col("last").alias("hot"))), "digest", "left")
+    alone = F.concat(F.lit("page "), F.xxhash64("page", "url").cast("string"))
+    tagged = tagged.withColumn("_key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(alone))
+    joined = tagged.join(shared.select(F.col("digest").alias("_key"), "last"), "_key", "left")
+    joined = joined.withColumn("last", F.coalesce("hot", "last")).drop("hot", "_key")
     own = F.struct("page", "url")
     again = (F.col("bytes") >= least_bytes) & F.col("last").isNotNull() & ~own.eqNullSafe(F.col("last"))
 
@@ -197,7 +204,8 @@ def resolved(found: DataFrame) -> DataFrame:
                        F.col("metadata.fields").getItem("page").alias("page"))).alias("target"))
     # Only revisits are joined: rows without a target would all have the null key, and so one task.
     revisits = found.where("response.record_type = 'revisit'")
-    known = revisits.join(targets, F.col("response.refers_to") == F.col("_id"), "left").drop("_id")
+    revisits = revisits.withColumn("_id", F.coalesce("response.refers_to", F.lit("")))
+    known = lookup(revisits, stored(targets, "targets"), ["_id"]).drop("_id")
     stated = F.regexp_replace("response.stated_digest", "^sha1:", "")
     known = known.withColumns({
         "payload_bytes": F.col("target.payload_bytes"), "payload_digest": F.coalesce("target.payload_digest", stated)})
