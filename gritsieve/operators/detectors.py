@@ -209,7 +209,7 @@ def implausible_range(ev: Evidence) -> DataFrame:
 
 def date_like(ev: Evidence) -> DataFrame:
     found = []
-    for r in ev.rows:
+    for r in ev.with_dates().rows:
         if r["kind"] != "text" or r["present"] < 5:
             continue
         rate = r["dated"] / r["present"]
@@ -408,6 +408,7 @@ def scan(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
 
 @with_evidence
 def findings_of(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
+    ev.with_dates()  # all measures in one pass
     members = {m for group in multiselect_groups(ev.columns).values() for m in group}
     parts = [
         repeated_header_row(ev), multiselect_group(ev), pii(ev), duplicates(ev), constant_columns(ev),

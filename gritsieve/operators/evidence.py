@@ -75,13 +75,47 @@ class Evidence:
 
     def __init__(self, df: DataFrame):
         self._describe(df)
-        # One row per column.
-        self._take({r["pos"]: r.asDict() for r in self.read_cells().groupBy("pos").agg(
-            *self.sums(),
-            F.approx_count_distinct("key", 0.02).alias("distinct_sketch"),
-            F.approx_count_distinct("norm").alias("norm_sketch"),
-            F.approx_count_distinct("dated").alias("shapes"),
-        ).collect()})
+
+    def _measure(self, dates: bool) -> None:
+        """Pass 1. Whether texts are dates costs most of it, and few rules ask."""
+        got = self.read_cells().groupBy("pos").agg(
+            *self.sums(dates), F.approx_count_distinct("key", 0.02).alias("distinct_sketch"),
+            F.approx_count_distinct("norm").alias("norm_sketch"), *self.shapes(dates),
+        ).collect()  # one row per column
+        self._take({r["pos"]: r.asDict() for r in got}, dates)
+
+    @staticmethod
+    def shapes(dates: bool = True) -> list[Column]:
+        return [F.approx_count_distinct("dated").alias("shapes")] if dates else []
+
+    def with_dates(self) -> Evidence:
+        """Make sure that dates are measured: in pass 1 if that is still to come, else in one of their own."""
+        if self._rows is None:
+            self._measure(dates=True)
+        elif not self._dates:
+            for r in self.read_cells().groupBy("pos").agg(*self.date_sums(), *self.shapes()).collect():
+                if r["pos"] >= 0:
+                    self._rows[r["pos"]] |= r.asDict()
+            self._dates = True
+        return self
+
+    @property
+    def rows(self) -> list[dict]:
+        """The measures of every column, in table order."""
+        if self._rows is None:
+            self._measure(dates=False)
+        return self._rows
+
+    @property
+    def n_rows(self) -> int:
+        _ = self.rows
+        return self._n_rows
+
+    @property
+    def header_rows(self) -> int:
+        """Rows that repeat the header."""
+        _ = self.rows
+        return self._header_rows
 
     @classmethod
     def of_parts(cls, df: DataFrame, by_pos: dict[int, dict], counts: DataFrame, whole: list[str], duplicates: int) -> Evidence:
@@ -89,7 +123,7 @@ class Evidence:
         are all counted, and the number of repeated rows. `df` gives the schema only."""
         ev = cls.__new__(cls)
         ev._describe(df)
-        ev._take(by_pos)
+        ev._take(by_pos, True)
         ev._counts, ev._whole, ev._duplicates = counts, whole, duplicates
         return ev
 
@@ -100,14 +134,15 @@ class Evidence:
         self._counts: DataFrame | None = None
         self._whole: list[str] | None = None
         self._sizes: dict[str, tuple[int, int]] | None = None
+        self._rows: list[dict] | None = None
         self._duplicates: int | None = None
 
-    def _take(self, by_pos: dict[int, dict]) -> None:
+    def _take(self, by_pos: dict[int, dict], dates: bool) -> None:
         row = by_pos.get(-1, {"present": 0, "beyond": 0})
-        self.n_rows, self.header_rows = row["present"], row["beyond"]
+        self._n_rows, self._header_rows, self._dates = row["present"], row["beyond"], dates
         blank = dict.fromkeys(MEASURES, 0)
-        self.rows = [
-            blank | by_pos.get(i, {}) | {"pos": i, "column": c, "kind": self.kinds[c], "n_rows": self.n_rows}
+        self._rows = [
+            blank | by_pos.get(i, {}) | {"pos": i, "column": c, "kind": self.kinds[c], "n_rows": self._n_rows}
             for i, c in enumerate(self.columns)
         ]
 
@@ -149,12 +184,17 @@ class Evidence:
         )
 
     @staticmethod
-    def sums() -> list[Column]:
+    def sums(dates: bool = True) -> list[Column]:
         """The measures that add up over parts of a table."""
-        return [
-            F.count(F.lit(1)).alias("present"), F.count("number").alias("numbers"), F.count_if("shaped").alias("shaped"),
-            F.count("dated").alias("dated"), F.count_if("code").alias("codes"), F.count_if("beyond").alias("beyond"),
+        out = [
+            F.count(F.lit(1)).alias("present"), F.count("number").alias("numbers"), F.count_if("code").alias("codes"),
+            F.count_if("beyond").alias("beyond"),
         ]
+        return out + (Evidence.date_sums() if dates else [])
+
+    @staticmethod
+    def date_sums() -> list[Column]:
+        return [F.count_if("shaped").alias("shaped"), F.count("dated").alias("dated")]
 
     @property
     def stats(self) -> DataFrame:
