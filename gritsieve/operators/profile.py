@@ -164,7 +164,10 @@ def scorecard(before: DataFrame, after: DataFrame) -> DataFrame:
 
 @with_evidence
 def schema_summary(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
-    """Every column, its type and, for scales and text columns of up to 60 values (all that are counted), the levels."""
+    """Every column, its type and, for scales and text columns of up to 60 values (all that are counted), the levels.
+
+    `more_values` says that a text column has more than could be listed.
+    """
     names = data_columns(df)
     small = ev.distinct_at_most(60)
     texts = [c for c in names if ev.kinds[c] == "text" and c in small]
@@ -186,5 +189,5 @@ def schema_summary(df: DataFrame, ev: Evidence | None = None) -> DataFrame:
     values = local_relation(df.sparkSession, [r.asDict() for r in values.collect()], "column string, seen array<string>")
     return base.join(values, "column", "left").select(
         "pos", "column", "type", F.col("levels").isNotNull().alias("is_ordered"),
-        F.coalesce("levels", "seen").alias("levels"),
+        F.coalesce("levels", "seen").alias("levels"), F.col("column").isin([c for c in names if ev.kinds[c] == "text" and c not in small]).alias("more_values"),
     )

@@ -42,3 +42,9 @@ def test_first_values_beyond_the_top_rows(spark, frame, monkeypatch):
         "two": (2, ["0.5", "1.5"]),
     }
     assert {r["column"]: len(r["sample"]) for r in profile(df).collect()}["none"] == 0
+
+
+def test_schema_summary_says_what_it_leaves_out(frame):
+    df = frame({"few": ("string", ["a", "b"] * 50), "many": ("string", [f"v{i}" for i in range(100)]), "n": ("int", list(range(100)))})
+    got = {r["column"]: (r["levels"], r["more_values"]) for r in module.schema_summary(df).collect()}
+    assert got == {"few": (["a", "b"], False), "many": (None, True), "n": (None, False)}
