@@ -17,7 +17,8 @@ STAGE_LABEL = {number_: label for number_, _, label, _ in STAGES}
 
 @dataclass(frozen=True)
 class Operation:
-    """`touched` marks the rows an op changes, as a boolean over the op's input; None means all rows."""
+    """`touched` marks the rows an op changes, as a boolean over the op's input; None means all rows. `drops` marks the rows
+    it drops, where a row alone decides that."""
 
     name: str
     stage: int
@@ -27,6 +28,7 @@ class Operation:
     touched: Callable[..., Column] | None = None
     lost: Callable[..., Column] | None = None
     drops_rows: bool = False
+    drops: Callable[..., Column] | None = None
     row_local: bool = True
 
 
@@ -63,10 +65,11 @@ OPERATIONS: dict[str, Operation] = {
         ),
         Operation(
             "drop_repeated_header_rows", 1, ops.drop_repeated_header_rows, "Remove copies of the header line.",
-            drops_rows=True,
+            drops_rows=True, drops=ops.header_copy,
         ),
         Operation(
-            "drop_empty_rows", 1, ops.drop_empty_rows, "Remove rows with every field blank.", drops_rows=True
+            "drop_empty_rows", 1, ops.drop_empty_rows, "Remove rows with every field blank.", drops_rows=True,
+            drops=ops.all_blank,
         ),
         Operation("drop_column", 1, ops.drop_column, "Delete a column.", {"column": "str"}),
         Operation(

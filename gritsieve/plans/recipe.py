@@ -16,6 +16,15 @@ from gritsieve.plans.plan import Step
 from gritsieve.relations import LEDGER, data_columns, is_text, local_relation
 
 
+#: Number of the step that drops a row, while the ledger counts.
+GONE = "_dropped_by_step"
+
+
+def _rows_above(df: DataFrame, n: int):
+    """How many rows there were before the first `n` went, given how many are left; counted only if none is."""
+    return lambda after: after + n if after else df.count()
+
+
 def _registered(step: Step):
     if step.op not in OPERATIONS:
         raise KeyError(f"Unknown operation {step.op!r}. Registered: {sorted(OPERATIONS)}")
@@ -113,41 +122,62 @@ class Recipe:
     def ledger(self, df: DataFrame) -> DataFrame:
         """What every step did: rows, columns and cells touched.
 
-        Steps between two row-dropping steps share one aggregate, which also counts the rows that the one before left and
-        the next one meets; so a plan costs a pass per dropping step and one more. Plain aggregates stay right when
-        tasks are run again after a lost executor.
+        Rows that a step drops by themselves stay, with the number of the step, and count no further; so all steps up to one
+        that compares rows share one aggregate. Where the first rows are dropped, counts follow from those after it. A plan
+        with a step for duplicates costs two passes, whatever else it drops. Plain aggregates stay right when tasks are run
+        again after a lost executor.
         """
-        rows, waiting, dropped, state = [], [], None, df
+        rows, waiting, compared, state = [], [], None, df
 
         def settle() -> int:
-            got = state.agg(F.count(F.lit(1)).alias("rows"), *[
-                F.coalesce(F.sum(F.col(f"_{what}{row['seq']}").cast("bigint")), F.lit(0)).alias(f"{what}{row['seq']}")
-                for row, marks in waiting for what in marks
-            ]).first()
+            got = state.agg(
+                F.count(F.lit(1)).alias("rows"),
+                *[F.count_if(F.col(GONE) == row["seq"]).alias(f"gone{row['seq']}") for row, marks in waiting if marks is None],
+                *[
+                    F.coalesce(F.sum(F.col(f"_{what}{row['seq']}").cast("bigint")), F.lit(0)).alias(f"{what}{row['seq']}")
+                    for row, marks in waiting for what in marks or ()
+                ],
+            ).first()
+            left = got["rows"]
+            if compared:
+                row, before = compared
+                row["rows_before"], row["rows_after"] = before(left), left
+                row["rows_affected"] = row["rows_before"] - left
             for row, marks in waiting:
-                row["rows_before"] = row["rows_after"] = got["rows"]
-                row["rows_affected"] = got[f"hit{row['seq']}"] if "hit" in marks else got["rows"]
-                if "lost" in marks:
-                    row["stats"]["became_blank"] = got[f"lost{row['seq']}"]
-            if dropped is not None:
-                dropped["rows_after"] = got["rows"]
-                dropped["rows_affected"] = dropped["rows_before"] - got["rows"]
-            return got["rows"]
+                row["rows_before"] = left
+                if marks is None:
+                    left -= got[f"gone{row['seq']}"]
+                    row["rows_affected"] = row["rows_before"] - left
+                else:
+                    row["rows_affected"] = got[f"hit{row['seq']}"] if "hit" in marks else left
+                    if "lost" in marks:
+                        row["stats"]["became_blank"] = got[f"lost{row['seq']}"]
+                row["rows_after"] = left
+            return left
 
         for seq, step in enumerate(self.steps, 1):
             op = _registered(step)
+            bare = self._bare(state)
             row = {
                 "seq": seq, "op": step.op, "params": json.dumps(step.params, ensure_ascii=False, default=str),
-                "rationale": step.rationale, "cols_before": len(data_columns(self._bare(state))), "stats": {},
+                "rationale": step.rationale, "cols_before": len(data_columns(bare)), "stats": {},
                 "recorded_at": datetime.now(UTC).isoformat(timespec="seconds"),
             }
-            if op.drops_rows:
-                row["rows_before"] = settle()
-                waiting, dropped = [], row
-                state = run_step(self._bare(state), step)
+            here = F.col(GONE).isNull() if GONE in state.columns else F.lit(True)
+            if op.drops:
+                gone = F.when(here & op.drops(bare, **step.params), F.lit(seq))
+                state = state.withColumn(GONE, F.coalesce(F.col(GONE), gone) if GONE in state.columns else gone)
+                waiting.append((row, None))
+            elif step.op == "promote_header_row" and not waiting and not compared:
+                compared = (row, _rows_above(bare, step.params.get("drop_rows", 1)))
+                state = run_step(bare, step)
+            elif op.drops_rows:
+                before = settle()
+                waiting, compared = [], (row, lambda after, before=before: before)
+                state = run_step(self._bare(state.where(here)), step)
             else:
                 marks = {
-                    what: measure(state, **step.params)
+                    what: F.when(here, measure(bare, **step.params))
                     for what, measure in (("hit", op.touched), ("lost", op.lost)) if measure
                 }
                 state = run_step(state.withColumns({f"_{what}{seq}": m for what, m in marks.items()}), step)
@@ -164,7 +194,7 @@ class Recipe:
         return local_relation(df.sparkSession, rows, LEDGER)
 
     def _bare(self, df: DataFrame) -> DataFrame:
-        marks = {f"_{what}{i}" for what in ("hit", "lost") for i in range(1, len(self.steps) + 1)}
+        marks = {f"_{what}{i}" for what in ("hit", "lost") for i in range(1, len(self.steps) + 1)} | {GONE}
         return df.drop(*[c for c in df.columns if c in marks])
 
     def to_json(self, ledger: DataFrame) -> str:

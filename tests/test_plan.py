@@ -5,6 +5,7 @@ import pytest
 from gritsieve.operators.registry import OPERATIONS, stage_dimension, stage_of
 from gritsieve.plans import plan as planning
 from gritsieve.plans.plan import Step, check_order, guard_step
+from gritsieve.plans.recipe import Recipe
 from gritsieve.relations import FINDINGS, local_relation
 
 
@@ -89,3 +90,23 @@ def test_plan_order_and_unattended_steps(spark):
     assert [r["stage"] for r in got] == sorted(r["stage"] for r in got)
     assert {r["op"] for r in planning.auto_apply(plan).collect()} == {"collapse_multiselect", "drop_constant_columns", "drop_duplicates"}
     assert all(s.op in OPERATIONS for s in planning.steps_of(plan))
+
+
+def test_a_ledger_of_four_dropping_steps_takes_two_passes(spark, frame, monkeypatch):
+    """Counts equal those of running the steps one after the other."""
+    data = [("what is your a?", "what is your b?"), ("a", "b"), ("1", "x"), ("1", "x"), (None, None), ("a", "b"), ("999", "y"), (None, None), ("2", None)]
+    df = frame({"a": ("string", [r[0] for r in data]), "b": ("string", [r[1] for r in data])})
+    steps = [
+        Step("promote_header_row", {"drop_rows": 1}), Step("drop_repeated_header_rows"), Step("drop_empty_rows"),
+        Step("recode_sentinel_missing", {"column": "a", "values": ["999"], "to_number": False}), Step("drop_duplicates"),
+        Step("fill_missing", {"column": "b", "method": "constant", "value": "?"}),
+    ]
+    recipe, passes, collected = Recipe("raw", steps), [], type(df).first
+    monkeypatch.setattr(type(df), "first", lambda self: passes.append(1) or collected(self))
+    got = [(r["rows_before"], r["rows_after"], r["rows_affected"]) for r in recipe.ledger(df).collect()]
+    monkeypatch.undo()
+    assert len(passes) == 2
+    assert got == [(9, 8, 1), (8, 6, 2), (6, 4, 2), (4, 4, 1), (4, 3, 1), (3, 3, 1)]
+    assert recipe.apply(df).count() == 3
+    empty = recipe.ledger(frame({"a": ("string", ["a"]), "b": ("string", ["b"])}, partitions=1)).collect()
+    assert [(r["rows_before"], r["rows_after"]) for r in empty] == [(1, 0)] + [(0, 0)] * 5
