@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,21 +35,41 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
 
 
+_WATCHING: list[list[str]] = []
+
+
+@contextmanager
+def watched() -> Iterator[list[str]]:
+    """The paths of all tables stored inside the block."""
+    paths: list[str] = []
+    _WATCHING.append(paths)
+    try:
+        yield paths
+    finally:
+        _WATCHING.remove(paths)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: it is computed once, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, label)
+    for paths in _WATCHING:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored table that no later plan reads."""
-    session = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+def delete(session: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that no later plan reads; one that is gone already is no error."""
+    for name in paths:
         path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that no later plan reads."""
+    delete(df.sparkSession, sorted({f.rpartition("/")[0] for f in df.inputFiles()}))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
