@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gritsieve import constants as K
 from gritsieve.functions.cells import ROW_ID, name_tokens, named, number
-from gritsieve.operators.evidence import (
-    Evidence, duplicate_rows, first_row, plausible_range, with_evidence, words_of,
-)
+from gritsieve.operators.evidence import Evidence, first_row, plausible_range, with_evidence, words_of
 from gritsieve.relations import FINDINGS, data_columns, is_text, local_relation
 
 TABLE = "<table>"
