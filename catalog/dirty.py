@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gritsieve.functions.cells import ROW_ID
+from gritsieve.relations import spread
 
 DIRTY_SQL = """
 WITH base AS (
@@ -56,7 +57,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def dirty_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view with its row_id in the library's row-id column."""
-    return spark.sql(DIRTY_SQL, orders=table(spark, sf_dir, "orders")).withColumnRenamed("row_id", ROW_ID)
+    return spark.sql(DIRTY_SQL, orders=spread(table(spark, sf_dir, "orders"))).withColumnRenamed("row_id", ROW_ID)
 
 
 def dirty_cte() -> str:

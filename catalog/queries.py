@@ -19,7 +19,7 @@ from gritsieve.plans.plan import Step
 from gritsieve.plans.recipe import Recipe, ledger_table
 from gritsieve.sources.ranking import rank_tables
 from gritsieve.sources.readers import load, read_delimited, with_detected_header
-from gritsieve.relations import data_columns
+from gritsieve.relations import data_columns, spread
 from gritsieve.sources.scratch import fresh_path, write_once
 from gritsieve.sources.sinks import write_clean, write_ledger
 from gritsieve.sqlgate import run_sql
@@ -417,7 +417,7 @@ def detect_repeated_header_row(spark, sf):
 @query
 def detect_repeated_header_row_wide(spark, sf):
     """Header copies in a table of 600 columns."""
-    wide = table(spark, sf, "customer").select(F.col("c_custkey").alias(ROW_ID), *[
+    wide = spread(table(spark, sf, "customer")).select(F.col("c_custkey").alias(ROW_ID), *[
         F.when(F.col("c_custkey") % 50 == 0, F.lit(f"W{i}")).otherwise(F.col("c_name")).alias(f"w{i}") for i in range(600)
     ])
     return _found(find.repeated_header_row(Evidence(wide)))

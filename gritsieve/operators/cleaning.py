@@ -58,7 +58,7 @@ def header_copy(df):
 
 def how_many(tests):
     """How many of these tests hold for a row. Flat, so that a table may have thousands of columns."""
-    return F.size(F.filter(F.array(*tests), lambda hit: hit)) if tests else F.lit(0)
+    return F.size(F.array_remove(F.array(*[F.coalesce(t, F.lit(False)) for t in tests]), False)) if tests else F.lit(0)
 
 
 def all_blank(df):

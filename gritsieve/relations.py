@@ -81,3 +81,13 @@ def long_cells(df: DataFrame, names: list[str], **extra: Column) -> DataFrame:
         .select("_c.column", "_c.value", *extra)
         .filter(F.col("value").isNotNull())
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt out anew if they come in fewer partitions than there are cores.
+
+    A small file may hold rows enough for every core. For tables as they are read: the partitions of a plan with shuffles
+    are only known by running it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)

@@ -209,3 +209,17 @@ def test_many_spellings_of_few_answers(spark):
         assert exchanges and all("value" in keys for keys in exchanges)
     finally:
         ev.close()
+
+
+def test_header_copies_are_counted_without_the_cells(frame, monkeypatch):
+    df = frame({"age": ("string", ["3", " Age", None, "age"]), "sex": ("string", ["m", "SEX", "sex", "f"])})
+    monkeypatch.setattr(Evidence, "read_cells", lambda ev: pytest.fail("reads every cell"))
+    assert [f["n_affected"] for f in found(find.repeated_header_row, df)] == [1]
+
+
+def test_a_table_in_one_part_is_spread_over_the_cores(spark):
+    from gritsieve.relations import spread as dealt
+
+    out = dealt(spark.range(0, 1000, 1, 1))
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert out.distinct().count() == 1000 and dealt(out) is out
