@@ -60,8 +60,7 @@ def date_shape(cell):
 def looks_like_date(cell):
     """A digit, and either a month in words or two date separators."""
     text = cell.cast("string")
-    separators = F.length(text) - F.length(F.translate(text, "/-.", ""))
-    return text.rlike(r"\d") & ((separators >= 2) | text.rlike(MONTH_START))
+    return text.rlike(r"\d") & (text.rlike(r"(?s)[-/.].*[-/.]") | text.rlike(MONTH_START))
 
 
 def _moment(parts, dayfirst):

@@ -41,8 +41,15 @@ class SoFar:
 
     def _measures(self, blank: Evidence, batch: int) -> dict[int, dict]:
         """Sums and sketches with this batch's, by position of the column."""
-        own = blank.read_cells().groupBy("pos").agg(
-            *Evidence.sums(), *(F.hll_sketch_agg(c).alias(s) for s, c in SKETCHES.items()))
+        cells = self._write(blank.read_cells().groupBy("pos").agg(
+            *Evidence.sums(), F.hll_sketch_agg("key").alias("distinct_sketch")).coalesce(1), "cells", batch)
+        sizes = cells.filter("pos >= 0").select("pos", F.hll_sketch_estimate("distinct_sketch").alias("d")).collect()
+        repeated = blank.repeated({blank.columns[r["pos"]]: r["d"] for r in sizes})
+        texts = blank.read_texts(count_values(blank.df, set(repeated), set()), repeated).groupBy("pos").agg(
+            *Evidence.text_sums(), *(F.hll_sketch_agg(c).alias(s) for s, c in SKETCHES.items() if c != "key"))
+        own = cells.withColumnRenamed("codes", "other_codes").join(F.broadcast(texts), "pos", "left").select(
+            "pos", *(F.coalesce(c, F.lit(0)).alias(c) if c != "codes" else F.coalesce(c, "other_codes").alias(c) for c in SUMS),
+            *SKETCHES)
         both = self._before("measures", batch, own).unionByName(own).groupBy("pos").agg(
             *(F.sum(c).alias(c) for c in SUMS), *(F.hll_union_agg(s).alias(s) for s in SKETCHES))
         kept = self._write(both.coalesce(1), "measures", batch)

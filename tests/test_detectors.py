@@ -217,6 +217,28 @@ def test_header_copies_are_counted_without_the_cells(frame, monkeypatch):
     assert [f["n_affected"] for f in found(find.repeated_header_row, df)] == [1]
 
 
+def test_texts_are_judged_once_a_value(frame, monkeypatch):
+    """Whether by value or by cell, the measures are the same."""
+    from gritsieve.operators import evidence
+
+    df = frame({
+        "day": ("string", [f"{i % 28 + 1:02d}/0{i % 9 + 1}/2020" for i in range(1000)]),
+        "kind": ("string", [["a", " A", "999", "?", None][i % 5] for i in range(1000)]),
+        "one": ("string", [f"word {i}" if i % 4 else f"{1000 + i}-01-02" for i in range(1000)]),
+        "age": ("int", [999 if i % 10 == 0 else i for i in range(1000)]), "ok": ("boolean", [i % 2 == 0 for i in range(1000)]),
+    })
+    ev = Evidence(df).with_dates()
+    assert ev.read_texts(ev.values, ev._repeated).count() == df.select("day").distinct().count() + 4 + 1000
+    got, counts = ev.rows, sorted(map(str, ev.counts.collect()))
+    later = Evidence(df)
+    assert later.rows[0]["shaped"] == 0 and later.with_dates().rows == got
+    monkeypatch.setattr(evidence, "REPEATED", 0)
+    by_cell = Evidence(df).with_dates()
+    assert by_cell.rows == got and sorted(map(str, by_cell.counts.collect())) == counts
+    assert {c: (r["numbers"], r["codes"], r["dated"]) for c, r in zip(ev.columns, got)} == {
+        "day": (0, 0, 1000), "kind": (200, 400, 0), "one": (0, 0, 250), "age": (0, 105, 0), "ok": (0, 0, 0)}
+
+
 def test_a_table_in_one_part_is_spread_over_the_cores(spark):
     from gritsieve.relations import spread as dealt
 
