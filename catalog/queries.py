@@ -981,6 +981,7 @@ def stream_scan_so_far(spark, sf):
     orders = table(spark, sf, "orders")
     orders.repartition(4, "o_orderkey").write.parquet(source)
     stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = stream.repartition(2 * spark.sparkContext.defaultParallelism)  # a file may hold rows enough for every core
     dirty = spark.sql(DIRTY_SQL, orders=stream).withColumnRenamed("row_id", ROW_ID)
     path, state, checkpoint = (fresh_path(spark, f"so-far-{part}") for part in ("found", "state", "checkpoint"))
     scan_so_far(dirty, path, state, checkpoint).awaitTermination()

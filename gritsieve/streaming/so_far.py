@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gritsieve.functions.cells import ROW_ID, number
 from gritsieve.operators.detectors import findings_of, question_text
 from gritsieve.operators.evidence import COUNTED_DISTINCT, Evidence, count_values, known_code, row_digest
-from gritsieve.relations import data_columns, is_text
+from gritsieve.relations import data_columns, is_text, spread
 
 SUMS = ["present", "numbers", "shaped", "dated", "codes", "beyond"]
 #: Cells, normalised texts and shapes of dates are counted by sketches that can be united.
@@ -84,8 +84,7 @@ class SoFar:
         own = rows.select(row_digest(rows).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
         if batch:
             earlier = self.spark.read.schema("digest binary, batch_id int").parquet(f"{self.path}/digests").where(F.col("batch_id") < batch)
-            known = own.join(earlier.select("digest"), "digest", "left_semi")
-            fresh = own.join(known.select("digest"), "digest", "left_anti").select("digest")
+            fresh = own.join(earlier.select("digest"), "digest", "left_anti").select("digest")
         else:
             fresh = own.select("digest")
         new = self._write(fresh, "digests", batch).count()
@@ -126,7 +125,7 @@ def scan_so_far(stream: DataFrame, findings_path: str, state_path: str, checkpoi
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # looked at several times
+        batch = spread(batch).persist()  # looked at several times, and a batch of one file would be one task
         try:
             found = SoFar(batch.sparkSession, state_path).findings(batch, batch_id)
             found.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{findings_path}/batch_id={batch_id}")

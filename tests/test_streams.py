@@ -107,3 +107,13 @@ def test_question_text_in_the_first_row_of_a_stream(spark, tmp_path):
     got = [state.findings(spark.createDataFrame(p, schema), i).collect() for i, p in enumerate(parts)][-1]
     assert got == scan(spark.createDataFrame(parts[0] + parts[1], schema)).collect()
     assert [r["kind"] for r in got] == ["two_row_header"]
+
+
+def test_a_batch_of_one_file_is_spread_over_the_cores(spark, tmp_path, monkeypatch):
+    schema = f"{ROW_ID} bigint, a string"
+    spark.createDataFrame([(i, "x") for i in range(100)], schema).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    parts, findings = [], SoFar.findings
+    monkeypatch.setattr(SoFar, "findings", lambda so_far, rows, batch: parts.append(rows.rdd.getNumPartitions()) or findings(so_far, rows, batch))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "rows"))
+    scan_so_far(stream, str(tmp_path / "found"), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
+    assert parts and min(parts) >= spark.sparkContext.defaultParallelism
