@@ -104,18 +104,23 @@ def ngram_weights(grams: DataFrame, good: DataFrame, buckets: int = BUCKETS) ->
 
 
 def _vector(weights: DataFrame) -> Column:
-    """The weights of all folds and buckets as one constant, FOLDS * buckets numbers, in the expressions of the plan, so that
-    no row carries them: that of bucket b in fold k is number k * buckets + b."""
-    rows = sorted(tuple(r) for r in weights.select("bucket", "held").collect())
-    numbers = ",".join(repr(held[k]) for k in range(FOLDS) for _, held in rows)
-    return F.split(F.lit(numbers), ",").cast("array<double>")
-
-
-def _mean(grams: Column, fold: Column, vector: Column, buckets: int) -> Column:
+    """The weights of all folds and buckets as one value, FOLDS * buckets numbers: that of bucket b in fold k is number
+    k * buckets + b. A subquery reads it, so that plans, whose texts the driver keeps, name it and do not spell it out."""
+    rows = F.sort_array(F.collect_list(F.struct("bucket", "held")))  # one for each bucket
+    folds = F.array(*(F.lit(k) for k in range(FOLDS)))
+    vector = F.flatten(F.transform(folds, lambda k: F.transform(F.col("rows"), lambda r: F.get(r.held, k))))
+    return stored(weights.agg(rows.alias("rows")).select(vector.alias("vector")), "vector").scalar()
+
+
+def _with_mean(df: DataFrame, name: str, grams: Column, fold: Column, vector: Column, buckets: int) -> DataFrame:
+    """`df` with the mean weight of each row's n-grams. No lambda function may hold a subquery, so it is a column first; as
+    that is used once, the optimizer puts the subquery in its place, and no row carries the weights."""
+    numbers = free_name(df, "_q_vector")
     start = fold * buckets
-    return F.when(
-        F.size(grams) > 0, F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.get(vector, start + g)) / F.size(grams)
-    ).otherwise(0.0)
+    total = F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.get(F.col(numbers), start + g))
+    mean = F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0)
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return df.select(*own, vector.alias(numbers)).select(*own, mean.alias(name))
 
 
 def cut_of(good: DataFrame, vector: Column, buckets: int = BUCKETS) -> DataFrame:
@@ -123,9 +128,8 @@ def cut_of(good: DataFrame, vector: Column, buckets: int = BUCKETS) -> DataFrame
 
     Null without any: then there is nothing to compare with, and none is too low.
     """
-    rows = good.where(F.col("n") >= MIN_WORDS)
-    units = F.round(_mean(F.col("grams"), F.col("fold"), vector, buckets) * SCALE).cast("decimal(18,0)")
-    sums = rows.select(units.alias("x")).agg(
+    rows = _with_mean(good.where(F.col("n") >= MIN_WORDS), "mean", F.col("grams"), F.col("fold"), vector, buckets)
+    sums = rows.select(F.round(F.col("mean") * SCALE).cast("decimal(18,0)").alias("x")).agg(
         F.count("x").alias("n"), F.min("x").cast("double").alias("low"), F.sum("x").cast("double").alias("s"),
         F.sum(F.col("x") * F.col("x")).cast("double").alias("ss"),
     )
@@ -163,8 +167,8 @@ def quality_rules(
     name = {n: free_name(docs, n) for n in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept",
     )}
-    ws, lines, seen, grams, own, perhaps = (
-        free_name(docs, n) for n in ("_q_words", "_q_lines", "_q_seen", "_q_grams", "_q_id", "_q_perhaps")
+    ws, lines, seen, grams, own, perhaps, mean = (
+        free_name(docs, n) for n in ("_q_words", "_q_lines", "_q_seen", "_q_grams", "_q_id", "_q_perhaps", "_q_mean")
     )
     col = lambda n: F.col(f"`{n}`")
 
@@ -193,7 +197,8 @@ def quality_rules(
     cut = F.lit(threshold)
     if threshold is None:
         cut = stored(cut_of(good, vector, buckets), "cut").agg(F.first("cut")).scalar()
-    out = with_computed(measured, {name["score"]: _mean(col(grams), _fold(col(own)), vector, buckets)})
+    out = _with_mean(measured, mean, col(grams), _fold(col(own)), vector, buckets)
+    out = with_computed(out, {name["score"]: col(mean)})
     out = out.withColumn(
         name["base_failed"], (n < MIN_WORDS) | (100 * repeated > MOST_REPEATED_PERCENT * n)
     )

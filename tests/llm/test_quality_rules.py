@@ -117,3 +117,21 @@ def test_a_filter_that_is_full_changes_nothing(spark, documents, monkeypatch):
     whole = sorted(map(str, quality_rules(documents(pairs), labels, buckets=50).collect()))
     monkeypatch.setattr(module, "FILTER_BITS", 8)
     assert sorted(map(str, quality_rules(documents(pairs), labels, buckets=50).collect())) == whole
+
+
+def test_plans_name_the_weights_and_rows_do_not_carry_them(spark, documents, capsys):
+    """The driver keeps the text of every plan and of each update of it."""
+    from gritsieve.llm.quality_rules import _vector, cut_of
+
+    pairs = [(i, f"w{i} {GOOD * 5}") for i in range(9)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    weights = spark.range(10_000).selectExpr("cast(id as int) as bucket", "transform(sequence(0, 4), k -> id / 7 + k) as held")
+    good = spark.createDataFrame([(i % 5, 60, [i, 9999]) for i in range(9)], "fold int, n int, grams array<int>")
+    for made in (quality_rules(documents(pairs), labels).where("kept"), cut_of(good, _vector(weights))):
+        made.explain(True)
+        whole = capsys.readouterr().out
+        assert len(whole) < 100_000
+        made.explain()
+        assert "_q_vector" not in capsys.readouterr().out
+    numbers = spark.range(1).select(_vector(weights).alias("v")).first().v
+    assert numbers == [b / 7 + k for k in range(5) for b in range(10_000)]
