@@ -51,12 +51,14 @@ def watched() -> Iterator[list[str]]:
         _WATCHING.remove(paths)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read back: it is computed once, and a lost executor costs nothing."""
+def stored(df: DataFrame, label: str, **options: int) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read back: it is computed once, and a lost executor costs nothing.
+
+    options: of Spark's writer."""
     path = new_path(df.sparkSession, label)
     for paths in _WATCHING:
         paths.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,10 +1,13 @@
+import os
 import random
+from contextlib import contextmanager, suppress
+from threading import Event, Thread
 
 import numpy as np
 import pytest
 from brute import smallest
 
-from gritsieve.llm.embeddings import similar_vectors
+from gritsieve.llm.embeddings import Tree, _links, _rotation, _unit, similar_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -63,3 +66,69 @@ def test_one_huge_group_of_near_copies(spark):
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA)
     got = similar_vectors(df, block=100).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(899, 0)}
+
+
+@contextmanager
+def shuffled(spark):
+    """Bytes of the shuffle files that are made inside the block; their greatest sizes, as Spark deletes them in between."""
+    roots = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    sizes, before, over = {}, set(), Event()
+
+    def look():
+        for path in (f"{d}/{f}" for root in roots for d, _, names in os.walk(root) for f in names if f.startswith("shuffle_")):
+            with suppress(OSError):
+                sizes[path] = max(sizes.get(path, 0), os.path.getsize(path))
+
+    def watch():
+        while not over.wait(0.02):
+            look()
+
+    look()
+    before.update(sizes)
+    watching = Thread(target=watch)
+    watching.start()
+    total = []
+    try:
+        yield total
+    finally:
+        over.set()
+        watching.join()
+        look()
+        total.append(sum(n for path, n in sizes.items() if path not in before))
+
+
+def test_pairs_of_blocks_are_not_written(spark):
+    n, dim = 1500, 32
+    numbers = np.random.default_rng(5).normal(size=(n, dim)).astype(np.float32)
+    numbers[n - 50 :] = numbers[:50] * 2
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(numbers)], SCHEMA).repartition(4)
+    with shuffled(spark) as written:
+        got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(df, block=30).collect()}
+    assert got == {i: (1, i % (n - 50)) if i < 50 or i >= n - 50 else (0, i) for i in range(n)}
+    # 50 blocks make 1,275 pairs; a block and its partner have 15 KB and more.
+    assert 0 < written[0] < 6 * numbers.nbytes + (1 << 20)
+
+
+@pytest.mark.parametrize(("dim", "n", "levels"), [(2, 1500, 4), (3, 1500, 2), (64, 700, 1)])
+def test_links_of_two_blocks(dim, n, levels):
+    rng = np.random.default_rng(dim)
+    numbers = rng.normal(size=(2 * n, dim)) * 10.0 ** rng.integers(-30, 30, size=(2 * n, 1))
+    for i in range(0, 2 * n, 20):  # near copies of every size and angle
+        numbers[i + 1 : i + 20] = numbers[i] + np.abs(numbers[i]).max() * rng.normal(size=(19, dim)) * rng.choice([0.05, 0.2, 0.4])
+    numbers = rng.permutation(numbers)
+    unit = _unit(numbers)
+    rotation = _rotation(_unit(rng.normal(size=(1024, dim))), 0.9)
+    assert (rotation is not None) == (dim == 64)
+    blocks = [Tree(at, np.ones(n, dtype=np.int64), numbers[at]) for at in (np.arange(n), np.arange(n, 2 * n))]
+    assert len(blocks[0].levels) == levels
+    for block in blocks:
+        block.prepare(rotation)
+    for a, b in ((blocks[0], blocks[1]), (blocks[0], blocks[0])):
+        found = np.zeros((2 * n, 2 * n), dtype=int)
+        for left, right, linked in _links(a, b, 0.9):
+            found[(a.ids[left], b.ids[right]) if linked is None else np.ix_(a.ids[left], b.ids[right])] += 1 if linked is None else linked
+        expected = np.zeros((2 * n, 2 * n), dtype=int)
+        expected[np.ix_(a.ids, b.ids)] = unit[a.ids] @ unit[b.ids].T >= 0.9
+        if a is b:
+            np.fill_diagonal(expected, 0)
+        assert (found == expected).all() and expected.sum() > n
