@@ -67,10 +67,10 @@ def vectors_of(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                     out[at[k]] = (short if exact[k] else v)[k].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(out, pa.binary())], ["vec_id", "size", "v"])
 
-    kind, numbers = table.schema[id_col].dataType.simpleString(), F.col(f"`{vector_col}`")
-    if table.schema[vector_col].dataType.simpleString() != "array<float>":
-        numbers = numbers.cast("array<double>")
-    rows = table.select(F.col(f"`{id_col}`").alias("vec_id"), numbers.alias("v"))
+    rows = table.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").alias("v"))
+    kind = rows.schema["vec_id"].dataType.simpleString()
+    if rows.schema["v"].dataType.simpleString() != "array<float>":
+        rows = rows.withColumn("v", F.col("v").cast("array<double>"))
     return rows.mapInArrow(checked, f"vec_id {kind}, size int, v binary").withColumn(
         "class_id", F.when(F.col("v").isNotNull(), F.xxhash64("size", "v")))
 
@@ -367,7 +367,7 @@ def similar_vectors(
                         away[run] = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", unit, centre[cells[run]])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(away)], [*batch.schema.names, "cell", "away"])
 
-    kind = table.schema[id_col].dataType.simpleString()
+    kind = rows.schema["vec_id"].dataType.simpleString()
     classes = vectors.where("class_id is not null").groupBy("class_id").agg(
         F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("size").alias("size"), F.first("v").alias("v"))
     placed = stored(classes.mapInArrow(to_cells, f"class_id long, n long, least {kind}, size int, v binary, cell int, away double"), "cells")
